@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pelagia.llm import quality, url_filter
+from pelagia.llm import language_id, quality, sentencepiece_bpe, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality.query,
+    "op3_language_id": language_id.query,
+    "op5_sentencepiece_bpe": sentencepiece_bpe.query,
     "op8_url_filter": url_filter.query,
 }
 
