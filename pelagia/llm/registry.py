@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pelagia.llm import language_id, quality, sentencepiece_bpe, url_filter
+from pelagia.llm import language_id, packing, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_quality_rules": quality.query,
     "op3_language_id": language_id.query,
     "op5_sentencepiece_bpe": sentencepiece_bpe.query,
     "op8_url_filter": url_filter.query,
+    "op9_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
