@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import language_id, packing, quality, sentencepiece_bpe, url_filter, warc
+from pelagia.llm import language_id, packing, pii, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sentencepiece_bpe": sentencepiece_bpe.query,
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
+    "op10_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
