@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pelagia.llm import language_id, packing, pii, quality, sentencepiece_bpe, url_filter, warc
+from pelagia.llm import language_id, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_quality_rules": quality.query,
     "op3_language_id": language_id.query,
+    "op4_ppm": ppm.query,
     "op5_sentencepiece_bpe": sentencepiece_bpe.query,
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
