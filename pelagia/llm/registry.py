@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import language_id, near_dedup, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
+from pelagia.llm import embedding_dedup, language_id, near_dedup, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.query,
     "op4_ppm": ppm.query,
     "op5_sentencepiece_bpe": sentencepiece_bpe.query,
+    "op6_embedding_dedup": embedding_dedup.query,
     "op7_near_dedup": near_dedup.query,
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
