@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ MAX_WORDS = 120_000
 MAX_WORD_CHARS = 40
 NGRAM_LENGTHS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -58,22 +59,22 @@ class Model:
                         level[gram] += vector
                     elif gram not in "<>":
                         level[gram] = vector.copy()
-        self.words = self._logs({w: np.array([c[x] for x in self.langs], float) for w, c in words.items()})
+        self.words, self.word_logs = self._logs({w: np.array([c[x] for x in self.langs], float) for w, c in words.items()})
         self.grams = [self._logs(level) for level in grams]
 
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _logs(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+        """The rows of a table of log frequencies, and the table."""
         if not counts:
-            return {}
+            return {}, np.zeros((0, len(self.langs)), np.float32)
         matrix = np.vstack(list(counts.values())) + 0.5
-        logs = np.log(matrix / matrix.sum(axis=0))
-        return dict(zip(counts, logs.astype(np.float32), strict=True))
+        return {key: i for i, key in enumerate(counts)}, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         marked = f"<{word}>"
-        for level, n in zip(self.grams, NGRAM_LENGTHS, strict=True):
-            found = [v for i in range(len(marked) - n + 1) if (v := level.get(marked[i : i + n])) is not None]
+        for (rows, logs), n in zip(self.grams, NGRAM_LENGTHS, strict=True):
+            found = [r for i in range(len(marked) - n + 1) if (r := rows.get(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return logs[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -85,21 +86,24 @@ class Predictor:
         words = Counter(WORD.findall(text.lower())) if text else None
         if not words or not self.model.langs:
             return UNDETERMINED, 0.0
-        known, memo, vectors = self.model.words, self.memo, []
-        for word in words:
-            v = known.get(word)
-            if v is None and (v := memo.get(word)) is None:
+        known, memo, at, times, unseen = self.model.words, self.memo, [], [], []
+        for word, n in words.items():
+            if (row := known.get(word)) is not None:
+                at.append(row)
+                times.append(n)
+                continue
+            v = memo.get(word)
+            if v is None:
                 v = self.model.unseen(word)
                 if len(word) <= MAX_WORD_CHARS:
                     if len(memo) >= MEMO_ENTRIES:
                         memo.clear()
                     memo[word] = v
-            vectors.append(v)
-        counts = np.fromiter(words.values(), float, len(words))
-        scores = counts @ np.array(vectors)
+            unseen.append(v * n)
+        scores = np.array(times, float) @ self.model.word_logs[at] + (np.sum(unseen, axis=0) if unseen else 0.0)
         best = int(np.argmax(scores))
         # the evidence of many words is not independent: its weight grows with the root of their number
-        odds = np.exp((scores - scores[best]) / math.sqrt(counts.sum()))
+        odds = np.exp((scores - scores[best]) / math.sqrt(words.total()))
         return self.model.langs[best], float(1 / odds.sum())
 
 
@@ -137,16 +141,17 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(documents: DataFrame, model: Model, min_score: float = 0.3) -> DataFrame:
-    """The rows in a recognisable language; lang becomes the predicted one, the other columns stay."""
+    """The rows in a recognisable language, with all their columns as they were."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def recognised(texts):
+    @F.pandas_udf("boolean")
+    def recognised(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = Predictor(shared.value)
-        found = (predict(t) for t in texts)
-        return texts.__class__([lang if lang != UNDETERMINED and score >= min_score else None for lang, score in found], dtype=object)
+        for texts in batches:
+            found = [predict(t) for t in texts]
+            yield pd.Series([lang != UNDETERMINED and score >= min_score for lang, score in found], dtype=bool)
 
-    return documents.withColumn("lang", recognised("text")).where(F.col("lang").isNotNull())
+    return documents.where(recognised(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,11 +125,13 @@ def quality(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def keep(documents: DataFrame) -> DataFrame:
     """The rows of documents whose text passes; all columns as they were, no shuffle."""
+
     @F.pandas_udf("boolean")
-    def passes(texts):
-        return texts.map(lambda t: measure(t)[6]).astype(bool)
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([measure(t)[6] for t in texts], dtype=bool)
 
-    return documents.where(passes(F.coalesce(F.col("text"), F.lit(""))))
+    return documents.where(passes(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pelagia.llm import embedding_dedup, language_id, near_dedup, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_warc": warc.query,
     "op2_quality_rules": quality.query,
     "op3_language_id": language_id.query,
@@ -18,3 +20,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
