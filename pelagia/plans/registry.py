@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pelagia.plans import catalog_queries
+
+QUERIES: dict = dict(catalog_queries.QUERIES)
+ORACLE_SQL: dict = dict(catalog_queries.ORACLE_SQL)
