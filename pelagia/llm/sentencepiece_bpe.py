@@ -64,6 +64,7 @@ class Codec:
             self.surface[i] = bytes([byte])
         self.is_byte = np.zeros(len(pieces), bool)
         self.is_byte[list(self.byte_ids.values())] = True
+        self.led = [p.type == NORMAL and p.piece.startswith(SPACE) for p in pieces]
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair that forms a piece, the leftmost of equals, until none does."""
@@ -148,7 +149,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.surface.__getitem__, ids))
-        if data[:1] == b" " and not self.is_byte[ids[0]]:
+        if ids and self.led[ids[0]]:
             data = data[1:]
         try:
             return data.decode()
@@ -176,7 +177,7 @@ class Codec:
             if i is not None:
                 out.append(self.surface[i].decode())
         text = "".join(out)
-        return text[1:] if text[:1] == " " and not self.is_byte[ids[0]] else text
+        return text[1:] if self.led[ids[0]] else text
 
 
 _CODECS: dict[str, Codec] = {}
