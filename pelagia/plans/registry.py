@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.plans import catalog_queries
+from pelagia.plans import catalog_queries, stream_queries
 
-QUERIES: dict = dict(catalog_queries.QUERIES)
-ORACLE_SQL: dict = dict(catalog_queries.ORACLE_SQL)
+QUERIES: dict = {**catalog_queries.QUERIES, **stream_queries.QUERIES}
+ORACLE_SQL: dict = {**catalog_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL}

@@ -1 +1 @@
-
+"""Scans of folder trees and of the metadata inside media files."""
