@@ -33,8 +33,9 @@ WORDS = 5
 PERCENT = 75
 TREES, LEVELS = 12, 3
 NODE_LIMIT = 64
-BLOCK = 512
-CLUSTER_BLOCK = 128
+BLOCK = 2048
+CLUSTER_BLOCK = 512
+MAP_BITS = 1 << 27
 SLOTS = 128
 SKETCH_MARGIN = 0.15
 
@@ -252,11 +253,27 @@ def _candidate_forest(reps: DataFrame) -> DataFrame:
     return rows.repartition("meet").sortWithinPartitions("meet", "rep").mapInArrow(lambda batches: _edges_of(batches, _likely), EDGES)
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows without most of those whose id isn't among ids, by a bitmap of hashed ids of MAP_BITS / 8 = 16 MB at most.
+
+    Only saves the shuffle of a join that follows; that join is what decides.
+    """
+    n = ids.count()
+    bits = min(MAP_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(column, F.lit(3)), F.lit(bits))
+    low = F.pmod(place, F.lit(1 << 15))
+    bitmap = ids.select(F.shiftright(place, 15).alias("part"), low.alias("low")).groupBy("part").agg(F.bitmap_construct_agg("low").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(low, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("getbit", byte, F.pmod(low, F.lit(8)).cast("int")) == 1
+    return rows.withColumn("part", F.shiftright(place, 15)).join(F.broadcast(bitmap), "part").where(there).drop("part", "bits")
+
+
 def _confirmed_forest(clusters: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges that span exactly the linked documents of each candidate component."""
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where(F.col("rep").isNotNull() & F.col("text").isNotNull())
     members = clusters.join(sizes, "component").select(F.col("id").alias("rep"), "component", "n")
+    texts = _maybe_in(texts, members.select("rep"), "rep")
     rows = _block_pairs(texts.join(members, "rep"), "component", F.col("n"), CLUSTER_BLOCK, "meet").select("meet", "rep", "text")
     return rows.repartition("meet").sortWithinPartitions("meet", "rep").mapInArrow(lambda batches: _edges_of(batches, _linked), EDGES)
 
