@@ -390,3 +390,37 @@ def newest_receipts(spark, sf_dir):
 @query(r"SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS first_line FROM documents")
 def first_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("first_line"))
+
+
+DIGIT36 = "substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(floor((mtime - 1577836800) / {}) AS bigint) % 36 + 1, 1)"
+CODE36 = " || ".join(DIGIT36.format(36**k) for k in range(5, -1, -1))
+TAIL = "([ _-]+[0-9]{1,8}|~vv[0-9a-z]{4,10})$"
+
+
+@query(cat(f"SELECT id, '~vv' || {CODE36} AS code FROM files"))
+def run_codes(spark, sf_dir):
+    return media_view(spark, sf_dir).select("id", C.run_code(F.col("mtime")).alias("code"))
+
+
+@query(cat(f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]{{1,5}}$', ''), '{TAIL}', ''), '{TAIL}', ''), '{TAIL}', ''), '[_-]+', ' ', 'g')) AS name, split_part(folder, '/', 1) AS top FROM files"))
+def readable_names(spark, sf_dir):
+    return media_view(spark, sf_dir).select("id", C.readable_stem(F.col("filename")).alias("name"), C.top_folder(F.col("folder")).alias("top"))
+
+
+FAMILY = r"([ _.-]*v?[0-9]+(\.[0-9]+)*|[ _-]?xl)$"
+
+
+@query(cat(f"SELECT family, count(*) AS n FROM (SELECT nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(model_type)), '{FAMILY}', ''), '{FAMILY}', ''), '{FAMILY}', ''), '') AS family FROM files) GROUP BY family"))
+def folded_families(spark, sf_dir):
+    return media_view(spark, sf_dir).groupBy(C.folded_family(F.col("model_type")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^[\\[(].*[\\])]$') AND len(regexp_split_to_array(x, '\\s+')) >= 3)[1] AS line FROM documents")
+def headline_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", C.first_lyric_line(F.col("text")).alias("line"))
+
+
+@query(cat(f"SELECT set_stage, ext, {sql.RANK} AS rank, count(*) AS n FROM files GROUP BY ALL"))
+def face_ranks(spark, sf_dir):
+    rank = C.face_rank(F.col("set_stage"), F.col("filename")).alias("rank")
+    return media_view(spark, sf_dir).groupBy("set_stage", "ext", rank).agg(F.count(F.lit(1)).alias("n"))
