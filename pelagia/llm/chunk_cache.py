@@ -11,7 +11,7 @@ class ChunkCache:
     Holds at most 2 * entries chunks of at most max_chars characters; longer ones are computed anew.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], entries: int = 400_000, max_chars: int = 48):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], entries: int = 250_000, max_chars: int = 48):
         self.compute, self.entries, self.max_chars = compute, entries, max_chars
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}

@@ -212,9 +212,9 @@ def test_plan_places_every_piece_once(histogram):
 
 def test_encoder_equals_library():
     path = public_tokenizers.path(packing.TOKENIZER)
-    own, library = packing.Encoder(path), Tokenizer.from_file(path)
-    texts = [*ODD, " a", "a ", "a  b", "it's\u00a0x's", "\x1c\x1d", "tab\there\nnew\n\nline", "end.\n", "x,y;z... !?", "²word. Ⅷ.", "don't."] * 2
-    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    own, library = packing.Encoder(path, public_tokenizers.path(packing.RANKS)), Tokenizer.from_file(path)
+    texts = [*ODD, " a", "a ", "a  b", "it's\u00a0x's", "\x1c\x1d", "tab\there\nnew\n\nline", "end.\n", "x,y;z... !?", "²word. Ⅷ.", "don't.", " " * 900, "ß" * 900] * 2
+    assert [np.frombuffer(own(x), "<u4").tolist() for x in texts] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_places_all_tokens(spark):
