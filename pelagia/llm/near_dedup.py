@@ -294,8 +294,8 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def keep(documents: DataFrame) -> DataFrame:
     """documents without the rows that are not the first of their class; repeated rows of the first stay one."""
-    doomed = classes(documents).where("not kept").select(F.col("doc_id").alias("near_doc_id")).distinct()
-    return documents.join(doomed, F.col("doc_id") == F.col("near_doc_id"), "left_anti")
+    doomed = classes(documents).where("not kept").select("doc_id").distinct()
+    return documents.join(doomed, "doc_id", "left_anti").select(*(f"`{c}`" for c in documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
