@@ -1,7 +1,7 @@
 """Near-duplicate vectors: a small-world graph for each shard, queried by every vector.
 
-Equal vectors are collapsed first. The rest go to shards of about SHARD_ROWS by a hash of the id; each shard's
-graph is built in one task and written. Then every vector queries every shard: tasks are (shard, block of
+Equal vectors are collapsed first. The rest go to shards of about SHARD_BYTES (65,536 vectors of 64 doubles) by
+a hash of the id; each shard's graph is built in one task and written. Then every vector queries every shard: tasks are (shard, block of
 queries), each with the shard's graph and a stream of queries, so memory is bounded by one shard and one
 batch. Each task audits AUDIT_QUERIES of its queries against all of the shard and doubles the beam until
 AUDIT_RECALL of the links are found; a query whose beam ends full of links follows the graph on until no
@@ -28,8 +28,8 @@ from pelagia.llm.graph import Forest, components
 from pelagia.llm.hnsw import Graph
 
 LEAST = 0.95
-SHARD_ROWS = 8192
-QUERY_ROWS = 16384
+SHARD_BYTES = 32 << 20
+QUERY_ROWS = 8192
 BEAM = 32
 QUERY_BATCH = 512
 AUDIT_QUERIES = 64
@@ -150,12 +150,14 @@ def _answer(shard: Shard, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([none, none, pa.array(e[:, 0]), pa.array(e[:, 1])], names)
 
 
-def near_duplicates(embeddings: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of embeddings (vec_id, embedding)."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid(F.col("embedding")), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))).alias("vector"))
     usable = rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull())
     reps = written(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
-    total = reps.count()
+    found = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size")).first()
+    total = found["n"]
+    shard_rows = shard_rows or max(1, SHARD_BYTES // (8 * (found["size"] or 1)))
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-total // QUERY_ROWS))
     placed = reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("size", F.size("vector"))
     graphs = written(
