@@ -9,10 +9,13 @@ Jobs: (1) each task counts (context, symbol) codes of the training texts with so
 them up; (2) each task scores its texts with the broadcast trie and writes, for each block of about
 BLOCK_BYTES of text, the block's distinct words and its documents as word numbers; (3) word counts over the
 whole corpus come from the blocks' words, go back to the blocks by a join, and give the base scores. So a
-frequent word is one row for each block, whatever its key, and no document text is shuffled.
+frequent word is one row for each block, whatever its key.
 
-The trie is bounded by MAX_NODES: of contexts longer than one byte, codes below the lowest power of two that
-meets the bound are left out (they are reached by escapes), the same at every size of input.
+No code is left out of the model. Only if all of them are at most MAX_NODES is the trie collected and
+broadcast. Otherwise blocks also hold their distinct codes and their texts; code counts over the corpus come
+from the blocks, the log probability of every code is found in tasks that each have all codes of some pairs of
+last context bytes (at most 65,536 for a pair; orders 0 and 1, 65,792 codes at most, are broadcast), and these
+go back to the blocks by a join. Both ways give the same scores.
 
 Defined results: a null text is empty (one end token); with no training text every byte costs log10(256)
 and the base score is 0 per token (N = V = 0). A null id is a training row. Repeated rows each get a score.
@@ -35,6 +38,7 @@ ORDER = 3
 MAX_NODES = 1 << 19
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 2 << 20
+PART_CODES = 1 << 19
 END = b"\xff"
 PAD = END * ORDER
 END_TOKEN = b"\n"
@@ -202,8 +206,8 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def fit(training: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """Counts the codes of all training texts and collects the bounded trie."""
+def code_counts(training: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(code, n) of all training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -216,46 +220,89 @@ def fit(training: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
                     codes, counts = codes[:0], counts[:0]
         yield pa.RecordBatch.from_pydict({"code": pa.array(codes.astype(np.int64)), "n": pa.array(counts)})
 
-    grams = written(training.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ppm-codes")
+    return written(training.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ppm-codes")
+
+
+def _level(grams: DataFrame, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of order k that occur at least so often, in order, with their counts."""
+    level = grams if k == ORDER else grams.groupBy((F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").alias("n"))
+    got = level.where(F.col("n") >= least).toArrow()
+    codes, n = got.column("code").to_numpy().astype(np.uint32), got.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def fit(training: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
+    """A trie of at most max_nodes codes per order above 1, for use where a small model will do; score has all codes."""
+    grams = code_counts(training, max_nodes)
     tops = [F.sum((F.col("n") >= 1 << b).cast("long")).alias(f"b{b}") for b in range(40)]
     row = grams.agg(*tops).first()
     least = next((1 << b for b in range(40) if (row[f"b{b}"] or 0) <= max_nodes), 1 << 40)
-    levels = []
-    for k in range(ORDER + 1):
-        level = grams if k == ORDER else grams.groupBy((F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").alias("n"))
-        got = (level.where(F.col("n") >= least) if k > 1 else level).toArrow()  # at most max_nodes rows, or 65,536 below order 2
-        codes, n = got.column("code").to_numpy().astype(np.uint32), got.column("n").to_numpy().astype(np.int64)
+    return Trie([_level(grams, k, least if k > 1 else 1) for k in range(ORDER + 1)])
+
+
+def code_logs(grams: DataFrame) -> DataFrame:
+    """(code, log) of every row of grams (code, n): n is 0 for codes that occur in held-out texts only."""
+    low = grams.sparkSession.sparkContext.broadcast([_level(grams, k) for k in range(2)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column("code").to_numpy().astype(np.uint32), b.column("n").to_numpy()) for b in batches if b.num_rows]
+        if not rows:
+            return
+        codes, n = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(codes)
-        levels.append((codes[order], n[order]))
-    return Trie(levels)
+        codes, n = codes[order], n[order]
+        top = codes[n > 0], n[n > 0]
+        logs = Trie([*low.value, added(top[0] & np.uint32((1 << 24) - 1), top[1]), top]).log_probabilities(codes)
+        for a in range(0, len(codes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + 100_000].astype(np.int64)), pa.array(logs[a : a + 100_000])], ["code", "log"])
+
+    last_two = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF))
+    return grams.repartition(max(1, -(-grams.count() // PART_CODES)), last_two).mapInArrow(run, "code long, log double")
 
 
-ROWS = "block long, doc_id long, held_out boolean, n_tokens long, score double, words binary, token binary, local int, train_n long"
+ROWS = "block long, doc_id long, held_out boolean, n_tokens long, score double, words binary, text binary, token binary, local int, train_n long, code long"
 
 
-def _in_blocks(documents: DataFrame, model: Trie) -> DataFrame:
-    """Document rows (words set) and word rows (token set) of every block."""
+def _in_blocks(documents: DataFrame, model: Trie | None) -> DataFrame:
+    """Document rows (words set), word rows (token set) and, without a model, code rows (code set) of every block."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, block, held = shared.value, TaskContext.get().partitionId() << 24, 0
         index: dict[bytes, int] = {}
         learned: Counter = Counter()
+        coded = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def document_rows(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)), *(pa.nulls(len(rows), t) for t in types[7:])], names)
+
+        def add_codes(texts: list[bytes], times: int) -> None:
+            nonlocal coded
+            for part in _slices(texts):
+                codes, counts = counted(codes_of(part)[0])
+                coded = added(np.concatenate((coded[0], codes)), np.concatenate((coded[1], counts * times)))
+
+        def code_rows() -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(coded[0]), 50_000):
+                codes, counts = coded[0][a : a + 50_000], coded[1][a : a + 50_000]
+                n = len(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *(pa.nulls(n, t) for t in types[1:9]), pa.array(counts), pa.array(codes.astype(np.int64))], names)
 
         def word_rows() -> Iterator[pa.RecordBatch]:
             tokens = list(index)
             for a in range(0, len(tokens), 50_000):
                 part = tokens[a : a + 50_000]
                 n = len(part)
-                none = [pa.nulls(n, t) for t in types[1:6]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *none, pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([learned.get(t, 0) for t in part], pa.int64())], names)
+                none = [pa.nulls(n, t) for t in types[1:7]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *none, pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([learned.get(t, 0) for t in part], pa.int64()), pa.nulls(n, types[10])], names)
 
         for batch in batches:
             texts = [lowered(t) for t in batch.column(1).to_pylist()]
-            scores = np.concatenate([trie.score(part) for part in _slices(texts)]) if texts else np.zeros(0)
-            rows = []
+            scores = np.concatenate([trie.score(part) for part in _slices(texts)]) if texts and trie else [None] * len(texts)
+            rows, fresh = [], ([], [])
             for doc_id, held_out, text, score in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts, scores, strict=True):
                 counts = Counter(text.split())
                 counts[END_TOKEN] = 1
@@ -263,18 +310,28 @@ def _in_blocks(documents: DataFrame, model: Trie) -> DataFrame:
                 words = np.array([numbers, list(counts.values())], np.uint32).tobytes()
                 if not held_out:
                     learned.update(counts)
-                rows.append((block, doc_id, held_out, counts.total(), score, words))
+                rows.append((block, doc_id, held_out, counts.total(), score, words, None if trie else text))
+                fresh[not held_out].append(text)
                 held += len(text)
                 if held >= BLOCK_BYTES:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)), *(pa.nulls(len(rows), t) for t in types[6:])], names)
+                    if not trie:
+                        add_codes(fresh[0], 0)
+                        add_codes(fresh[1], 1)
+                    yield document_rows(rows)
                     yield from word_rows()
-                    rows, held, block = [], 0, block + 1
+                    yield from code_rows()
+                    rows, fresh, held, block = [], ([], []), 0, block + 1
                     index.clear()
                     learned.clear()
+                    coded = coded[0][:0], coded[1][:0]
             if rows:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)), *(pa.nulls(len(rows), t) for t in types[6:])], names)
+                if not trie:
+                    add_codes(fresh[0], 0)
+                    add_codes(fresh[1], 1)
+                yield document_rows(rows)
         if index:
             yield from word_rows()
+            yield from code_rows()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out")).mapInArrow(run, ROWS)
 
@@ -282,17 +339,33 @@ def _in_blocks(documents: DataFrame, model: Trie) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(documents: DataFrame) -> DataFrame:
+def score(documents: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """Scores of all rows of documents, whose boolean held_out says which rows the model must not learn from."""
-    model = fit(documents.where(~F.col("held_out")))
+    grams = code_counts(documents.where(~F.col("held_out")))
+    model = Trie([_level(grams, k) for k in range(ORDER + 1)]) if grams.count() <= max_nodes else None
     rows = written(_in_blocks(documents, model), "ppm-blocks")
     words = rows.where(F.col("token").isNotNull())
     counts = written(words.groupBy("token").agg(F.sum("train_n").alias("c")), "ppm-words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     train_tokens, scale = int(total["n"]), float(total["n"] + total["v"] + 1)
-    back = words.select("block", "token", "local").join(counts, "token").select(F.col("block").alias("of_block"), "local", "c")
+    back = words.select("block", "token", "local").join(counts, "token").select(F.col("block").alias("of_block"), "local", "c", F.lit(None).cast("double").alias("log"))
+    if model is None:
+        codes = rows.where(F.col("code").isNotNull()).select("block", "code", "train_n")
+        logs = written(code_logs(written(codes.groupBy("code").agg(F.sum("train_n").alias("n")), "ppm-code-counts")), "ppm-code-logs")
+        back = back.union(codes.join(logs, "code").select(F.col("block").alias("of_block"), F.lit(None).cast("int").alias("local"), F.col("code").alias("c"), "log"))
 
     def finish(docs: pa.Table, known: pa.Table) -> pa.Table:
+        scores, of_code = docs.column("score"), known.column("log").is_valid()
+        if of_code.to_numpy().any():
+            found = known.filter(of_code)
+            known = known.filter(known.column("local").is_valid())
+            place = np.argsort(found.column("c").to_numpy())
+            codes, code_log = found.column("c").to_numpy()[place].astype(np.uint32), found.column("log").to_numpy()[place]
+            sums = []
+            for part in _slices(docs.column("text").to_pylist()):
+                own, begin = codes_of(part)
+                sums.append(np.add.reduceat(code_log[np.searchsorted(codes, own)], begin))
+            scores = pa.array(np.concatenate(sums))
         c = np.zeros(known.num_rows, np.int64)
         c[known.column("local").to_numpy()] = known.column("c").to_numpy()
         logs, seen = np.log10((c + 1) / scale), c > 0
@@ -302,9 +375,9 @@ def score(documents: DataFrame) -> DataFrame:
             base.append(float(logs[numbers] @ times))
             n_known.append(int(times[seen[numbers]].sum()))
         n = docs.num_rows
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(np.full(n, train_tokens)), pa.array(base, pa.float64()), docs.column("score")], [c.split()[0] for c in SCORES.split(", ")])
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(np.full(n, train_tokens)), pa.array(base, pa.float64()), scores], [c.split()[0] for c in SCORES.split(", ")])
 
-    docs = rows.where(F.col("words").isNotNull()).select(F.col("block").alias("own_block"), "doc_id", "held_out", "n_tokens", "score", "words")
+    docs = rows.where(F.col("words").isNotNull()).select(F.col("block").alias("own_block"), "doc_id", "held_out", "n_tokens", "score", "words", "text")
     return docs.groupBy("own_block").cogroup(back.groupBy("of_block")).applyInArrow(finish, SCORES)
 
 

@@ -81,3 +81,17 @@ def test_query_learns_from_training_rows_only(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in found)
     assert all(r["n_known"] == r["n_tokens"] for r in found if not r["held_out"])
     assert np.mean([r["score"] / r["n_tokens"] for r in found]) > np.mean([r["base_score"] / r["n_tokens"] for r in found]) - 6
+
+
+@pytest.mark.parametrize("held", [lambda i: i % 3 == 1, lambda i: True])
+def test_no_code_is_left_out_of_models_beyond_max_nodes(spark, held, monkeypatch):
+    monkeypatch.setattr(ppm, "PART_CODES", 50)  # several tasks
+    rows = [(i, t, held(i)) for i, t in enumerate(TEXTS)]
+    training = [ppm.lowered(t) for _, t, h in rows if not h]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    broadcast = {r["doc_id"]: r for r in ppm.score(docs).collect()}
+    joined = {r["doc_id"]: r for r in ppm.score(docs, max_nodes=-1).collect()}
+    assert joined.keys() == broadcast.keys() == set(range(len(TEXTS)))
+    for i, r in joined.items():
+        assert math.isclose(r["score"], naive(training, ppm.lowered(TEXTS[i])), rel_tol=1e-5, abs_tol=1e-4), TEXTS[i]
+        assert r[:6] == broadcast[i][:6]
