@@ -75,13 +75,36 @@ def family_vote(rows: DataFrame, family: str, spelling: str) -> DataFrame:
     return n.groupBy("family").agg(F.min_by("spelling", F.struct(-F.col("n"), F.col("spelling"))).alias("spelling"), F.max("n").alias("votes"))
 
 
-def rename_plan(files: DataFrame, find: str, replacement: str) -> DataFrame:
-    """New names with numbers where two files of a folder would meet, ignoring case."""
-    stem, ext = F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"(\.[^.]*)$", 1)
-    wanted = F.concat(F.replace(stem, F.lit(find), F.lit(replacement)), ext)
-    w = Window.partitionBy("folder", F.lower(wanted)).orderBy("id")
-    n = F.row_number().over(w)
-    return files.select("id", "folder", "filename", F.when(n == 1, wanted).otherwise(F.concat(F.replace(stem, F.lit(find), F.lit(replacement)), F.lit("_"), n.cast("string"), ext)).alias("new_name"))
+def rename_plan(files: DataFrame, find: str, replacement: str, existing: DataFrame | None = None) -> DataFrame:
+    """New names with numbers where two files of a folder would meet, ignoring case.
+
+    No new name is one that a file of the folder has now, in files or in existing (folder, filename), but its own,
+    nor a name without a number that another file gets. Files whose name doesn't change keep it.
+    """
+    ending = r"(\.[^.]*)$"
+    stem = lambda name: F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
+    rows = files.select("id", "folder", "filename", F.replace(stem("filename"), F.lit(find), F.lit(replacement)).alias("stem"), F.regexp_extract("filename", ending, 1).alias("ext"))
+    rows = rows.withColumn("wanted", F.concat("stem", "ext")).withColumn("base", F.lower("wanted")).withColumn("own", F.col("base") == F.lower("filename"))
+    first_own = F.row_number().over(Window.partitionBy("folder", "base", "own").orderBy(F.col("wanted") != F.col("filename"), "id")) == 1
+    rows = rows.withColumn("stays", (F.col("wanted") == F.col("filename")) | (F.col("own") & first_own))
+    place = F.row_number().over(Window.partitionBy("folder", "base", "stays").orderBy("id")).cast("long")
+    rows = rows.withColumn("place", F.when(~F.col("stays"), place))
+    # names that are taken, as the numbers that they block of a base name (1: the name itself)
+    held = files.select("folder", F.lower("filename").alias("name"))
+    held = held if existing is None else held.union(existing.select("folder", F.lower("filename")))
+    number, number_end = F.regexp_extract(stem("name"), "_([1-9][0-9]{0,17})$", 1), F.regexp_extract("name", ending, 1)
+    numbered = held.union(rows.select("folder", "base")).where((number != "") & (number != "1"))
+    numbered = numbered.select("folder", F.concat(F.regexp_replace(stem("name"), "_[0-9]+$", ""), number_end).alias("base"), number.cast("long").alias("number"))
+    blocked = numbered.union(held.select("folder", F.col("name").alias("base"), F.lit(1).cast("long"))).distinct()
+    blocked = blocked.join(rows.where(~F.col("stays")).select("folder", "base").distinct(), ["folder", "base"], "left_semi")
+    by_base = Window.partitionBy("folder", "base")
+    blocked = blocked.select("folder", "base", (F.col("number") - F.row_number().over(by_base.orderBy("number"))).alias("place"))  # how many free numbers lie before it
+    nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "filename", "stem", "ext", "wanted")]
+    both = rows.where(~F.col("stays")).select("folder", "base", "place", "id", "filename", "stem", "ext", "wanted", F.lit(0).alias("skip")).union(blocked.select("folder", "base", "place", *nothing, F.lit(1)))
+    n = F.col("place") + F.sum("skip").over(by_base.orderBy("place", "skip").rowsBetween(Window.unboundedPreceding, 0))
+    named = both.withColumn("n", n).where("skip = 0")
+    named = named.select("id", "folder", "filename", F.when(F.col("n") == 1, F.col("wanted")).otherwise(F.concat("stem", F.lit("_"), F.col("n").cast("string"), "ext")).alias("new_name"))
+    return named.union(rows.where("stays").select("id", "folder", "filename", F.col("wanted").alias("new_name")))
 
 
 def whole_groups(files: DataFrame, selection: DataFrame) -> DataFrame:

@@ -352,7 +352,13 @@ def whole_groups(spark, sf_dir):
 
 @query(cat(", w AS (SELECT id, folder, filename, replace(regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 1), 'shot_', 'frame_9') AS s, ext FROM files WHERE id < 400), r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(s || ext) ORDER BY id) AS n FROM w) SELECT id, folder, filename, s || CASE WHEN n = 1 THEN '' ELSE '_' || cast(n AS varchar) END || ext AS new_name FROM r"))
 def rename_plan(spark, sf_dir):
-    return curate.rename_plan(media_view(spark, sf_dir).where("id < 400"), "shot_", "frame_9")
+    files = media_view(spark, sf_dir)
+    return curate.rename_plan(files.where("id < 400"), "shot_", "frame_9", files)
+
+
+@query(cat(", w AS (SELECT id, folder, filename, replace(regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 1), 'shot_', 'frame_9') AS s, ext FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(s || ext) ORDER BY id) AS n FROM w) SELECT id, folder, filename, s || CASE WHEN n = 1 THEN '' ELSE '_' || cast(n AS varchar) END || ext AS new_name FROM r"))
+def rename_plan_all(spark, sf_dir):
+    return curate.rename_plan(media_view(spark, sf_dir), "shot_", "frame_9")
 
 
 @query("SELECT event_id, coalesce(nullif(event_type, ''), 'none') AS kind, props IS NOT NULL AND props <> '' AS has_props, json_extract_string(props, '$.k') AS k FROM events")

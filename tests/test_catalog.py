@@ -71,3 +71,15 @@ def test_dml_and_merges(spark):
     assert [tuple(r) for r in curate.merge_notes(notes, "k", ["t"], "n", " | ").collect()] == [(1, "y | x")]
     empty = stored.where("false")
     assert curate.upsert(empty, stored, ["id"]).count() == 2 and curate.upsert(stored, empty, ["id"]).count() == 2
+
+
+def test_rename_plan_avoids_names_on_disk(spark):
+    names = {1: "a.png", 2: "b.png", 3: "A.png", 4: "new_b.png", 5: "x_a.png", 6: "x_A.png", 7: "x_c.png", 8: "x_C.PNG", 9: "x_a_4.png", 10: "Same.png"}
+    disk = spark.createDataFrame([(i, "f", n) for i, n in names.items()] + [(11, "f", "a_2.png"), (12, "g", "a.png"), (13, "f", "a_007.png")], "id long, folder string, filename string")
+    picked = disk.where("id >= 5 AND id <= 10")
+    plan = {r["id"]: r["new_name"] for r in curate.rename_plan(picked, "x_", "", disk).collect()}
+    # a.png and a_2.png exist, a_4.png is wanted by another file
+    assert plan == {5: "a_3.png", 6: "A_5.png", 7: "c.png", 8: "C_2.PNG", 9: "a_4.png", 10: "Same.png"}
+    case_only = spark.createDataFrame([(1, "f", "Cat.png"), (2, "f", "dog_Cat.png")], "id long, folder string, filename string")
+    plan = {r["id"]: r["new_name"] for r in curate.rename_plan(case_only, "Cat", "cat").collect()}
+    assert plan == {1: "cat.png", 2: "dog_cat.png"}
