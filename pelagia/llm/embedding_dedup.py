@@ -3,8 +3,11 @@
 Equal vectors are collapsed first. The rest go to shards of about SHARD_BYTES (65,536 vectors of 64 doubles) by
 a hash of the id; each shard's graph is built in one task and written. Then every vector queries every shard: tasks are (shard, block of
 queries), each with the shard's graph and a stream of queries, so memory is bounded by one shard and one
-batch. Each task audits AUDIT_QUERIES of its queries against all of the shard and doubles the beam until
-AUDIT_RECALL of the links are found; a query whose beam ends full of links follows the graph on until no
+block. Recall is audited against all of the shard twice: where the graph is built, with vectors of the shard moved
+to a cosine of PLANTED (so that every audit query has a link), and in each task, with queries from its whole block
+that have links besides themselves. Half of AUDIT_QUERIES are those with the fewest links of AUDIT_SAMPLE. Each
+query's recall counts alike, however many links it has; until the mean is AUDIT_RECALL the beam doubles, and
+beyond MAX_BEAM the shard is scanned whole. A query whose beam ends full of links follows the graph on until no
 further link hangs together with them, so large groups lose nothing. Cosines of all found pairs are verified
 in double precision. Of the links a task emits counts by query and a spanning forest, never pairs.
 
@@ -32,7 +35,11 @@ SHARD_BYTES = 32 << 20
 QUERY_ROWS = 8192
 BEAM = 32
 QUERY_BATCH = 512
+MAX_BEAM = 512
+AUDIT_SAMPLE = 256
 AUDIT_QUERIES = 64
+PLANTED = 0.96
+SCAN_ROWS = 32
 AUDIT_RECALL = 0.99
 MARGIN = 1e-4
 
@@ -69,7 +76,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         vectors = _matrix(rows.column("vector"))
         graph = Graph.build(_unit(vectors).astype(np.float32))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "size": [size], "ids": [rows.column("id").to_numpy().tobytes()], "ns": [rows.column("n").to_numpy().tobytes()], "vectors": [vectors.tobytes()], "graph": [graph.to_bytes()]}, pa.schema([("shard", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("ns", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())]))
+        row = {"ids": rows.column("id").to_numpy().tobytes(), "ns": rows.column("n").to_numpy().tobytes(), "vectors": vectors.tobytes(), "graph": graph.to_bytes(), "beam": BEAM}
+        built = Shard(row)
+        built.audit_planted()
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "size": [size], **{k: [v] for k, v in row.items()}, "beam": [built.beam]}, pa.schema([("shard", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("ns", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary()), ("beam", pa.int32())]))
 
 
 class Shard:
@@ -77,16 +87,20 @@ class Shard:
         self.ids, self.ns = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ns"], np.int64)
         self.units = _unit(np.frombuffer(row["vectors"]).reshape(len(self.ids), -1))
         self.graph = Graph.from_bytes(row["graph"], self.units.astype(np.float32))
-        self.beam, self.audited = BEAM, False
+        self.beam = row["beam"]
 
     def links(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Verified (query row, place in the shard) pairs."""
-        low = units.astype(np.float32)
-        if not self.audited:
-            self._audit(units[:: max(1, len(units) // AUDIT_QUERIES)][:AUDIT_QUERIES])
-        rows, places = self.graph.within(low, LEAST - MARGIN, self.beam)
+        if self.beam > MAX_BEAM:
+            return self._scan(units, LEAST)
+        rows, places = self.graph.within(units.astype(np.float32), LEAST - MARGIN, self.beam)
         return self._verified(units, rows, self.graph.order[places])
 
+    def _scan(self, units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs by comparing with all of the shard."""
+        found = [(a + r, c) for a in range(0, len(units), SCAN_ROWS) for r, c in [np.nonzero(units[a : a + SCAN_ROWS] @ self.units.T >= least)]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def _verified(self, units: np.ndarray, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         good = np.zeros(len(rows), bool)
         for a in range(0, len(rows), 100_000):
@@ -94,22 +108,57 @@ class Shard:
             good[part] = np.einsum("rd,rd->r", units[rows[part]], self.units[places[part]]) >= LEAST
         return rows[good], places[good]
 
-    def _audit(self, units: np.ndarray) -> None:
-        self.audited = True
-        exact = int((units @ self.units.T >= LEAST).sum())
-        while self.beam < len(self.ids):
-            rows, places = self.graph.within(units.astype(np.float32), LEAST - MARGIN, self.beam)
-            if len(self._verified(units, rows, self.graph.order[places])[0]) >= AUDIT_RECALL * exact:
+    def audit_planted(self) -> None:
+        rng = np.random.default_rng(len(self.ids))
+        near = self.units[_spread(len(self.ids), AUDIT_SAMPLE)]
+        away = rng.normal(size=near.shape)
+        away -= (away * near).sum(axis=1, keepdims=True) * near
+        if near.shape[1] > 1:
+            self._audit(PLANTED * near + np.sqrt(1 - PLANTED**2) * _unit(away), np.full(len(near), None))
+
+    def audit(self, units: np.ndarray, ids: np.ndarray) -> None:
+        """Widens the beam by queries from all of these."""
+        some = _spread(len(ids), AUDIT_SAMPLE)
+        self._audit(units[some], ids[some])
+
+    def _audit(self, units: np.ndarray, ids: np.ndarray) -> None:
+        rows, places = self._scan(units, LEAST + 1e-9)  # rounding decides about those between
+        other = self.ids[places] != ids[rows]
+        rows, places = rows[other], places[other]
+        n = np.bincount(rows, minlength=len(units))
+        linked = np.flatnonzero(n)
+        fewest = linked[np.argsort(n[linked], kind="stable")[: AUDIT_QUERIES // 2]]
+        chosen = np.union1d(fewest, linked[_spread(len(linked), AUDIT_QUERIES // 2)])
+        expected = (rows * len(self.ids) + places)[np.isin(rows, chosen)]
+        while len(chosen) and self.beam <= MAX_BEAM:
+            r, c = self.links(units[chosen])
+            got = np.intersect1d(chosen[r] * len(self.ids) + c, expected) // len(self.ids)
+            if np.mean(np.bincount(got, minlength=len(units))[chosen] / n[chosen]) >= AUDIT_RECALL:
                 break
             self.beam *= 2
 
 
+def _spread(n: int, most: int) -> np.ndarray:
+    """At most so many of n places, evenly through all of them."""
+    return np.unique(np.linspace(0, n - 1, min(n, most)).astype(np.int64)) if n else np.zeros(0, np.int64)
+
+
 OUT = "id long, links long, a long, b long"
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by query and forest edges; the partition is sorted so that a graph comes before its queries."""
-    shard, meet = None, None
+    shard, meet, waiting = None, None, []
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        if waiting:
+            ids = np.concatenate([part.column("id").to_numpy() for part in waiting])
+            shard.audit(_unit(np.concatenate([_matrix(part.column("vector")) for part in waiting])), ids)
+        for part in waiting:
+            for start in range(0, part.num_rows, QUERY_BATCH):
+                yield from _answer(shard, part.slice(start, QUERY_BATCH))
+        waiting.clear()
+
     for batch in batches:
         kinds, meets = batch.column("kind").to_numpy(), batch.column("meet").to_numpy()
         cuts = [0, *(np.flatnonzero((kinds[1:] == 0) | (kinds[:-1] == 0) | (meets[1:] != meets[:-1])) + 1).tolist(), batch.num_rows]
@@ -117,13 +166,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a == b:
                 continue
             if kinds[a] == 0:
+                yield from answers()
                 shard, meet = Shard(pickle.loads(batch.column("graph")[a].as_py())), meets[a]
                 continue
             if shard is None or meets[a] != meet:
                 continue  # no vector of this length in the shard
-            for start in range(a, b, QUERY_BATCH):
-                part = batch.slice(start, min(QUERY_BATCH, b - start))
-                yield from _answer(shard, part)
+            waiting.append(batch.slice(a, b - a))
+    yield from answers()
 
 
 def _answer(shard: Shard, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -161,7 +210,7 @@ def near_duplicates(embeddings: DataFrame, shard_rows: int | None = None) -> Dat
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-total // QUERY_ROWS))
     placed = reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("size", F.size("vector"))
     graphs = written(
-        placed.select("shard", "size", "id", "n", "vector").repartition(shards, "shard").sortWithinPartitions("shard", "id").mapInArrow(_build, "shard int, size int, ids binary, ns binary, vectors binary, graph binary"),
+        placed.select("shard", "size", "id", "n", "vector").repartition(shards, "shard").sortWithinPartitions("shard", "id").mapInArrow(_build, "shard int, size int, ids binary, ns binary, vectors binary, graph binary, beam int"),
         "vector-graphs",
     )
     meet = lambda shard, size, block: F.xxhash64(shard, size, block)
@@ -171,7 +220,7 @@ def near_duplicates(embeddings: DataFrame, shard_rows: int | None = None) -> Dat
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                blob = pickle.dumps({c: one.column(c)[0].as_py() for c in ("ids", "ns", "vectors", "graph")})
+                blob = pickle.dumps({c: one.column(c)[0].as_py() for c in ("ids", "ns", "vectors", "graph", "beam")})
                 yield pa.RecordBatch.from_arrays([one.column("shard"), one.column("size"), pa.array([blob], pa.binary())], ["shard", "size", "graph"])
 
     heads = graphs.mapInArrow(packed, "shard int, size int, graph binary").select("shard", "size", "graph", each_block)

@@ -1,7 +1,9 @@
+import pickle
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from pelagia.llm import embedding_dedup, near_dedup
@@ -143,3 +145,29 @@ def test_pipeline_keeps_clean_documents(spark):
         assert docs.columns == columns and docs.count() >= 0.8 * before, name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_audit_sees_lost_links_of_small_groups(monkeypatch):
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=16) * 3 + rng.normal(size=(1500, 16)) * 0.1
+    pairs = np.repeat(rng.normal(size=(60, 16)), 2, axis=0)
+    pairs[1::2] += rng.normal(size=(60, 16)) * 0.1
+    v = np.concatenate((rng.normal(size=(700, 16)), hot, pairs))  # the first of the block have no links
+    ids, first_pair = np.arange(len(v)), 2200
+
+    def lossy(graph, queries, least, width):  # a search that, with narrow beams, finds large groups and the query itself only
+        sims = queries @ graph.vectors.T
+        rows, places = np.nonzero(sims >= least)
+        large = np.bincount(rows, minlength=len(queries))[rows] > 100
+        keep = large | (sims[rows, places] > 0.99999) | (width >= 128)
+        return rows[keep], places[keep]
+
+    monkeypatch.setattr(embedding_dedup.Graph, "within", lossy)
+    rows = {"shard": pa.array(np.zeros(len(v), np.int32)), "size": pa.array(np.full(len(v), 16, np.int32)), "id": ids, "n": np.ones(len(v), np.int64), "vector": v.tolist()}
+    names = ["meet", "kind", "id", "n", "vector", "graph"]
+    (built,) = embedding_dedup._build(iter([pa.RecordBatch.from_pydict(rows)]))
+    blob = pickle.dumps({c: built.column(c)[0].as_py() for c in built.schema.names})
+    head = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([blob], pa.binary())], names)
+    asked = pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int64)), pa.array(np.ones(len(v), np.int32)), pa.array(ids), pa.array(rows["n"]), pa.array(rows["vector"], pa.list_(pa.float64())), pa.nulls(len(v), pa.binary())], names)
+    found = pa.Table.from_batches(list(embedding_dedup._search(iter([head, asked])))).to_pylist()
+    assert {r["id"] for r in found if r["links"]} >= set(range(first_pair, len(v)))
