@@ -1,9 +1,10 @@
 """Language identification, word first with backoff to character n-grams.
 
-Training is a Spark aggregation of word counts by language over a sample of labelled documents, at most
-about MAX_TRAIN_DOCS of them (chosen by a hash of the id), of which the MAX_WORDS most frequent
-(language, word) pairs reach the driver; character n-grams are counted from that bounded table. The model
-is broadcast (its size is bounded by MAX_WORDS) and prediction is one mapInArrow without a shuffle.
+Training is a Spark aggregation of word counts by language over a sample of labelled documents, about
+MAX_TRAIN_DOCS of them (chosen by a hash of the id) and of each language at least about MIN_LANG_DOCS, or all
+where it has no more. All (language, word) pairs of that sample reach the driver, and character n-grams are
+counted from them. The model is broadcast (its size is bounded by the sample) and prediction is one mapInArrow
+without a shuffle.
 
 A known word adds its log frequency in each language. An unseen one is looked up by its character n-grams
 of 5, then 4, 3, 2 and 1 letters, at the first length of which any n-gram is known.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pelagia.llm.common import crc_remainder, table
 
 MAX_TRAIN_DOCS = 8_000
-MAX_WORDS = 120_000
+MIN_LANG_DOCS = 200
 MAX_WORD_CHARS = 40
 NGRAM_LENGTHS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
@@ -107,23 +108,29 @@ class Predictor:
         return self.model.langs[best], float(1 / odds.sum())
 
 
-def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS) -> Model:
+def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MAX_TRAIN_DOCS, min_lang_docs: int = MIN_LANG_DOCS) -> Model:
     """Learns from the rows with a language and text that training (a condition) admits."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if training is not None:
         rows = rows.where(training)
-    n = rows.select("lang").count()
+    by_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = sum(by_lang.values())
     if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
+        # a language with few rows gives all of them
+        every = 1 << 30
+        shares = {lang: min(1.0, max(max_docs / n, min_lang_docs / m)) for lang, m in by_lang.items()}
+        limit = F.lit(int(every * max_docs / n))
+        raised = {lang: share for lang, share in shares.items() if share > max_docs / n}
+        if raised:
+            limit = F.coalesce(F.create_map(*(F.lit(x) for lang, share in raised.items() for x in (lang, int(every * share))))[F.col("lang")], limit)
+        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(every)) < limit)
     counts = (
         rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
         .where(F.length("word") <= MAX_WORD_CHARS)
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "word", "lang")
-        .limit(max_words)
     )
-    return Model([(r.lang, r.word, r.n) for r in counts.collect()])
+    return Model(sorted((r.lang, r.word, r.n) for r in counts.collect()))
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

@@ -81,6 +81,18 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) > 0.97 * len(held)
 
 
+def test_language_sample_keeps_rare_languages_and_rare_words(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    rows = [(i, " ".join(name(200 * i + j) for j in range(200)), "en") for i in range(900)]
+    rows += [(10_000 + i, "щука язык слово", "ru") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_docs=800)
+    assert sorted(model.langs) == ["en", "ru"]
+    assert len(model.words) > 120_000 and {"щука", "язык", "слово"} <= set(model.words)
+    assert language_id.Predictor(model)("язык слово")[0] == "ru"
+
+
 def test_language_backoff_and_odd_rows(spark):
     model = language_id.Model([("en", "the", 50), ("en", "thing", 5), ("de", "der", 40), ("de", "dingung", 5)])
     predict = language_id.Predictor(model)
