@@ -3,15 +3,21 @@
 A document is its set of 5-word shingles. In each of TREES independent trees a document follows, level by
 level, the minwise tokens of its set (those below 1 / (similarity * size) in the level's hash order, and
 always the smallest), so documents that share tokens share nodes. Nodes of at most NODE_LIMIT documents are
-compared exhaustively; larger ones branch on, LEVELS deep; what is still large then is compared whole, in
-pairs of blocks. Comparisons inside a node use 128-slot one-permutation sketches with a margin of four
-standard deviations, and give a spanning forest, never pairs: the components of all forests hold every class
-of linked documents. Each is then confirmed on the full sets, again in blocks and with a forest as result.
+leaves; larger ones branch on, LEVELS deep, and are leaves then. Comparisons inside a leaf use 128-slot
+one-permutation sketches with a margin of four standard deviations, and give a spanning forest, never pairs.
+The likeliest edge of each document is then confirmed on the full sets. That settles most groups of copies,
+whatever their size, in one pass; only documents that do not hang together yet are compared further: those
+of large leaves across their blocks by sketches, then those of one candidate class by full sets. Of the links
+confirmed there, too, a forest goes on.
 
 Equal sets are collapsed first (one row for each, by a pre-aggregation), so exact copies never meet in a
-group. Two documents of similarity 0.75 share a node of one tree with a chance of at least a half, so
+group. Two documents of similarity 0.75 share a leaf of one tree with a chance of at least a half, so
 twelve trees miss less than one pair in 4,000.
 
+Cost: a leaf or class with one large settled part of g documents and r others takes g * r / block reads at
+most. What stays quadratic is a leaf of many documents that share their minwise tokens at LEVELS levels and
+are not near copies of each other.
+
 Defined results: a null text, or one without words, has an empty set, links with nothing and is kept. Fewer
 than five words are one shingle. Rows that share an id count as one document; a row with a null id stays
 alone, with a null component, and is kept. Only doc_id and text are read.
@@ -33,7 +39,7 @@ WORDS = 5
 PERCENT = 75
 TREES, LEVELS = 12, 3
 NODE_LIMIT = 64
-BLOCK = 2048
+BLOCK = 1024
 CLUSTER_BLOCK = 512
 MAP_BITS = 1 << 27
 SLOTS = 128
@@ -159,16 +165,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-EDGES = "a long, b long"
+EDGES = "a long, b long, score double"
 
 
-def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+def _edge_batch(pairs: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    a, b, score = zip(*pairs, strict=True) if pairs else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], ["a", "b", "score"])
 
 
 def _edges_of(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
-    pairs: list[tuple[int, int]] = []
+    pairs: list[tuple[int, int, float]] = []
     for group in _groups(batches):
         if group.num_rows > 1:
             pairs += compare(group)
@@ -178,79 +184,146 @@ def _edges_of(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordB
     yield _edge_batch(pairs)
 
 
-def _likely(group: pa.Table) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sketches leave a similarity of PERCENT possible."""
+def _roots(group: pa.Table) -> np.ndarray:
+    """For each row the first row of the group that is known to hang together with it."""
+    if "sub" not in group.column_names:
+        return np.arange(group.num_rows)
+    _, first, inverse = np.unique(group.column("sub").to_numpy(), return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def _partners(i: int, roots: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Rows after i that row i is still to be compared with; where two sides meet, only those of the other side."""
+    rest = roots[i + 1 :] != roots[i]
+    if side is not None:
+        rest &= side[i + 1 :] != side[i]
+    return i + 1 + np.flatnonzero(rest)
+
+
+def _sides(group: pa.Table) -> np.ndarray | None:
+    side = group.column("side").to_numpy() if "side" in group.column_names else None
+    return side if side is not None and side.min() != side.max() else None
+
+
+def _likely(group: pa.Table) -> list[tuple[int, int, float]]:
+    """A spanning forest of the pairs whose sketches leave a similarity of PERCENT possible, with that estimate."""
     ids = group.column("rep").to_numpy()
     size = group.column("n_shingles").to_numpy().astype(float)
     slots = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
     filled = slots != EMPTY
-    forest, out = Forest(len(ids)), []
+    forest, out, side = Forest(len(ids)), [], _sides(group)
+    forest.root = _roots(group)
     for i in range(len(ids) - 1):
-        rest = i + 1 + np.flatnonzero(forest.root[i + 1 :] != forest.root[i])
+        rest = _partners(i, forest.root, side)
         if not len(rest):
             continue
         equal = ((slots[rest] == slots[i]) & filled[i]).sum(axis=1)
         either = (filled[rest] | filled[i]).sum(axis=1)
         near = (equal >= (PERCENT / 100 - SKETCH_MARGIN) * either) & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))
-        for j in rest[near]:
+        for j, score in zip(rest[near], (equal / np.maximum(either, 1))[near], strict=True):
             if forest.union(i, int(j)):
-                out.append((int(ids[i]), int(ids[j])))
+                out.append((int(ids[i]), int(ids[j]), float(score)))
     return out
 
 
-def _linked(group: pa.Table) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that are linked, by their full sets."""
+def _linked(group: pa.Table) -> list[tuple[int, int, float]]:
+    """Pairs that are linked by their full sets and, with what is known already, span all such pairs."""
     ids = group.column("rep").to_numpy()
     sets = [shingles(t) for t in group.column("text").to_pylist()]
     size = np.array([len(s) for s in sets], np.int64)
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    forest, out = Forest(len(ids)), []
+    forest, out, side = Forest(len(ids)), [], _sides(group)
+    forest.root = _roots(group)
     for i in range(len(ids) - 1):
-        if (forest.root[i + 1 :] == forest.root[i]).all():
+        rest = _partners(i, forest.root, side)
+        if not len(rest):
             continue
         low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
         width = high - low
         at = np.repeat(low - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
-        common = np.bincount(owner[at], minlength=len(ids))
-        for j in np.flatnonzero(100 * common >= PERCENT * (size + size[i] - common)):
-            if j > i and forest.union(i, int(j)):
-                out.append((int(ids[i]), int(ids[j])))
+        common = np.bincount(owner[at], minlength=len(ids))[rest]
+        for j in rest[100 * common >= PERCENT * (size[rest] + size[i] - common)]:
+            if forest.union(i, int(j)):
+                out.append((int(ids[i]), int(ids[j]), 1.0))
     return out
 
 
-def _block_pairs(rows: DataFrame, key: str, n: Column, block: int, name: str) -> DataFrame:
-    """Rows with the key of each pair of blocks that they take part in; small groups are one pair."""
-    blocks = F.ceil(n / block).cast("int")
-    own = F.pmod(F.xxhash64(F.col("rep"), F.lit(11)), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    keys = F.transform(others, lambda x: F.xxhash64(F.col(key), F.least(x, own), F.greatest(x, own)))
-    return rows.withColumn(name, F.explode(F.when(blocks > 1, keys).otherwise(F.array(F.xxhash64(F.col(key))))))
-
-
-def _candidate_forest(reps: DataFrame) -> DataFrame:
-    """Edges whose components hold every linked pair: nodes of all trees, compared by sketches."""
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges whose ends are linked: a parent (kind 0) comes before its children, which are a stream."""
+    meet, parent, sets = None, None, []
+    for batch in batches:
+        pairs = []
+        for key, kind, rep, text in zip(*(batch.column(c).to_pylist() for c in ("meet", "kind", "rep", "text")), strict=True):
+            if key != meet:
+                meet, sets = key, []
+            own = shingles(text)
+            if kind == 0:
+                parent = rep
+                sets.append(own)
+                continue
+            for other in sets:
+                common = np.intersect1d(own, other, assume_unique=True).size
+                if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                    pairs.append((parent, rep, 1.0))
+                    break
+        yield _edge_batch(pairs)
+
+
+def _leaves(reps: DataFrame) -> DataFrame:
+    """(node, rep, n): the documents of each leaf of all trees with n > 1 documents.
+
+    A leaf is a node of at most NODE_LIMIT documents, or any at the last level. Leaves of the same documents
+    are one. The join with the counts gives each row its count: as many rows as before, however large a node.
+    """
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.transform(F.get(F.get(F.col("choices"), t), F.lit(0)), lambda x: F.struct(t.alias("tree"), F.xxhash64(t, x).alias("node"))))
     level = reps.select("rep", F.explode(F.flatten(trees)).alias("x")).select("rep", "x.tree", "x.node")
-    ready = []
+    ready = None
     for depth in range(LEVELS):
-        level = written(level, "path-level")
-        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
+        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+        level = written(level.join(counts, "node"), "path-level")
         last = depth == LEVELS - 1
-        leaves = counts if last else counts.where(F.col("n") <= NODE_LIMIT)
-        once = leaves.groupBy("n", "members").agg(F.min("node").alias("node"))  # nodes with the same documents count once
-        ready.append(level.join(once, "node").select("node", "rep", "n"))
-        if not last:
-            large = level.join(counts.where(F.col("n") > NODE_LIMIT), "node").select("rep", "tree", "node")
-            follow = F.get(F.get(F.col("choices"), F.col("tree")), F.lit(depth + 1))
-            level = large.join(reps.select("rep", "choices"), "rep").select("rep", "tree", F.explode(follow).alias("token"), "node").select("rep", "tree", F.xxhash64("node", "token").alias("node")).distinct()
-    nodes = ready[0]
-    for more in ready[1:]:
-        nodes = nodes.union(more)
-    pairs = _block_pairs(nodes, "node", F.col("n"), BLOCK, "meet").select("meet", "rep")
-    rows = pairs.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("meet", "rep", "n_shingles", "sketch")
-    return rows.repartition("meet").sortWithinPartitions("meet", "rep").mapInArrow(lambda batches: _edges_of(batches, _likely), EDGES)
+        leaves = level.where("n > 1" if last else f"n > 1 and n <= {NODE_LIMIT}").select(F.xxhash64("n", "members").alias("node"), "rep", "n")
+        ready = leaves if ready is None else ready.union(leaves)
+        large = level.where(F.col("n") > NODE_LIMIT)
+        if last or large.isEmpty():
+            break
+        follow = F.get(F.get(F.col("choices"), F.col("tree")), F.lit(depth + 1))
+        level = large.select("rep", "tree", "node").join(reps.select("rep", "choices"), "rep").select("rep", "tree", F.explode(follow).alias("token"), "node")
+        level = written(level.select("rep", "tree", F.xxhash64("node", "token").alias("node")).distinct(), "path-level")
+    return ready
+
+
+def _compare(rows: DataFrame, compare) -> DataFrame:
+    """Edges of the groups with equal meet, each compared in one task."""
+    return rows.repartition("meet").sortWithinPartitions("meet", "rep").mapInArrow(lambda batches: _edges_of(batches, compare), EDGES)
+
+
+def _in_nodes(leaves: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely edges inside leaves; those of more than BLOCK documents are dealt to blocks at random."""
+    meet = F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / BLOCK)))
+    meets = leaves.select("rep", meet.alias("meet")).groupBy("rep").agg(F.collect_set("meet").alias("meets"))  # at most one for each path
+    return _compare(meets.join(reps.select("rep", "n_shingles", "sketch"), "rep").select(F.explode("meets").alias("meet"), "rep", "n_shingles", "sketch"), _likely)
+
+
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """(meet, rep, sub, side) so that documents of one key but different sub meet; rows are (key, rep, sub).
+
+    Keys of one sub are done. In the others the largest sub, whose documents needn't meet each other, is dealt to
+    blocks once for each block of the rest, so a key with a huge sub and few others costs its size.
+    """
+    subs = rows.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("n"))
+    split = subs.groupBy("key").agg(F.max_by("sub", F.struct("n", "sub")).alias("giant"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    rows = rows.join(split, "key")
+    large, rest = F.ceil(F.col("most") / block).cast("int"), F.ceil(F.col("others") / block).cast("int")
+    in_giant = F.col("sub") == F.col("giant")
+    own = F.pmod(F.xxhash64("rep", F.lit(11)), F.when(in_giant, large).otherwise(rest)).cast("int")
+    with_giant = lambda g, o: F.xxhash64("key", F.lit(1), g, o)
+    each_rest, each_large = F.sequence(F.lit(0), rest - 1), F.sequence(F.lit(0), large - 1)
+    giants = F.transform(each_rest, lambda o: with_giant(own, o))
+    others = F.concat(F.transform(each_large, lambda g: with_giant(g, own)), F.transform(each_rest, lambda o: F.xxhash64("key", F.lit(0), F.least(o, own), F.greatest(o, own))))
+    return rows.select(F.explode(F.when(in_giant, giants).otherwise(others)).alias("meet"), "rep", "sub", F.when(in_giant, 1).otherwise(0).alias("side"))
 
 
 def _maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -268,14 +341,50 @@ def _maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("part", F.shiftright(place, 15)).join(F.broadcast(bitmap), "part").where(there).drop("part", "bits")
 
 
-def _confirmed_forest(clusters: DataFrame, documents: DataFrame) -> DataFrame:
-    """Edges that span exactly the linked documents of each candidate component."""
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+def _with_texts(rows: DataFrame, documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where(F.col("rep").isNotNull() & F.col("text").isNotNull())
-    members = clusters.join(sizes, "component").select(F.col("id").alias("rep"), "component", "n")
-    texts = _maybe_in(texts, members.select("rep"), "rep")
-    rows = _block_pairs(texts.join(members, "rep"), "component", F.col("n"), CLUSTER_BLOCK, "meet").select("meet", "rep", "text")
-    return rows.repartition("meet").sortWithinPartitions("meet", "rep").mapInArrow(lambda batches: _edges_of(batches, _linked), EDGES)
+    return _maybe_in(texts, rows.select("rep").distinct(), "rep").join(rows, "rep")
+
+
+def _confirmed_parents(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of each document's edges to smaller ids the likeliest, if full sets confirm it.
+
+    The children of one document are dealt to blocks of about CLUSTER_BLOCK, each with the document's text.
+    """
+    best = edges.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
+    children = best.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    dealt = best.join(children, "a").select("a", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CLUSTER_BLOCK))).alias("meet"), "b")
+    ends = dealt.select("meet", F.lit(1).alias("kind"), F.col("b").alias("rep")).union(dealt.select("meet", F.lit(0), F.col("a")).distinct())
+    rows = _with_texts(written(ends, "near-parents"), documents).select("meet", "kind", "rep", "text")
+    return rows.repartition("meet").sortWithinPartitions("meet", "kind", "rep").mapInArrow(_confirmed, EDGES)
+
+
+def _known(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """ids with sub, the component that is known of each rep so far."""
+    return ids.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*ids.columns, F.coalesce("component", "rep").alias("sub"))
+
+
+def links(reps: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, component) of all ids that have links, from candidates to confirmed classes.
+
+    Likely edges inside leaves give candidates; the likeliest edge of each document is confirmed on full sets,
+    which settles groups of copies at the cost of their size. Only then do blocks of large leaves meet, and
+    then documents of one candidate class, each time without those that are known to hang together.
+    """
+    leaves = _leaves(reps)
+    likely = written(_in_nodes(leaves, reps), "near-likely")
+    parents = written(_confirmed_parents(likely, documents), "near-parent-links")
+    found = components(parents.select("a", "b"), "near-found")
+    large = leaves.where(F.col("n") > BLOCK).select(F.col("node").alias("key"), "rep").distinct()
+    meeting = _across(written(_known(large, found), "near-large"), BLOCK).join(reps.select("rep", "n_shingles", "sketch"), "rep").select("meet", "rep", "n_shingles", "sketch", "sub", "side")
+    more = written(_compare(meeting, _likely), "near-more")
+    classes = components(likely.select("a", "b").union(more.select("a", "b")).union(parents.select("a", "b")), "near-candidates")
+    unsettled = written(_known(classes.select(F.col("component").alias("key"), F.col("id").alias("rep")), found), "near-classes")
+    rest = written(_across(unsettled, CLUSTER_BLOCK), "near-unsettled")
+    last = written(_compare(_with_texts(rest, documents).select("meet", "rep", "text", "sub", "side"), _linked), "near-last")
+    if last.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last.select("a", "b")), "near-links")
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -284,8 +393,7 @@ def classes(documents: DataFrame) -> DataFrame:
     known = rows.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
     firsts = known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     reps = written(known.join(firsts, ["fp1", "fp2"]).where("doc_id = rep").dropDuplicates(["rep", "fp1", "fp2"]).select("rep", "fp1", "fp2", "n_shingles", "choices", "sketch"), "near-reps")
-    clusters = components(_candidate_forest(reps), "near-candidates")
-    found = components(_confirmed_forest(clusters, documents), "near-links")
+    found = links(reps, documents)
     by_set = reps.select("fp1", "fp2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(by_set, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
