@@ -271,27 +271,39 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(pairs)
 
 
+def _followed(depth: int):
+    """From a path (tree, node) the nodes that a document's choices at this depth lead to."""
+
+    def follow(path: Column) -> Column:
+        tokens = F.get(F.get(F.col("choices"), path["tree"]), F.lit(depth))
+        return F.transform(tokens, lambda x: F.struct(path["tree"].alias("tree"), F.xxhash64(path["node"], x).alias("node")))
+
+    return follow
+
+
 def _leaves(reps: DataFrame) -> DataFrame:
     """(node, rep, n): the documents of each leaf of all trees with n > 1 documents.
 
     A leaf is a node of at most NODE_LIMIT documents, or any at the last level. Leaves of the same documents
-    are one. The join with the counts gives each row its count: as many rows as before, however large a node.
+    are one. The join with the counts gives each row its count, so it has as many rows as before, however large
+    a node is, and both sides are written, so that a hot node can be split. A document's paths (bounded by
+    the number of trees and levels) follow its choices in one row.
     """
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.transform(F.get(F.get(F.col("choices"), t), F.lit(0)), lambda x: F.struct(t.alias("tree"), F.xxhash64(t, x).alias("node"))))
     level = reps.select("rep", F.explode(F.flatten(trees)).alias("x")).select("rep", "x.tree", "x.node")
     ready = None
     for depth in range(LEVELS):
-        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"))
-        level = written(level.join(counts, "node"), "path-level")
+        counts = written(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1"), "path-counts")
+        level = written(level.join(counts, "node", "left"), "path-level")
         last = depth == LEVELS - 1
         leaves = level.where("n > 1" if last else f"n > 1 and n <= {NODE_LIMIT}").select(F.xxhash64("n", "members").alias("node"), "rep", "n")
         ready = leaves if ready is None else ready.union(leaves)
         large = level.where(F.col("n") > NODE_LIMIT)
         if last or large.isEmpty():
             break
-        follow = F.get(F.get(F.col("choices"), F.col("tree")), F.lit(depth + 1))
-        level = large.select("rep", "tree", "node").join(reps.select("rep", "choices"), "rep").select("rep", "tree", F.explode(follow).alias("token"), "node")
-        level = written(level.select("rep", "tree", F.xxhash64("node", "token").alias("node")).distinct(), "path-level")
+        paths = large.groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("paths")).join(reps.select("rep", "choices"), "rep")
+        steps = F.array_distinct(F.flatten(F.transform("paths", _followed(depth + 1))))
+        level = written(paths.select("rep", F.explode(steps).alias("x")).select("rep", "x.tree", "x.node"), "path-level")
     return ready
 
 
