@@ -183,32 +183,12 @@ class Graph:
             ids[live], sims[live], expanded[live] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_done, top, 1)
         return ids, sims
 
-    def within(self, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, node) pairs of similarity at least `least`: a beam, and where it is full of such nodes, all that hang together with them."""
+    def nearest(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes and similarities that a beam of this width ends with, best first; -1 and -2 where there are fewer."""
         enter = np.zeros(len(queries), np.int64)
         for layer in range(len(self.layers) - 1, 0, -1):
             enter = self._beam(queries, enter, 1, layer)[0][:, 0]
-        ids, sims = self._beam(queries, enter, min(width, len(self.vectors)), 0)
-        near = (sims >= least) & (ids >= 0)
-        full = near.all(axis=1)
-        rows, cols = np.nonzero(near & ~full[:, None])
-        out_rows, out_ids = [rows], [ids[rows, cols]]
-        for r in np.flatnonzero(full):
-            reached = np.zeros(len(self.vectors), bool)
-            tried = np.zeros(len(self.vectors), bool)
-            front = ids[r]
-            reached[front] = tried[front] = True
-            while len(front):
-                new = np.unique(self.layers[0][front])
-                new = new[new >= 0]
-                new = new[~tried[new]]
-                tried[new] = True
-                front = new[self.vectors[new] @ queries[r] >= least]
-                reached[front] = True
-            found = np.flatnonzero(reached)
-            out_rows.append(np.full(len(found), r))
-            out_ids.append(found)
-        return np.concatenate(out_rows), np.concatenate(out_ids)
+        return self._beam(queries, enter, min(width, len(self.vectors)), 0)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()

@@ -1,9 +1,7 @@
-import pickle
 import random
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 
 import corpus_pipeline
 from pelagia.llm import embedding_dedup, near_dedup
@@ -114,11 +112,28 @@ def test_vectors_equal_brute_force(spark):
     rows += [(600 + i, rows[20][1]) for i in range(40)]
     table = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int")
     links, classes = brute_vectors(rows)
-    got = embedding_dedup.near_duplicates(table, shard_rows=150).collect()
-    assert len(got) == len(rows)
-    wrong = [r for r in got if r["vec_id"] is not None and (r["n_links"] != links[r["vec_id"]] or r["component_id"] != classes[r["vec_id"]])]
-    assert len(wrong) <= 0.01 * len(rows), wrong[:5]
+    for shards in (1, 4):
+        got = embedding_dedup.near_duplicates(table, shards).collect()
+        assert len(got) == len(rows)
+        wrong = [r for r in got if r["vec_id"] is not None and (r["n_links"] != links[r["vec_id"]] or r["component_id"] != classes[r["vec_id"]])]
+        assert not wrong, wrong[:5]
+        assert all(r["kept"] and r["n_links"] == 0 for r in got if r["vec_id"] is None)
+    assert sum(links.values()) > 5000
     assert embedding_dedup.near_duplicates(table.where("false")).count() == 0
+    _, reps = embedding_dedup.distinct_vectors(table)
+    audits = embedding_dedup.search(reps, 4).audits.collect()
+    assert sum(r["queries"] for r in audits) > 100 and all(r["recall"] >= 0.99 for r in audits)
+
+
+def test_large_groups_of_vectors_over_several_shards(spark):
+    rng = np.random.default_rng(12)
+    hot = rng.normal(size=16) * 3 + rng.normal(size=(900, 16)) * 0.25
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate((hot, rng.normal(size=(600, 16)))))]
+    links, classes = brute_vectors(rows)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3).collect()
+    wrong = [r for r in got if r["n_links"] != links[r["vec_id"]] or r["component_id"] != classes[r["vec_id"]]]
+    assert max(links.values()) > 512 and len(wrong) <= 0.01 * len(rows), wrong[:5]
+    assert sum(r["n_links"] for r in got) % 2 == 0  # each link counts on both sides
 
 
 def test_graph_recall_on_a_dense_group():
@@ -127,11 +142,14 @@ def test_graph_recall_on_a_dense_group():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     graph = Graph.build(v.astype(np.float32))
     again = Graph.from_bytes(graph.to_bytes(), v.astype(np.float32))
-    rows, nodes = again.within(v.astype(np.float32), 0.95, 32)
+    shard = embedding_dedup.Shard(np.arange(len(v)), np.ones(len(v), np.int64), v, again)
     exact = v @ v.T >= 0.95
+    rows, nodes, dense = shard.search(v, 32)
     found = np.zeros_like(exact)
-    found[rows, again.order[nodes]] = True
-    assert (found & exact).sum() >= 0.995 * exact.sum()
+    found[rows, nodes] = True
+    for part, hit in shard.scan(v, dense):
+        found[part] = hit
+    assert (found & exact).sum() >= 0.995 * exact.sum() and not (found & ~exact).any()
 
 
 def test_pipeline_keeps_clean_documents(spark):
@@ -154,20 +172,25 @@ def test_audit_sees_lost_links_of_small_groups(monkeypatch):
     pairs[1::2] += rng.normal(size=(60, 16)) * 0.1
     v = np.concatenate((rng.normal(size=(700, 16)), hot, pairs))  # the first of the block have no links
     ids, first_pair = np.arange(len(v)), 2200
-
-    def lossy(graph, queries, least, width):  # a search that, with narrow beams, finds large groups and the query itself only
-        sims = queries @ graph.vectors.T
-        rows, places = np.nonzero(sims >= least)
-        large = np.bincount(rows, minlength=len(queries))[rows] > 100
-        keep = large | (sims[rows, places] > 0.99999) | (width >= 128)
-        return rows[keep], places[keep]
-
-    monkeypatch.setattr(embedding_dedup.Graph, "within", lossy)
-    rows = {"shard": pa.array(np.zeros(len(v), np.int32)), "size": pa.array(np.full(len(v), 16, np.int32)), "id": ids, "n": np.ones(len(v), np.int64), "vector": v.tolist()}
-    names = ["meet", "kind", "id", "n", "vector", "graph"]
-    (built,) = embedding_dedup._build(iter([pa.RecordBatch.from_pydict(rows)]))
-    blob = pickle.dumps({c: built.column(c)[0].as_py() for c in built.schema.names})
-    head = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([blob], pa.binary())], names)
-    asked = pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int64)), pa.array(np.ones(len(v), np.int32)), pa.array(ids), pa.array(rows["n"]), pa.array(rows["vector"], pa.list_(pa.float64())), pa.nulls(len(v), pa.binary())], names)
-    found = pa.Table.from_batches(list(embedding_dedup._search(iter([head, asked])))).to_pylist()
-    assert {r["id"] for r in found if r["links"]} >= set(range(first_pair, len(v)))
+    nearest = Graph.nearest
+
+    def lossy(graph, queries, width):  # a search that, with narrow beams, finds large groups and the query itself only
+        ids, sims = nearest(graph, queries, width)
+        lost = (sims < 0.99999) & ((sims >= 0.9).sum(axis=1, keepdims=True) < 20) & (width < 128)
+        return np.where(lost, -1, ids), np.where(lost, -2.0, sims)
+
+    monkeypatch.setattr(embedding_dedup.Graph, "nearest", lossy)
+    shard = embedding_dedup.Shard.build(ids, np.ones(len(v), np.int64), v)
+    again = embedding_dedup.Shard.from_bytes(shard.to_bytes())
+    counts, _, root, audits = embedding_dedup.link_counts(again, again, True)
+    assert (counts[first_pair:] == 1).all() and (np.diff(root[first_pair:].reshape(-1, 2), axis=1) == 0).all()
+    assert audits[0][0] >= 128 and audits[0][1] > 0
+
+
+def test_parts_merge():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    root = np.arange(400)
+    embedding_dedup.merge(root, a, b)
+    expected = union(list(zip(a.tolist(), b.tolist(), strict=True)), range(400))
+    assert root.tolist() == [expected[i] for i in range(400)]
