@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pelagia.functions import vocab
 
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> tuple[str, str]:
+    """Letters of Latin, Greek and Cyrillic that are a base letter with marks, and their base letters."""
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        first, *rest = unicodedata.normalize("NFD", chr(code))
+        if rest and first.isalpha() and all(unicodedata.category(c) == "Mn" for c in rest):
+            marked.append(chr(code))
+            plain.append(first)
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the diacritics of Latin letters."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -21,22 +33,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def has_prefix_term(token_column: Column, term: str) -> Column:
-    """Whether a token starts with the term; a term with underscores is a phrase whose last word is a prefix."""
-    words = [w for w in term.lower().replace("'", "_").split("_") if w]
-    if not words:
-        return F.lit(True)
-    if len(words) == 1:
-        return F.exists(token_column, lambda t: t.startswith(words[0]))
-    positions = F.when(F.size(token_column) >= len(words), F.sequence(F.lit(0), F.size(token_column) - len(words)))
+def search_text(*texts: Column) -> Column:
+    """Folded words of each text, a blank before each and a line end after each text.
+
+    A token starts with a term, or neighbours are a phrase, exactly if this contains the blank and the words.
+    """
+    return F.concat(*(F.concat(F.lit(" "), F.regexp_replace(fold(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit("\n")) for t in texts))
 
-    def at(i: Column) -> Column:
-        hit = F.get(token_column, i + len(words) - 1).startswith(words[-1])
-        for k, word in enumerate(words[:-1]):
-            hit = hit & (F.get(token_column, i + k) == word)
-        return hit
 
-    return F.coalesce(F.exists(positions, at), F.lit(False))
+def term_words(term: str) -> list[str]:
+    """The folded words of a search term: several are a phrase."""
+    folded = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if unicodedata.category(c) != "Mn")
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded).split()
+
+
+def has_term(searched: Column, term: str) -> Column:
+    """Whether a word of search_text starts with the term; of a phrase the last word is a prefix."""
+    words = term_words(term)
+    return searched.contains(" " + " ".join(words)) if words else F.lit(True)
 
 
 def is_kind(extension: Column, kind: str) -> Column:
@@ -55,15 +69,44 @@ def card_key(group_id: Column, file_id: Column) -> Column:
     return F.coalesce(group_id, F.concat(F.lit("i"), file_id.cast("string")))
 
 
-def face_rank(stage: Column, filename: Column) -> Column:
-    """How well a member stands for its set; a blank stage is read from the filename."""
-    named = F.lower(F.coalesce(F.nullif(F.trim(stage), F.lit("")), F.regexp_extract(F.lower(filename), r"[-_ .](final|upscale|detail|raw|first)[-_ .]", 1)))
-    out = F.lit(vocab.OTHER_FACE_RANK)
-    for name, rank in vocab.FACE_RANKS.items():
-        out = F.when(named == name, F.lit(rank)).otherwise(out)
+def canonical_stage(stage: Column) -> Column:
+    """One name for each stage, whatever it was called; '' for a blank one."""
+    name = F.lower(F.trim(F.coalesce(stage, F.lit(""))))
+    out = name
+    for old, new in vocab.STAGE_ALIASES.items():
+        out = F.when(name == old, F.lit(new)).otherwise(out)
     return out
 
 
+def face_rank(stage: Column, filename: Column) -> Column:
+    """How well a member stands for its set, 0 best: the later its stage, the better; unknown stages are worst.
+
+    Only a file without a stage is judged by the role in its name.
+    """
+    last, named = len(vocab.STAGES) - 1, F.lower(F.coalesce(stage, F.lit("")))
+    order = {name: last - i for i, name in enumerate(vocab.STAGES)}
+    known = order | {old: order[new] for old, new in vocab.STAGE_ALIASES.items()}
+    out = None
+    for name, rank in known.items():
+        out = F.when(named == name, rank) if out is None else out.when(named == name, rank)
+    out = out.when(named != "", last + 1)
+    for role in reversed(vocab.SET_ROLES):
+        out = out.when(F.contains(F.lower(filename), F.lit(role)), known[role])
+    return out.otherwise(last + 1)
+
+
+def stage_rank(stage: Column) -> Column:
+    """Order of panes: unknown stages first, then the pipeline's, files without a stage last."""
+    named = canonical_stage(stage)
+    place = F.array_position(F.array(*map(F.lit, vocab.STAGES)), named)
+    return F.when(named == "", len(vocab.STAGES)).when(place > 0, place.cast("int") - 1).otherwise(-1)
+
+
+def lenient_number(text: Column) -> Column:
+    """The number, or null where it is none."""
+    return F.trim(text).try_cast("double")
+
+
 def shuffle_order(shuffle_key: Column, seed: int) -> Column:
     """A stable shuffle: the same order for a seed whatever page is read."""
     return (F.coalesce(shuffle_key, F.lit(0)).cast("long") * F.lit(seed % vocab.SHUFFLE_SEEDS or 1)) % F.lit(vocab.SHUFFLE_MODULUS)
@@ -77,8 +120,24 @@ def stem(filename: Column) -> Column:
     return F.regexp_replace(filename, r"\.[A-Za-z0-9]{1,5}$", "")
 
 
+def plain_stem(filename: Column) -> Column:
+    """The name without run codes and long counters; times of day stay."""
+    out = file_stem(F.coalesce(filename, F.lit("")))
+    for _ in range(3):
+        out = F.regexp_replace(F.regexp_replace(out, r"(?i)~vv[0-9a-z]{4,10}|_[0-9]{5,}$", ""), r"[_\-. ]+$", "")
+    return out
+
+
+def name_from_filename(filename: Column) -> Column:
+    """What a person called a generated file: the stem without counter, run code and time at its end; null if nothing is left."""
+    out = file_stem(filename)
+    for _ in range(3):
+        out = F.regexp_replace(F.regexp_replace(out, r"(?i)(_[0-9]{5,})?(~vv[0-9a-z]{4,10})?(_[0-9]{2}-[0-9]{2}-[0-9]{2})?$", ""), r"[_\-. ]+$", "")
+    return F.when(out != "", out)
+
+
 def readable_stem(filename: Column) -> Column:
-    """The stem without run code, time and counter tails."""
+    """The stem without run code, time and counter tails, with blanks for dashes."""
     out = stem(filename)
     for _ in range(3):
         out = F.regexp_replace(out, r"([ _-]+[0-9]{1,8}|~vv[0-9a-z]{4,10})$", "")
@@ -90,17 +149,49 @@ def run_code(seconds: Column) -> Column:
     return F.concat(F.lit("~vv"), F.lower(F.lpad(F.conv((seconds - F.lit(1577836800)).cast("string"), 10, 36), 6, "0")))
 
 
+def run_code_key(filename: Column) -> Column:
+    """A name up to its run code, lower case; null for names without one."""
+    return F.nullif(F.lower(F.regexp_extract(filename, r"(?i)^(.*?~vv[0-9a-z]{4,10}(?![0-9a-z]))", 1)), F.lit(""))
+
+
+def name_parts(filename: Column) -> Column:
+    return F.filter(F.split(F.lower(file_stem(filename)), r"[\s._-]+"), lambda x: x != "")
+
+
+def pair_key(filename: Column) -> Column:
+    """The name without the words that tell a still from its video."""
+    return F.array_join(F.filter(name_parts(filename), lambda x: ~x.isin(*vocab.PAIR_ROLES)), "_")
+
+
+def set_role(filename: Column) -> Column:
+    """The first role word among the parts of a name, or null."""
+    return F.get(F.filter(name_parts(filename), lambda x: x.isin(*vocab.SET_ROLES)), F.lit(0))
+
+
+def set_key(filename: Column) -> Column:
+    """The name without role words and the number of one or two digits right before one."""
+
+    def add(kept: Column, part: Column) -> Column:
+        number = F.element_at(kept, -1).rlike("^[0-9]{1,2}$")
+        trimmed = F.when((F.size(kept) > 0) & number, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+        return F.when(part.isin(*vocab.SET_ROLES), trimmed).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(name_parts(filename), F.array().cast("array<string>"), add), "_")
+
+
 def top_folder(path: Column) -> Column:
     parts = F.split(F.regexp_replace(path, r"\\", "/"), "/")
     return F.when(F.size(parts) > 1, F.element_at(parts, 1))
 
 
-def folded_family(name: Column) -> Column:
-    """A model family without version tails."""
-    out = F.lower(F.trim(name))
-    for _ in range(3):
-        out = F.regexp_replace(out, r"([ _.-]*v?[0-9]+(\.[0-9]+)*|[ _-]?xl)$", "")
-    return F.when(out != "", out)
+def family_name(folder: Column) -> Column:
+    """A family without its trailing version, such as "krea 2" or "SDXL v1.5"."""
+    return F.trim(F.regexp_replace(F.trim(F.coalesce(folder, F.lit(""))), r"(?i)[ _\-]+v?[0-9]+(?:[._][0-9]+)*\s*$", ""))
+
+
+def family_stem(key: Column) -> Column:
+    """A family key without the digits and "xl" at its end, however many; '' if nothing else is there."""
+    return F.regexp_replace(key, r"(?i)(?:[ _-]|[0-9]+|xl)+$", "")
 
 
 def first_lyric_line(lyrics: Column) -> Column:
@@ -110,23 +201,62 @@ def first_lyric_line(lyrics: Column) -> Column:
     return F.get(good, F.lit(0))
 
 
-def phrases(text: Column, max_words: int = 3) -> Column:
-    """Comma or line separated phrases without weights and lone numbers, of at most max_words words."""
-    cleaned = F.transform(F.split(F.lower(text), r"[,\n]"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r":[0-9.]+", ""), r"[()\[\]{}]", ""), r"\s+", " ")))
-    return F.array_distinct(F.filter(cleaned, lambda x: (x != "") & ~x.rlike(r"^[0-9. ]+$") & (F.size(F.split(x, " ")) <= max_words)))
+def normalized_phrase(text: Column) -> Column:
+    """A phrase without weights, brackets, the embedding mark and numbers that stand alone."""
+    plain = F.regexp_replace(F.replace(F.lower(text), F.lit("embedding:"), F.lit(" ")), r"[()\[\]{}:]", " ")
+    words = F.filter(F.split(plain, r"\s+"), lambda w: (w != "") & ~w.rlike(r"^[0-9]+(\.[0-9]+)?$"))
+    return F.btrim(F.array_join(words, " "), F.lit(" \t-_."))
 
 
-def words_and_pairs(text: Column, stop: tuple[str, ...], min_length: int = 3) -> Column:
-    """Words that are neither stop words nor short, and pairs of neighbours among those that remain."""
-    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), 1), lambda t: (F.length(t) >= min_length) & ~t.isin(*stop))
-    pairs = F.when(F.size(kept) > 1, F.transform(F.sequence(F.lit(0), F.size(kept) - 2), lambda i: F.concat_ws(" ", F.get(kept, i), F.get(kept, i + 1)))).otherwise(F.slice(kept, 1, 0))
-    return F.array_distinct(F.concat(kept, pairs))
+def _segments(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"[,\n]")
+
+
+def phrases(text: Column, max_words: int = 5) -> Column:
+    """Normalised phrases between commas or line ends, of at most max_words words."""
+    found = F.transform(_segments(text), normalized_phrase)
+    return F.array_distinct(F.filter(found, lambda x: (x != "") & ~x.rlike(r"^[0-9]+$") & (F.size(F.split(x, " ")) <= max_words)))
+
+
+def words_and_pairs(text: Column, stop: tuple[str, ...] = vocab.STOP_WORDS + vocab.STOP_PHRASES, min_length: int = 3) -> Column:
+    """Words that are neither stop words nor short nor numbers, and pairs of neighbours among those, never across a comma or line.
+
+    The arrays are arguments of the functions that read them, so each text is split once.
+    """
+    kept = F.transform(
+        _segments(F.lower(text)),
+        lambda x: F.filter(F.regexp_extract_all(x, F.lit("([a-z0-9']+)"), 1), lambda t: (F.length(t) >= min_length) & ~t.rlike("^[0-9]+$") & (~t.isin(*stop) if stop else F.lit(True))),
+    )
+
+    def with_pairs(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.concat(words, F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return F.array_distinct(F.flatten(F.transform(kept, with_pairs)))
 
 
 def folder_terms(folder: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(folder, "[/\\\\]"), lambda x: F.lower(F.trim(x))), lambda x: (x != "") & (x != ".") & ~x.rlike("^[0-9]+$")))
+    """Normalised parts of a path; underscores and dashes are blanks."""
+    parts = F.transform(F.split(F.coalesce(folder, F.lit("")), r"[\\/]+"), lambda x: normalized_phrase(F.translate(x, "_-", "  ")))
+    return F.array_distinct(F.filter(parts, lambda x: (x != "") & ~x.rlike("^[0-9]+$")))
+
+
+def file_stem(filename: Column) -> Column:
+    """The name without what follows its last dot; leading dots are part of the name."""
+    return F.regexp_replace(filename, r"(?<=[^.])\.[^.]*$", "")
+
+
+def filename_terms(filename: Column, min_length: int = 3) -> Column:
+    """Words of a name without numbers and runs that look like hashes."""
+    parts = F.split(F.lower(file_stem(F.coalesce(filename, F.lit("")))), "[^a-z0-9]+")
+    return F.array_distinct(F.filter(parts, lambda x: (F.length(x) >= min_length) & ~x.rlike("^[0-9]+$") & ~x.rlike("^[0-9a-f]{6,}$")))
+
+
+def version_parts(text: Column) -> Column:
+    """Numbers of a version, comparable as arrays."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+)"), 1), lambda x: x.cast("int"))
 
 
-def filename_terms(filename: Column) -> Column:
-    parts = F.split(F.lower(stem(filename)), r"[ _.-]+")
-    return F.array_distinct(F.filter(parts, lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$") & ~x.rlike("^[0-9a-f]{6,}$")))
+def collection_name(text: Column) -> Column:
+    """A list's name as it is stored: single blanks, bounded length, '' where none is left."""
+    return F.trim(F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, vocab.COLLECTION_NAME_CHARS))

@@ -22,7 +22,8 @@ def media_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("gen/"), F.col("source")).alias("folder"),
         F.when(d % 10 != 0, F.col("lang")).alias("model_name"),
         F.when(d % 10 != 0, F.concat(F.col("lang"), F.lit("_v"), (d % 4).cast("string"))).alias("model_type"),
-        F.concat(F.lit("shot_"), (d % 97).cast("string"), ext).alias("filename"),
+        F.when(d % 10 != 0, F.concat(F.get(F.array(*map(F.lit, ("SDXL v1.5\\", "Pony/", "krea 2/", "Krea/", "krea2/", ""))), (d % 6).cast("int")), F.get(F.array(*map(F.lit, ("base", "ultraPonyReal_7", "influx", "my-flux_1Dev"))), (d % 4).cast("int")), F.lit(".safetensors"))).alias("model"),
+        F.concat(F.lit("shot_"), (d % 97).cast("string"), F.when(d % 6 == 1, "_Refine").when(d % 6 == 2, "-audio").when(d % 6 == 3, "_det").otherwise(""), ext).alias("filename"),
         ext.alias("ext"),
         F.when(d % 4 != 0, F.concat(F.lit("g"), F.floor(d / 3).cast("string"))).alias("group_id"),
         F.when(d % 5 == 0, "Final").when(d % 5 == 1, "raw").when(d % 5 == 2, "First").otherwise("").alias("set_stage"),
@@ -33,4 +34,8 @@ def media_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("positive"),
         F.col("reward").cast("int").alias("reward"),
         F.coalesce(F.col("toxic"), F.lit(0)).cast("int").alias("toxic"),
+        F.when(d % 31 == 0, F.concat(F.lit("Chanson d'été "), F.col("lang"))).alias("lyrics"),
+        (d * 7919 % 1000000007).alias("shuffle_key"),
+        F.when(d % 9 == 0, 0).otherwise(1).alias("has_meta"),
+        F.when(d % 17 == 0, F.concat(F.lit("Note on "), F.col("source"))).when(d % 17 == 1, " ").alias("note"),
     )

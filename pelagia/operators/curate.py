@@ -11,16 +11,21 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table with rows in place of those that share their key."""
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """table with rows in place of those that share their key; of several rows of a key the newest, if told by what."""
+    if newest is not None:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), newest).alias("row")).select("row.*")
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
 
 
-def replace_tags(tags: DataFrame, rows: DataFrame, source: str) -> DataFrame:
-    """One source's tags of the files in rows, replaced by normalised ones; labels can't be set this way."""
-    cleaned = rows.select("image_id", F.substring(F.lower(F.trim(F.regexp_replace("tag", ",", " "))), 1, 64).alias("tag"), F.lit(source).alias("source"), "score")
+def replace_tags(tags: DataFrame, rows: DataFrame, source: str, answered: DataFrame | None = None) -> DataFrame:
+    """One source's tags of the answered files (image_id; those in rows if not given), replaced by normalised ones.
+
+    A file with an empty answer loses its old tags. Labels can't be set this way.
+    """
+    cleaned = rows.select("image_id", F.substring(F.lower(F.trim(F.regexp_replace(F.trim("tag"), ",", " "))), 1, 64).alias("tag"), F.lit(source).alias("source"), "score")
     cleaned = cleaned.where((F.col("tag") != "") & ~F.col("tag").startswith("label:")).groupBy("image_id", "tag", "source").agg(F.max("score").alias("score"))
-    old = rows.select("image_id", F.lit(source).alias("source")).distinct()
+    old = (rows if answered is None else answered).select("image_id", F.lit(source).alias("source")).distinct()
     return tags.join(old, ["image_id", "source"], "left_anti").select("image_id", "tag", "source", "score").unionByName(cleaned)
 
 

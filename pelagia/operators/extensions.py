@@ -50,5 +50,90 @@ def store_scores(quality: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def store_tags(tags: DataFrame, results: DataFrame, extension: Extension) -> DataFrame:
-    rows = results.where("error is null").select("image_id", F.explode("result").alias("r")).select("image_id", "r.tag", "r.score")
-    return curate.replace_tags(tags, rows, f"ext:{extension.name}")
+    """The answers in place of the extension's older tags; a file whose answer is an empty list loses them."""
+    answered = results.where("error is null and result is not null")
+    rows = answered.select("image_id", F.explode("result").alias("r")).select("image_id", "r.tag", "r.score")
+    return curate.replace_tags(tags, rows, f"ext:{extension.name}", answered)
+
+
+def post(selection: DataFrame, function: Callable[[list[dict]], str], most: int = 20) -> DataFrame:
+    """(receipt, n, error): one call for a whole selection (with pos) in its order; more than `most` rows are refused."""
+    n = selection.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"at most {most} files can be posted at once")
+    schema = "receipt string, n long, error string"
+
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        items = batch.drop(columns="whole").sort_values("pos").to_dict("records")
+        try:
+            return pd.DataFrame([(function(items), len(items), None)], columns=["receipt", "n", "error"])
+        except Exception as problem:  # noqa: BLE001  reported with the selection
+            return pd.DataFrame([(None, len(items), str(problem)[:200])], columns=["receipt", "n", "error"])
+
+    return selection.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(call, schema)
+
+
+def post_log(receipts: DataFrame, failures: DataFrame, limit: int = 100) -> DataFrame:
+    """Posts and failed ones, the newest first; both are (post_id, posted, ids, text)."""
+    rows = receipts.withColumn("ok", F.lit(True)).unionByName(failures.withColumn("ok", F.lit(False)))
+    return rows.orderBy(F.desc("posted"), "post_id").limit(max(1, min(limit, 500)))
+
+
+def newest_receipts(receipts: DataFrame) -> DataFrame:
+    """(image_id, post_id, posted): for each file the newest post that it was part of; receipts are (post_id, posted, ids)."""
+    rows = receipts.select("post_id", "posted", F.explode("ids").alias("image_id"))
+    return rows.groupBy("image_id").agg(F.max_by(F.struct("post_id", "posted"), F.struct("posted", "post_id")).alias("x")).select("image_id", "x.*")
+
+
+def results_of_lines(lines: DataFrame, result_type: str) -> DataFrame:
+    """(image_id, result, error) of a worker's JSON lines (value); lines of another kind are its control messages."""
+    parsed = F.from_json("value", f"id long, result {result_type}, error string")
+    return lines.select(parsed.alias("x")).where("x.id is not null").select(F.col("x.id").alias("image_id"), "x.result", "x.error")
+
+
+@dataclass(frozen=True)
+class Setting:
+    """A setting that an extension declares: its kind, its default and, for a choice, its values."""
+
+    name: str
+    kind: str
+    default: object = None
+    choices: tuple = ()
+
+    def __post_init__(self):
+        if self.kind not in ("text", "number", "flag", "choice"):
+            raise ValueError(f"unknown kind of setting: {self.kind}")
+        if "password" in self.name.lower():
+            raise ValueError("settings are stored in the open: no passwords")
+        if self.kind == "choice" and self.default not in self.choices:
+            raise ValueError("the default of a choice is one of its values")
+
+
+def settings_from(declared: list[Setting], given: dict) -> dict:
+    """Values of the declared settings in their types; what is undeclared or doesn't fit gives way to the default."""
+    out = {}
+    for s in declared:
+        value = given.get(s.name, s.default)
+        if s.kind == "number":
+            try:
+                value = float(value)
+            except (TypeError, ValueError):
+                value = s.default
+        elif s.kind == "flag":
+            value = value in (True, 1, "1", "true", "on")
+        elif s.kind == "choice":
+            value = value if value in s.choices else s.default
+        else:
+            value = s.default if value is None else str(value)
+        out[s.name] = value
+    return out
+
+
+def self_test(extension: Extension, value) -> str | None:
+    """What is wrong with an extension's answer to a value, or null."""
+    try:
+        answer = extension.function(value)
+    except Exception as problem:  # noqa: BLE001  that is what the test is for
+        return str(problem)[:200]
+    fits = {"score": isinstance(answer, int | float), "text": isinstance(answer, str), "tags": isinstance(answer, list)}[extension.produces]
+    return None if fits else f"the answer is no {extension.produces}"

@@ -53,3 +53,34 @@ def group_state(members: DataFrame, selection: DataFrame) -> DataFrame:
 def generic_names(files: DataFrame, name: str, trait: str) -> DataFrame:
     """Names that stand for more than one trait."""
     return files.groupBy(name).agg(F.count_distinct(trait).alias("traits")).where("traits > 1")
+
+
+def mark_lists(files: DataFrame, tags: DataFrame, spec: FilterSpec, members: DataFrame | None = None) -> DataFrame:
+    """(list, name, n, machine) of tags, labels and favourites among the files of a search.
+
+    No list narrows itself: labels are counted without the chosen labels, favourites without the favourite
+    condition; tags follow all of the search.
+    """
+    found = lambda s: filters.apply(files, s, tags, members=members).select(F.col("id").alias("image_id"))
+    labels = (F.col("source") == "user") & F.col("tag").startswith("label:")
+    by_tag = tags.where(filters.is_tag() & ~labels).join(found(spec), "image_id", "left_semi")
+    by_tag = by_tag.groupBy("tag").agg(F.count_distinct("image_id").alias("n"), (~F.bool_or(F.col("source") == "user")).alias("machine"))
+    by_label = tags.where(labels).join(found(spec.without("labels")), "image_id", "left_semi").groupBy("tag").agg(F.count_distinct("image_id").alias("n"))
+    liked = tags.where("source = 'fav'").join(found(spec.without("fav")), "image_id", "left_semi").agg(F.count_distinct("image_id").alias("n"))
+    out = by_tag.select(F.lit("tag").alias("list"), F.col("tag").alias("name"), "n", "machine")
+    out = out.union(by_label.select(F.lit("label"), F.substring("tag", 7, 100), "n", F.lit(False)))
+    return out.union(liked.select(F.lit("fav"), F.lit("favorite"), "n", F.lit(False)))
+
+
+def ordered(counts: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Facet rows with a place: most files first, folders of equal number by name; roots in their order, empty ones too.
+
+    roots are (place, root_id) of the configuration; what isn't a facet of a root comes as it is.
+    """
+    rows = counts.where("dim <> 'root'").withColumn("order", F.struct(-F.col("n"), "value")) if roots is not None else counts.withColumn("order", F.struct(-F.col("n"), "value"))
+    rows = rows.select("dim", "value", "n", "order")
+    if roots is not None:
+        by_root = counts.where("dim = 'root'").select(F.col("value").alias("root_id"), "n")
+        listed = roots.join(by_root, "root_id", "left").select(F.lit("root").alias("dim"), F.col("root_id").alias("value"), F.coalesce("n", F.lit(0)).alias("n"), F.struct(F.col("place").cast("long").alias("n"), F.col("root_id").alias("value")).alias("order"))
+        rows = rows.union(listed)
+    return rows.orderBy("dim", "order").select("dim", "value", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -25,12 +26,17 @@ class FilterSpec:
     kind: str = ""
     pairs: bool = True
     aspect: str = ""
-    after: int | None = None
-    before: int | None = None
+    after: float | None = None
+    before: float | None = None
     least_score: float | None = None
     most_score: float | None = None
     tags: tuple[str, ...] = ()
     pending: tuple[int, ...] = ()
+    meta: str = ""
+    fav: bool = False
+    note: bool = False
+    labels: tuple[str, ...] = ()
+    collection: int | None = None
 
     def without(self, *names: str) -> FilterSpec:
         """The same search blind to some of its fields."""
@@ -56,12 +62,72 @@ def dimension(spec: FilterSpec, name: str) -> Column:
     return (F.col("folder") == spec.folder) | F.col("folder").startswith(spec.folder + "/")
 
 
-def searched_tokens() -> Column:
-    return F.concat(*(C.tokens(F.col(c)) for c in ("positive", "model_name", "filename", "folder")))
-
-
-def apply(files: DataFrame, spec: FilterSpec, tags: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
-    """The files that match; skip names faceted dimensions to leave out."""
+SEARCHED = ("positive", "model_name", "filename", "folder", "lyrics")
+
+
+def with_search_text(files: DataFrame) -> DataFrame:
+    """files with search_text, the folded words of the searched columns: store it, and searches don't fold again."""
+    return files.withColumn("search_text", C.search_text(*(F.col(c) for c in SEARCHED if c in files.columns)))
+
+
+def search_index(files: DataFrame) -> DataFrame:
+    """(token, id): an inverted index, to be written sorted by token so that a prefix reads few row groups."""
+    words = F.split(F.trim(F.translate("search_text", "\n", " ")), " +")
+    return with_search_text(files).select("id", F.explode(F.array_distinct(words)).alias("token")).where("token <> ''").select("token", "id")
+
+
+def search_by_index(index: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """Ids of files in which each of the terms (single words) starts a token; the prefixes are pushed to the scan."""
+    out = None
+    for term in terms:
+        for word in C.term_words(term):
+            ids = index.where(F.col("token").startswith(word)).select("id").distinct()
+            out = ids if out is None else out.join(ids, "id", "left_semi")
+    return out if out is not None else index.select("id").distinct()
+
+
+def number(text: str | None) -> float | None:
+    """A bound as it is typed; what is no finite number asks for nothing."""
+    try:
+        value = float(text)
+    except (TypeError, ValueError):
+        return None
+    return value if math.isfinite(value) else None
+
+
+def from_params(params: dict[str, str]) -> FilterSpec:
+    """The search that typed parameters ask for; unknown ones are dropped, lists are split at commas."""
+    listed = lambda name: tuple(x.strip() for x in params.get(name, "").split(",") if x.strip())
+    collection = number(params.get("coll"))
+    return FilterSpec(
+        include=tuple(params.get("q", "").split()),
+        exclude=tuple(params.get("x", "").split()),
+        roots=listed("roots"),
+        model=params.get("model", ""),
+        mtype=params.get("mfolder", ""),
+        folder=params.get("folder", ""),
+        kind=params.get("type", ""),
+        pairs=params.get("group", "1") == "1",
+        aspect=params.get("aspect", ""),
+        after=number(params.get("after")),
+        before=number(params.get("before")),
+        least_score=number(params.get("rmin")),
+        most_score=number(params.get("rmax")),
+        tags=listed("tags"),
+        labels=listed("label"),
+        meta=params.get("meta", ""),
+        fav=params.get("fav") == "1",
+        note=params.get("note") == "1",
+        collection=None if collection is None else int(collection),
+    )
+
+
+def is_tag() -> Column:
+    return (F.col("source") == "user") | F.col("source").startswith("ext:")
+
+
+def apply(files: DataFrame, spec: FilterSpec, tags: DataFrame | None = None, skip: tuple[str, ...] = (), members: DataFrame | None = None) -> DataFrame:
+    """The files that match; skip names faceted dimensions to leave out. members are (collection_id, image_id)."""
     out = files
     for name in ("root", "model", "mtype", "folder"):
         if name not in skip:
@@ -76,22 +142,44 @@ def apply(files: DataFrame, spec: FilterSpec, tags: DataFrame | None = None, ski
         out = out.where(F.col("reward") <= spec.most_score)
     if spec.aspect:
         out = out.where(C.aspect(F.col("width"), F.col("height")) == spec.aspect)
+    if spec.meta in ("ok", "missing"):
+        out = out.where(F.coalesce(F.col("has_meta"), F.lit(0)).cast("int") == (1 if spec.meta == "ok" else 0))
+    if spec.note:
+        out = out.where(F.trim("note") != "")
     if spec.pending:
         out = out.where(~F.col("id").isin(*spec.pending))
     if spec.include or spec.exclude:
-        out = out.withColumn("search_tokens", searched_tokens())
+        stored = "search_text" in out.columns
+        out = out if stored else with_search_text(out)
         for term in spec.include:
-            out = out.where(C.has_prefix_term(F.col("search_tokens"), term))
+            out = out.where(C.has_term(F.col("search_text"), term))
         for term in spec.exclude:
-            out = out.where(~C.has_prefix_term(F.col("search_tokens"), term))
-        out = out.drop("search_tokens")
+            if C.term_words(term):
+                out = out.where(~C.has_term(F.col("search_text"), term))
+        out = out if stored else out.drop("search_text")
     if spec.kind:
         out = of_kind(out, files, spec.kind, spec.pairs)
-    for tag in spec.tags:
-        out = out.join(tags.where(F.lower("tag") == tag.lower()).select(F.col("image_id").alias("id")), "id", "left_semi")
+    wanted = sorted({t.lower() for t in spec.tags})
+    if wanted:
+        out = out.join(having_all(tags.where(is_tag()), wanted), "id", "left_semi")
+    if spec.labels:
+        marked = sorted({"label:" + x.lower() for x in spec.labels})
+        out = out.join(tags.where((F.col("source") == "user") & F.col("tag").isin(*marked)).select(F.col("image_id").alias("id")), "id", "left_semi")
+    if spec.fav:
+        out = out.join(tags.where("source = 'fav'").select(F.col("image_id").alias("id")), "id", "left_semi")
+    if spec.collection is not None:
+        out = out.join(members.where(F.col("collection_id") == spec.collection).select(F.col("image_id").alias("id")), "id", "left_semi")
     return out
 
 
+def having_all(tags: DataFrame, wanted: list[str]) -> DataFrame:
+    """Ids that have every wanted tag: one aggregation for any number of tags."""
+    rows = tags.select("image_id", F.lower("tag").alias("tag")).where(F.col("tag").isin(*wanted))
+    if len(wanted) == 1:
+        return rows.select(F.col("image_id").alias("id"))
+    return rows.groupBy(F.col("image_id").alias("id")).agg(F.count_distinct("tag").alias("n")).where(F.col("n") == len(wanted)).select("id")
+
+
 def of_kind(matched: DataFrame, files: DataFrame, kind: str, pairs: bool) -> DataFrame:
     """Files of a kind; with pairs, what their whole group is decides."""
     own = C.is_kind(F.col("ext"), kind)

@@ -5,18 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.functions import columns as C
+from pelagia.functions import vocab
 
-def term_counts(files: DataFrame, sources: dict[str, Column], least: int) -> DataFrame:
-    """(term, n, sources) of terms in at least `least` files; each file and source counts a term once."""
-    arrays = [F.transform(terms, _from(name)) for name, terms in sources.items()]
+STOP = vocab.STOP_WORDS + vocab.STOP_PHRASES
+
+
+def term_counts(files: DataFrame, sources: dict[str, Column], least: int, stop: tuple[str, ...] = STOP) -> DataFrame:
+    """(term, n, sources) of terms in at least `least` files; a file counts a term once, whatever its sources.
+
+    Terms of one source are distinct within a file already, so their counts need no second shuffle.
+    """
+    arrays = [F.transform(F.coalesce(terms, F.array().cast("array<string>")), _from(1 << i)) for i, terms in enumerate(sources.values())]
     rows = files.select("id", F.explode(F.concat(*arrays)).alias("t")).select("id", "t.term", "t.source")
-    return rows.groupBy("term").agg(F.count_distinct("id").alias("n"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources")).where(F.col("n") >= least)
+    rows = rows.where(~F.col("term").isin(*stop)) if stop else rows
+    if len(sources) > 1:
+        rows = rows.groupBy("id", "term").agg(F.bit_or("source").alias("source"))
+    found = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.bit_or("source").alias("mask")).where(F.col("n") >= least)
+    names = F.filter(F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(sources))), lambda x: x.isNotNull())
+    return found.select("term", "n", F.array_join(F.sort_array(names), ",").alias("sources"))
+
+
+def _from(bit: int):
+    return lambda t: F.struct(t.alias("term"), F.lit(bit).alias("source"))
 
 
-def _from(name: str):
-    return lambda t: F.struct(t.alias("term"), F.lit(name).alias("source"))
+def candidates(files: DataFrame, prompt: bool = True, folder: bool = True, filename: bool = True, least: int = 5, most: int = 500, min_length: int = 3, max_words: int = 5, stop: tuple[str, ...] = STOP) -> DataFrame:
+    """(tag, n, sources): the terms of most files from the sources that are on, ties by the alphabet."""
+    positive = F.coalesce(F.col("positive"), F.lit(""))
+    sources = {}
+    if prompt:
+        sources["prompt"] = F.array_union(C.phrases(positive, max_words), C.words_and_pairs(positive, stop, min_length))
+    if folder:
+        sources["folder"] = C.folder_terms(F.col("folder"))
+    if filename:
+        sources["filename"] = C.filename_terms(F.col("filename"), min_length)
+    return term_counts(files, sources, least, stop).orderBy(F.desc("n"), "term").limit(most).withColumnRenamed("term", "tag")
 
 
 def postings(files: DataFrame, terms: Column, approved: DataFrame) -> DataFrame:
     """(id, term) rows of approved terms, ready to be inserted as tags."""
-    return files.select("id", F.explode(terms).alias("term")).distinct().join(approved.select("term"), "term", "left_semi").select("id", "term")
+    return files.select("id", F.explode(terms).alias("term")).join(approved.select("term").distinct(), "term", "left_semi").select("id", "term")

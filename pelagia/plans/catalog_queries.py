@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
+from pelagia.functions import vocab
 from pelagia.operators import cards, curate, facets, filters, mine
 from pelagia.operators.catalog import media_view, read
 from pelagia.operators.filters import FilterSpec
@@ -13,7 +14,6 @@ from pelagia.plans import sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-STOP = ("the", "and", "for", "with", "that", "this")
 
 
 def query(text: str):
@@ -52,7 +52,7 @@ def _terms(spark: SparkSession, sf_dir: str, **spec) -> DataFrame:
 
 
 def _prefix(term: str) -> str:
-    return f"len(list_filter({sql.ALL_TOKENS}, lambda t: starts_with(t, '{term}'))) > 0"
+    return f"contains({sql.SEARCHED}, ' {term}')"
 
 
 @query(cat(f"SELECT id FROM files WHERE {_prefix('ther')} AND {_prefix('en')}"))
@@ -65,10 +65,21 @@ def text_exclude(spark, sf_dir):
     return _terms(spark, sf_dir, include=("shot",), exclude=("que", "src1"))
 
 
-@query(cat(f"SELECT id FROM files WHERE len(list_filter(range(1, len({sql.TOKENS.format('positive')})), lambda i: {sql.TOKENS.format('positive')}[i] = 'of' AND starts_with({sql.TOKENS.format('positive')}[i + 1], 'th'))) > 0"))
+@query(cat(f"SELECT id FROM files WHERE contains(' ' || {sql.WORDS.format('positive')}, ' of th')"))
 def text_phrase(spark, sf_dir):
     files = media_view(spark, sf_dir)
-    return files.where(C.has_prefix_term(C.tokens(F.col("positive")), "of_th")).select("id")
+    return files.where(C.has_term(C.search_text(F.col("positive")), "of_th")).select("id")
+
+
+@query(cat(f"SELECT id FROM files WHERE {_prefix('ete')} AND NOT ({_prefix('src1')})"))
+def text_folded(spark, sf_dir):
+    """Accents don't count, in the query as in the lyrics."""
+    return _terms(spark, sf_dir, include=("Été",), exclude=("SRC1",))
+
+
+@query(cat(f"SELECT id FROM files WHERE {_prefix('shot')} AND {_prefix('th')}"))
+def text_by_index(spark, sf_dir):
+    return filters.search_by_index(filters.search_index(media_view(spark, sf_dir)), ("shot", "Th"))
 
 
 @query(cat("SELECT id FROM files WHERE root_id IN ('r0', 'r1') AND model_name IS NOT DISTINCT FROM 'en' AND (folder = 'gen/src3' OR starts_with(folder, 'gen/src3/'))"))
@@ -108,26 +119,43 @@ def filter_tags(spark, sf_dir):
     return filters.apply(files, FilterSpec(tags=("en", "Final")), tag_rows(files)).select("id")
 
 
+@query(cat(TAGS + " SELECT id FROM files WHERE has_meta = 0 UNION ALL SELECT -id FROM files WHERE trim(note) <> '' AND id IN (SELECT image_id FROM tags WHERE tag = 'label:refine')"))
+def filter_marks(spark, sf_dir):
+    files = media_view(spark, sf_dir)
+    marked = filters.apply(files, filters.from_params({"note": "1", "label": "refine", "rmin": "lots"}), tag_rows(files))
+    return filters.apply(files, FilterSpec(meta="missing")).select("id").union(marked.select(-F.col("id")))
+
+
+@query(cat(", fav AS (SELECT id AS image_id FROM files WHERE id % 13 = 0), held AS (SELECT conv_id * 2 + turn AS image_id FROM conversations WHERE conv_id % 3 = 1) SELECT id FROM files WHERE id IN (SELECT image_id FROM fav) UNION ALL SELECT -id FROM files WHERE id IN (SELECT image_id FROM held)"))
+def filter_fav_and_list(spark, sf_dir):
+    files = media_view(spark, sf_dir)
+    tags = files.where("id % 13 = 0").select(F.col("id").alias("image_id"), F.lit("favorite").alias("tag"), F.lit("fav").alias("source"))
+    members = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("collection_id"), (F.col("conv_id") * 2 + F.col("turn")).alias("image_id"))
+    listed = filters.apply(files, FilterSpec(collection=1), members=members)
+    return filters.apply(files, FilterSpec(fav=True), tags).select("id").union(listed.select(-F.col("id")))
+
+
 @query(cat(f"SELECT {sql.ASPECT} AS aspect, count(*) AS n FROM files GROUP BY 1"))
 def aspect_buckets(spark, sf_dir):
     return media_view(spark, sf_dir).groupBy(C.aspect(F.col("width"), F.col("height")).alias("aspect")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cards(files: DataFrame, spec: FilterSpec) -> DataFrame:
+    """Whole cards of which a member matches."""
     return cards.collapse(filters.cards_matching(files, filters.apply(files, spec)))
 
 
 @query(cat(", cards AS (" + sql.CARDS.format(where="model_name = 'en'") + "), page AS (SELECT * FROM cards ORDER BY newest DESC, id LIMIT 120) SELECT p.*, f.folder, f.filename, f.model_name, f.width, f.height FROM page p JOIN files f USING (id)"))
 def card_page(spark, sf_dir):
     files = media_view(spark, sf_dir)
-    return cards.page(_cards(files, FilterSpec(model="en")), files, [F.desc("newest")], 120)
+    return cards.page(_cards(files, FilterSpec(model="en")), files, [F.desc("newest")])
 
 
 @query(cat(", cards AS (" + sql.CARDS.format(where="mtime >= 1700001000") + ") SELECT c.card, c.id, c.group_count, f.reward FROM cards c JOIN files f USING (id) ORDER BY f.reward DESC NULLS LAST, c.id LIMIT 50 OFFSET 20"))
 def card_page_by_score(spark, sf_dir):
     files = media_view(spark, sf_dir)
-    found = _cards(files, FilterSpec(after=1700001000)).join(files.select("id", "reward"), "id")
-    return found.orderBy(F.desc_nulls_last("reward"), "id").offset(20).limit(50).select("card", "id", "group_count", "reward")
+    found = _cards(files, FilterSpec(after=1700001000))
+    return cards.page(found, files, cards.order_of("reward-desc"), 50, 20).select("card", "id", "group_count", "reward")
 
 
 @query(cat(sql.CARDS.format(where="model_name = 'de'")))
@@ -135,11 +163,55 @@ def collapsed_cards(spark, sf_dir):
     return _cards(media_view(spark, sf_dir), FilterSpec(model="de"))
 
 
-@query(cat(", n AS (SELECT card, count(*) AS n FROM files GROUP BY card) SELECT count(*) AS cards, cast(sum(n) AS bigint) AS files, cast(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS bigint) AS sets, cast(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS bigint) AS set_files FROM n"))
+@query(cat("SELECT count(DISTINCT card) AS cards, count(*) AS files FROM files"))
 def card_counts(spark, sf_dir):
     return cards.counts(media_view(spark, sf_dir))
 
 
+KINDS = f", gg AS (SELECT group_id, bool_or({sql.VIDEO}) AS hv, bool_or({sql.AUDIO}) AS ha, count(*) AS n FROM files WHERE group_id IS NOT NULL GROUP BY 1)"
+
+
+@query(cat(KINDS + " SELECT 'pairs only' AS mode, (SELECT count(*) FROM gg WHERE hv AND n > 1) AS cards, (SELECT cast(sum(n) AS bigint) FROM gg WHERE hv AND n > 1) AS files UNION ALL SELECT 'sets only', (SELECT count(*) FROM gg WHERE NOT hv AND NOT ha AND n > 1), (SELECT cast(sum(n) AS bigint) FROM gg WHERE NOT hv AND NOT ha AND n > 1) UNION ALL SELECT 'flat', (SELECT count(*) FROM files), (SELECT count(*) FROM files)"))
+def card_counts_by_switch(spark, sf_dir):
+    files = media_view(spark, sf_dir)
+    out = None
+    for mode, pairs, sets in (("pairs only", True, False), ("sets only", False, True), ("flat", False, False)):
+        row = cards.counts(files, pairs, sets).select(F.lit(mode).alias("mode"), "cards", "files")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _switched(keys: str, having: str) -> str:
+    rows = f"(SELECT f.* EXCLUDE (card), CASE WHEN {keys} THEN f.group_id ELSE 'i' || cast(id AS varchar) END AS card FROM files f LEFT JOIN gg ON gg.group_id = f.group_id)"
+    return cat(KINDS + sql.cards(rows, having=having))
+
+
+@query(_switched("hv", "group_count > 1"))
+def pair_cards_only(spark, sf_dir):
+    """Pairs on, sets off: cards of groups with a video, lone files hidden; a song with its cover is no such card."""
+    return cards.collapse(cards.with_cards(media_view(spark, sf_dir), pairs=True, sets=False), sets_only=True)
+
+
+@query(_switched("NOT hv AND NOT ha", "group_count > 1"))
+def set_cards_only(spark, sf_dir):
+    return cards.collapse(cards.with_cards(media_view(spark, sf_dir), pairs=False, sets=True), sets_only=True)
+
+
+@query(cat(", p AS (" + sql.CARDS.format(where="model_name = 'en'") + "), page AS (SELECT * FROM p ORDER BY size DESC, id LIMIT 60) SELECT card, f.id FROM files f WHERE card IN (SELECT card FROM page)".replace("SELECT card, f.id", "SELECT card, f.id")))
+def page_members(spark, sf_dir):
+    files = media_view(spark, sf_dir)
+    page = cards.page(_cards(files, FilterSpec(model="en")), files, cards.order_of("size-desc"), 60)
+    return cards.members_of(page, cards.with_cards(files))
+
+
+@query(cat(KINDS + ", p AS (" + sql.CARDS.format(where="kind_ok").replace("SELECT * FROM files WHERE card IN (SELECT card FROM files WHERE kind_ok)", "SELECT * FROM files WHERE ext = '.png'") + "), page AS (SELECT * FROM p ORDER BY (shuffle_key * 77) % 2147483647, id LIMIT 200) SELECT page.card, page.id, group_count, video_id, coalesce(hv, FALSE) AS group_has_video, group_count > 1 AND NOT coalesce(hv, FALSE) AND NOT has_audio AS is_set, f.width, f.height, f.size FROM page JOIN files f USING (id) LEFT JOIN gg ON gg.group_id = page.card"))
+def page_display(spark, sf_dir):
+    """Images only: a pair whose video the filter hides still is a pair."""
+    files = media_view(spark, sf_dir)
+    faces = cards.collapse(cards.with_cards(files.where("ext = '.png'")))
+    return cards.display(cards.page(faces, files, cards.order_of("random", 77), 200), files)
+
+
 @query(cat("SELECT id FROM files WHERE card IN (SELECT card FROM files WHERE model_name = 'fr')"))
 def matching_ids(spark, sf_dir):
     files = media_view(spark, sf_dir)
@@ -226,9 +298,9 @@ def anchor_duplicates(spark, sf_dir):
     return curate.band_pairs(orders.where("o_orderstatus = 'F'"), orders, ["o_custkey", "o_orderpriority"], "seconds", 2592000, "o_orderkey")
 
 
-@query("SELECT conv_id, string_agg(note, ' / ' ORDER BY turn) AS notes FROM (SELECT conv_id, role || ':' || substr(text, 1, 12) AS note, min(turn) AS turn FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY conv_id")
-def merge_curation(spark, sf_dir):
-    notes = read(spark, sf_dir, "conversations").withColumn("said", F.concat("role", F.lit(":"), F.substring("text", 1, 12)))
+@query("SELECT conv_id, string_agg(note, ' / ' ORDER BY turn) AS notes FROM (SELECT conv_id, role || ':' || text AS note, min(turn) AS turn FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY conv_id")
+def merged_notes(spark, sf_dir):
+    notes = read(spark, sf_dir, "conversations").withColumn("said", F.concat("role", F.lit(":"), "text"))
     return curate.merge_notes(notes, "conv_id", ["turn"], "said", " / ")
 
 
@@ -285,27 +357,49 @@ def shuffle_page(spark, sf_dir):
     return media_view(spark, sf_dir).select("id", place.alias("place")).orderBy("place", "id").offset(100).limit(100)
 
 
-@query("SELECT term, count(DISTINCT doc_id) AS n, 'text' AS sources FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}]+'), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'with', 'that', 'this')) AS w FROM documents)) GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
+def _listed(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+STOP_SQL = _listed(vocab.STOP_WORDS + vocab.STOP_PHRASES)
+NORMAL = r"trim(array_to_string(list_filter(regexp_split_to_array(regexp_replace(replace(lower({}), 'embedding:', ' '), '[()\[\]{{}}:]', ' ', 'g'), '\s+'), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+(\.[0-9]+)?')), ' '), ' -_.' || chr(9))"
+SEGMENTS = "unnest(regexp_split_to_array({}, '[,\n]'))"
+WORDS_SQL = f"""SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (
+  SELECT id, list_filter(regexp_extract_all(x, '[a-z0-9'']+'), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN {STOP_SQL}) AS w FROM (SELECT id, {SEGMENTS.format('lower(text)')} AS x FROM texts))"""
+PHRASES_SQL = f"SELECT id, term FROM (SELECT id, {NORMAL.format('x')} AS term FROM (SELECT id, {SEGMENTS.format('text')} AS x FROM texts)) WHERE term <> '' AND NOT regexp_full_match(term, '[0-9]+') AND len(string_split(term, ' ')) <= 5 AND term NOT IN {STOP_SQL}"
+
+
+@query(f"WITH texts AS (SELECT doc_id AS id, text FROM documents) SELECT term, count(DISTINCT id) AS n, 'prompt' AS sources FROM ({WORDS_SQL}) WHERE term NOT IN {STOP_SQL} GROUP BY term HAVING count(DISTINCT id) >= 5")
 def mined_words(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    return mine.term_counts(docs, {"text": C.words_and_pairs(F.col("text"), STOP)}, 5)
+    return mine.term_counts(docs, {"prompt": C.words_and_pairs(F.col("text"))}, 5)
 
 
-@query(r"SELECT term, count(DISTINCT doc_id) AS n, 'phrase' AS sources FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(text), '[,\n]'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, ':[0-9.]+', '', 'g'), '[()\[\]{}]', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9. ]+') AND len(string_split(x, ' ')) <= 3)) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
+@query(f"WITH texts AS (SELECT doc_id AS id, text FROM documents) SELECT term, count(DISTINCT id) AS n, 'prompt' AS sources FROM ({PHRASES_SQL}) GROUP BY term HAVING count(DISTINCT id) >= 3")
 def mined_phrases(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    return mine.term_counts(docs, {"phrase": C.phrases(F.col("text"))}, 3)
+    return mine.term_counts(docs, {"prompt": C.phrases(F.col("text"))}, 3)
+
+
+FOLDERS_SQL = f"SELECT id, term FROM (SELECT id, {NORMAL.format('x')} AS term FROM (SELECT id, translate(unnest(regexp_split_to_array(folder, '[/]+')), '_-', '  ') AS x FROM files)) WHERE term <> '' AND NOT regexp_full_match(term, '[0-9]+')"
+NAMES_SQL = "SELECT id, term FROM (SELECT id, unnest(regexp_split_to_array(lower(regexp_replace(filename, '\\.[^.]*$', '')), '[^a-z0-9]+')) AS term FROM files) WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND NOT regexp_full_match(term, '[0-9a-f]{6,}')"
 
 
-@query(cat("SELECT term, count(DISTINCT id) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT id, unnest(string_split(folder, '/')) AS term, 'folder' AS source FROM files UNION ALL SELECT id, 'shot', 'name' FROM files) GROUP BY term HAVING count(DISTINCT id) >= 2"))
+@query(cat(f"SELECT term, count(DISTINCT id) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT id, term, 'folder' AS source FROM ({FOLDERS_SQL}) UNION ALL SELECT id, term, 'filename' FROM ({NAMES_SQL})) WHERE term NOT IN {STOP_SQL} GROUP BY term HAVING count(DISTINCT id) >= 2"))
 def mined_names(spark, sf_dir):
-    return mine.term_counts(media_view(spark, sf_dir), {"folder": C.folder_terms(F.col("folder")), "name": C.filename_terms(F.col("filename"))}, 2)
+    return mine.term_counts(media_view(spark, sf_dir), {"folder": C.folder_terms(F.col("folder")), "filename": C.filename_terms(F.col("filename"))}, 2)
 
 
-@query("SELECT doc_id AS id, term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}]+'))) AS term FROM documents) WHERE length(term) >= 3 AND term IN ('with', 'avec', 'mit', 'onand', 'therhaou')")
+@query(cat(f", texts AS (SELECT id, positive AS text FROM files) SELECT term AS tag, count(DISTINCT id) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT id, term, 'prompt' AS source FROM ({WORDS_SQL}) UNION ALL SELECT id, term, 'prompt' FROM ({PHRASES_SQL}) UNION ALL SELECT id, term, 'folder' FROM ({FOLDERS_SQL}) UNION ALL SELECT id, term, 'filename' FROM ({NAMES_SQL})) WHERE term NOT IN {STOP_SQL} GROUP BY term HAVING count(DISTINCT id) >= 5 ORDER BY n DESC, term LIMIT 500"))
+def mined_candidates(spark, sf_dir):
+    """The miner with its usual settings: the 500 terms of most files."""
+    return mine.candidates(media_view(spark, sf_dir))
+
+
+@query(f"WITH texts AS (SELECT doc_id AS id, text FROM documents) SELECT DISTINCT id, term FROM ({WORDS_SQL.replace(' AND t NOT IN ' + STOP_SQL, '')}) WHERE term IN ('avec', 'mit', 'onand', 'therhaou')")
 def mined_postings(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    approved = docs.select(F.explode(F.array(*map(F.lit, ("with", "avec", "mit", "onand", "therhaou")))).alias("term")).distinct()
+    approved = docs.select(F.explode(F.array(*map(F.lit, ("avec", "mit", "onand", "therhaou")))).alias("term")).distinct()
     return mine.postings(docs, C.words_and_pairs(F.col("text"), ()), approved)
 
 
@@ -326,21 +420,15 @@ def set_shapes(spark, sf_dir):
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members"), F.min("conv_id").alias("first_group"))
 
 
-@query(cat("SELECT root_id, count(*) FILTER (WHERE id % 8 < 3) AS behind, count(*) AS files FROM files GROUP BY root_id"))
-def catchup_estimate(spark, sf_dir):
-    version = F.col("id") % 8
-    return media_view(spark, sf_dir).groupBy("root_id").agg(F.count_if(version < 3).alias("behind"), F.count(F.lit(1)).alias("files"))
-
-
 @query(cat("SELECT folder, count(*) AS n, cast(sum(size) AS bigint) AS bytes, max(mtime) AS newest FROM files GROUP BY folder ORDER BY n DESC, folder"))
 def folder_rollup(spark, sf_dir):
     return media_view(spark, sf_dir).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("mtime").alias("newest")).orderBy(F.desc("n"), "folder")
 
 
-@query(cat(", sel AS (SELECT id, row_number() OVER (ORDER BY id DESC) AS pos FROM files WHERE id % 50 = 1), pulled AS (SELECT g.id, min(s.pos) AS pos FROM sel s JOIN files f ON f.id = s.id JOIN files g ON g.group_id = f.group_id WHERE g.id NOT IN (SELECT id FROM sel) GROUP BY g.id) SELECT id, pos, FALSE AS came_with FROM sel UNION ALL SELECT id, pos, TRUE FROM pulled"))
+@query(cat(", sel AS (SELECT id, -id AS pos FROM files WHERE id % 50 = 1), pulled AS (SELECT g.id, min(s.pos) AS pos FROM sel s JOIN files f ON f.id = s.id JOIN files g ON g.group_id = f.group_id WHERE g.id NOT IN (SELECT id FROM sel) GROUP BY g.id) SELECT id, pos, FALSE AS came_with FROM sel UNION ALL SELECT id, pos, TRUE FROM pulled"))
 def expand_selection(spark, sf_dir):
     files = media_view(spark, sf_dir)
-    selection = files.where("id % 50 = 1").select("id").withColumn("pos", F.row_number().over(Window.orderBy(F.desc("id"))).cast("long"))
+    selection = files.where("id % 50 = 1").select("id", (-F.col("id")).alias("pos"))
     return cards.expand_ordered(selection, files)
 
 
@@ -350,13 +438,16 @@ def whole_groups(spark, sf_dir):
     return curate.whole_groups(files, files.where("id % 11 <> 1"))
 
 
-@query(cat(", w AS (SELECT id, folder, filename, replace(regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 1), 'shot_', 'frame_9') AS s, ext FROM files WHERE id < 400), r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(s || ext) ORDER BY id) AS n FROM w) SELECT id, folder, filename, s || CASE WHEN n = 1 THEN '' ELSE '_' || cast(n AS varchar) END || ext AS new_name FROM r"))
+PLAN = ", w AS (SELECT id, folder, filename, replace(regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 1), 'shot_', 'frame_9') AS s, ext FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(s || ext) ORDER BY id) AS n FROM w) SELECT id, folder, filename, s || CASE WHEN n = 1 THEN '' ELSE '_' || cast(n AS varchar) END || ext AS new_name FROM r"
+
+
+@query(cat(PLAN))
 def rename_plan(spark, sf_dir):
     files = media_view(spark, sf_dir)
-    return curate.rename_plan(files.where("id < 400"), "shot_", "frame_9", files)
+    return curate.rename_plan(files, "shot_", "frame_9", files)
 
 
-@query(cat(", w AS (SELECT id, folder, filename, replace(regexp_extract(filename, '^(.*?)(\\.[^.]*)?$', 1), 'shot_', 'frame_9') AS s, ext FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(s || ext) ORDER BY id) AS n FROM w) SELECT id, folder, filename, s || CASE WHEN n = 1 THEN '' ELSE '_' || cast(n AS varchar) END || ext AS new_name FROM r"))
+@query(cat(PLAN))
 def rename_plan_all(spark, sf_dir):
     return curate.rename_plan(media_view(spark, sf_dir), "shot_", "frame_9")
 
@@ -382,17 +473,6 @@ def full_records(spark, sf_dir):
     return files.join(tags, "id", "left").join(members, "group_id", "left").select("id", "folder", "positive", "tags", "members")
 
 
-@query(cat("SELECT id, concat_ws(', ', 'Model: ' || model_name, 'Size: ' || cast(width AS varchar) || 'x' || cast(height AS varchar), 'Score: ' || cast(reward AS varchar)) AS parameters, substr(sha256(positive), 1, 10) AS short_hash FROM files"))
-def export_parameters(spark, sf_dir):
-    size = F.concat(F.lit("Size: "), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
-    return media_view(spark, sf_dir).select("id", F.concat_ws(", ", F.concat(F.lit("Model: "), "model_name"), size, F.concat(F.lit("Score: "), F.col("reward").cast("string"))).alias("parameters"), F.substring(F.sha2(F.col("positive").cast("binary"), 256), 1, 10).alias("short_hash"))
-
-
-@query("SELECT turn, arg_max(conv_id, (length(text), conv_id)) AS conv_id, max(length(text)) AS length FROM conversations GROUP BY turn")
-def newest_receipts(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").groupBy("turn").agg(F.max_by("conv_id", F.struct(F.length("text"), F.col("conv_id"))).alias("conv_id"), F.max(F.length("text")).cast("long").alias("length"))
-
-
 @query(r"SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS first_line FROM documents")
 def first_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("first_line"))
@@ -413,12 +493,12 @@ def readable_names(spark, sf_dir):
     return media_view(spark, sf_dir).select("id", C.readable_stem(F.col("filename")).alias("name"), C.top_folder(F.col("folder")).alias("top"))
 
 
-FAMILY = r"([ _.-]*v?[0-9]+(\.[0-9]+)*|[ _-]?xl)$"
+FAMILY = r"trim(regexp_replace(trim({}), '(?i)[ _\-]+v?[0-9]+(?:[._][0-9]+)*\s*$', ''))"
 
 
-@query(cat(f"SELECT family, count(*) AS n FROM (SELECT nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(model_type)), '{FAMILY}', ''), '{FAMILY}', ''), '{FAMILY}', ''), '') AS family FROM files) GROUP BY family"))
+@query(cat(f"SELECT {FAMILY.format('model_type')} AS family, count(*) AS n FROM files WHERE model_type IS NOT NULL GROUP BY 1"))
 def folded_families(spark, sf_dir):
-    return media_view(spark, sf_dir).groupBy(C.folded_family(F.col("model_type")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    return media_view(spark, sf_dir).where("model_type is not null").groupBy(C.family_name(F.col("model_type")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^[\\[(].*[\\])]$') AND len(regexp_split_to_array(x, '\\s+')) >= 3)[1] AS line FROM documents")
@@ -426,7 +506,7 @@ def headline_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", C.first_lyric_line(F.col("text")).alias("line"))
 
 
-@query(cat(f"SELECT set_stage, ext, {sql.RANK} AS rank, count(*) AS n FROM files GROUP BY ALL"))
+@query(cat(f"SELECT set_stage, ext, {sql.RANK} AS rank, count(*) AS n FROM files GROUP BY 1, 2, 3"))
 def face_ranks(spark, sf_dir):
     rank = C.face_rank(F.col("set_stage"), F.col("filename")).alias("rank")
     return media_view(spark, sf_dir).groupBy("set_stage", "ext", rank).agg(F.count(F.lit(1)).alias("n"))

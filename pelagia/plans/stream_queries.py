@@ -18,7 +18,9 @@ def stream_sessions(spark, sf_dir):
 def stream_newest(spark, sf_dir):
     """The newest event of each user, kept up to date batch by batch."""
     stream = watch.arriving(spark, sf_dir, "events.parquet", read(spark, sf_dir, "events").schema)
-    return watch.upsert_batches(spark, stream.select("event_id", "user_id", "event_type", "value"), "user_id", "event_id", "newest").select("user_id", "event_id", "event_type", "value")
+    rows = stream.select("event_id", "user_id", "event_type", "value")
+    newest = watch.upsert_batches(spark, rows, "user_id", "event_id", watch.scratch(spark, "newest"), watch.scratch(spark, "newest-progress"))
+    return newest.select("user_id", "event_id", "event_type", "value")
 
 
 QUERIES = {"stream_sessions": stream_sessions, "stream_newest": stream_newest}

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,38 +37,68 @@ def run_to_table(spark: SparkSession, result: DataFrame, mode: str, name: str) -
     return spark.read.parquet(out)
 
 
-def upsert_batches(spark: SparkSession, stream: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """The newest row of each key: every batch is merged into a new version of the table."""
-    versions: list[str] = []
+BUCKETS = 64
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if not versions else batch.unionByName(spark.read.parquet(versions[-1]))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
-        path = scratch(spark, f"{name}-v{number}")
-        newest.write.parquet(path)
-        versions.append(path)
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
+def upsert_batches(spark: SparkSession, stream: DataFrame, key: str, order: str, table: str, progress: str, buckets: int = BUCKETS) -> DataFrame:
+    """The newest row of each key in a table that outlives the query: restarted with the same folders, it goes on.
+
+    Rows lie in buckets by their key's hash. A batch rewrites only the buckets that it touches, first beside the
+    table, then over them; doing a batch again gives the same rows.
+    """
+    schema = StructType([*stream.schema.fields, StructField("bucket", IntegerType())])
+    of_key = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("bucket", of_key)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # buckets at most
+        if not touched:
+            return
+        if exists(spark, table):
+            rows = rows.unionByName(spark.read.schema(schema).parquet(table).where(F.col("bucket").isin(touched)))
+        newest = rows.groupBy("bucket", key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+        beside = f"{table.rstrip('/')}-batches/{number}"
+        newest.write.mode("overwrite").parquet(beside)
+        spark.read.schema(schema).parquet(beside).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(versions[-1])
+    if not exists(spark, table):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(schema).parquet(table).drop("bucket")
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a table has been written there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def pending_deletes(requests: DataFrame, delay_ms: int = 5000) -> DataFrame:
-    """(id, action) once a deletion was not undone within the delay; requests are (id, action delete or undo)."""
+    """(id, action) once a deletion was not undone within the delay.
+
+    requests are (id, action delete or undo, seq): of a file's requests the one with the highest seq counts, in
+    whatever order they arrive.
+    """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "action": ["deleted"]})
+            pending, seq = state.get
+            state.update((0, seq))
+            if pending:
+                yield pd.DataFrame({"id": [key[0]], "action": ["deleted"]})
             return
-        last = None
+        pending, seq = state.get if state.exists else (0, -1)
         for batch in batches:
-            if len(batch):
-                last = batch["action"].iloc[-1]
-        if last == "delete":
-            state.update((1,))
-            state.setTimeoutDuration(delay_ms)
-        elif last == "undo" and state.exists:
-            state.remove()
-
-    return requests.groupBy("id").applyInPandasWithState(decide, "id long, action string", "pending int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            if len(batch) and batch["seq"].max() > seq:
+                last = batch.loc[batch["seq"].idxmax()]
+                pending, seq = int(last["action"] == "delete"), int(last["seq"])
+        state.update((pending, seq))
+        state.setTimeoutDuration(delay_ms)
+
+    return requests.groupBy("id").applyInPandasWithState(decide, "id long, action string", "pending int, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def presence(beats: DataFrame, key: str, stamp: str, grace: str = "15 seconds", lateness: str = "3 minutes") -> DataFrame:
+    """(key, start, end, n): spans in which a client's beats came within the grace of each other."""
+    return sessions(beats, key, stamp, grace, lateness).select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")

@@ -7,7 +7,7 @@ from pelagia.functions import columns as C
 from pelagia.operators import cards, curate, facets, filters
 from pelagia.operators.filters import FilterSpec
 
-COLUMNS = "id long, root_id string, folder string, model_name string, model_type string, filename string, ext string, group_id string, set_stage string, mtime long, width int, height int, positive string, reward int"
+COLUMNS = "id long, root_id string, folder string, model_name string, model_type string, filename string, ext string, group_id string, set_stage string, mtime long, width int, height int, positive string, reward int, size long"
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def files(spark):
     for i in range(120):
         ext = ".mp4" if i % 23 == 0 else ".mp3" if i % 31 == 0 else ".png"
         model = [None, "sdxl_a", "pony_b", "flux_c"][i % 4]
-        rows.append((i, f"r{i % 3}", f"gen/{i % 6:03}", model, model and model.split("_")[0].title(), f"f_{i}{ext}", ext, f"g{i // 4}" if i % 5 else None, ["Final", "raw", "", "First"][i % 4], 1000 + i, 1000, 1000 + i, f"café word{i % 7} blue_sky", i % 3 or None))
+        rows.append((i, f"r{i % 3}", f"gen/{i % 6:03}", model, model and model.split("_")[0].title(), f"f_{i}{ext}", ext, f"g{i // 4}" if i % 5 else None, ["Final", "raw", "", "First"][i % 4], 1000 + i, 1000, 1000 + i, f"café word{i % 7} blue_sky", i % 3 or None, 10 + i))
     return spark.createDataFrame(rows, COLUMNS).cache()
 
 
@@ -35,12 +35,48 @@ def test_one_scan_facets_equal_one_query_each(files, spec):
     assert got == expected
 
 
-def test_counts_equal_distinct_cards(files):
+@pytest.mark.parametrize("pairs", [True, False])
+@pytest.mark.parametrize("sets", [True, False])
+def test_counts_equal_the_cards_shown(files, pairs, sets):
     for spec in (FilterSpec(), FilterSpec(model="flux_c"), FilterSpec(kind="video")):
         matched = filters.apply(files, spec)
-        row = cards.counts(matched).first()
-        assert row["cards"] == matched.select(C.card_key(F.col("group_id"), F.col("id"))).distinct().count()
-        assert row["files"] == (matched.count() or None)
+        row = cards.counts(matched, pairs, sets).first()
+        shown = cards.collapse(cards.with_cards(matched, pairs, sets), sets_only=pairs != sets).collect()
+        assert row["cards"] == len(shown) and row["files"] == sum(r["group_count"] for r in shown)
+
+
+def test_songs_front_their_covers_and_hide_from_pair_views(spark):
+    rows = [(1, "g1", "a.mp3", ".mp3"), (2, "g1", "a.png", ".png"), (3, "g2", "b.mp4", ".mp4"), (4, "g2", "b-audio.mp4", ".mp4"), (5, "g2", "b.png", ".png"), (6, None, "c.png", ".png")]
+    files = spark.createDataFrame([(*r, None, 1, 1, None, 1, 1) for r in rows], "id long, group_id string, filename string, ext string, set_stage string, mtime long, size long, reward int, width int, height int")
+    found = {r["card"]: r for r in cards.collapse(cards.with_cards(files)).collect()}
+    assert (found["g1"]["id"], found["g2"]["id"], found["g2"]["video_id"], found["i6"]["group_count"]) == (1, 5, 4, 1)
+    pairs_only = cards.collapse(cards.with_cards(files, True, False), sets_only=True).collect()
+    assert [r["card"] for r in pairs_only] == ["g2"]
+    assert cards.collapse(cards.with_cards(files, False, True), sets_only=True).count() == 0
+
+
+def test_face_prefers_later_names_favourites_and_scores(spark):
+    rows = [(1, "a.png", None), (2, "b.png", 1), (3, "b.png", 5), (4, "b.png", None)]
+    files = spark.createDataFrame([(i, "g", n, ".png", "raw", 1, 1, r) for i, n, r in rows], "id long, card string, filename string, ext string, set_stage string, mtime long, size long, reward int")
+    assert cards.collapse(files).first()["id"] == 3
+    fav = spark.createDataFrame([(2,)], "image_id long")
+    assert cards.collapse(files, favourites=fav).first()["id"] == 2
+
+
+STAGES = [("Final", "a", 0), ("Upscale", "a", 1), ("Refine", "a", 2), ("Detail", "a", 3), ("Raw", "a", 4), ("Sketch", "a_final", 5), ("Detail9", "a", 5), ("main", "a", 4), ("det", "a", 3), ("", "b 3 Refine 7", 2), ("", "b 2 det 7", 3), ("", "b 1 MAIN 7", 4), (None, "nothing", 5)]
+
+
+def test_face_rank_of_stages_and_names(spark):
+    rows = spark.createDataFrame([(i, s, f"{n}.png", e) for i, (s, n, e) in enumerate(STAGES)], "id int, stage string, name string, expected int")
+    got = rows.select("stage", "name", "expected", C.face_rank(F.col("stage"), F.col("name")).alias("rank"), C.stage_rank(F.col("stage")).alias("pane")).collect()
+    assert all(r["rank"] == r["expected"] for r in got)
+    assert [r["pane"] for r in got] == [4, 3, 2, 1, 0, -1, -1, 0, 1, 5, 5, 5, 5]
+
+
+def test_typed_bounds_that_are_no_numbers_ask_for_nothing():
+    spec = filters.from_params({"rmin": "x", "rmax": "2.5", "after": "", "before": "nan", "q": " a  b ", "tags": "X, y,", "unknown": "1", "coll": "7"})
+    assert (spec.least_score, spec.most_score, spec.after, spec.before) == (None, 2.5, None, None)
+    assert (spec.include, spec.tags, spec.collection) == (("a", "b"), ("X", "y"), 7)
 
 
 def test_matching_member_admits_its_card_and_the_face_is_the_best(files):
@@ -58,9 +94,9 @@ def test_aspect(spark, width, height, shape):
 
 def test_text_search_rules(spark):
     row = spark.createDataFrame([("Café au lait, foo barista it's",)], "t string")
-    hit = lambda term: row.select(C.has_prefix_term(C.tokens(F.col("t")), term).alias("h")).first()["h"]
-    assert hit("cafe") and hit("lai") and hit("foo_bar") and hit("it's") and hit("_")
-    assert not hit("bar_foo") and not hit("ait") and not hit("not")
+    hit = lambda term: row.select(C.has_term(C.search_text(F.col("t"), F.lit("next")), term).alias("h")).first()["h"]
+    assert hit("CAFÉ") and hit("cafe") and hit("lai") and hit("foo_bar") and hit("it's") and hit("_")
+    assert not hit("bar_foo") and not hit("ait") and not hit("not") and not hit("s_next")
 
 
 def test_dml_and_merges(spark):
@@ -69,6 +105,8 @@ def test_dml_and_merges(spark):
     assert sorted(map(tuple, curate.insert_ignore(stored, more, ["id", "tag"]).collect())) == [(1, "a"), (2, "b"), (2, "c")]
     notes = spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (1, 3, "x"), (1, 4, None), (2, 1, None)], "k long, t long, n string")
     assert [tuple(r) for r in curate.merge_notes(notes, "k", ["t"], "n", " | ").collect()] == [(1, "y | x")]
+    newest = spark.createDataFrame([(1, "x", 1), (1, "y", 3), (1, "z", 2)], "id long, tag string, at int")
+    assert [tuple(r) for r in curate.upsert(newest.where("false"), newest, ["id"], "at").collect()] == [(1, "y", 3)]
     empty = stored.where("false")
     assert curate.upsert(empty, stored, ["id"]).count() == 2 and curate.upsert(stored, empty, ["id"]).count() == 2
 

@@ -3,8 +3,11 @@ import struct
 import time
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from pelagia.functions import generation
-from pelagia.operators import extensions
+from pelagia.operators import extensions, ingest
 from pelagia.sources import containers, walk
 from pelagia.streaming import watch
 
@@ -69,29 +72,135 @@ def test_sidecars_and_resolution(spark):
     assert {r["raw"]: r["path"] for r in walk.resolve(wanted, models).collect()} == {"n\\x.safetensors": "n/x.safetensors", "x.safetensors": "m/x.safetensors", "y": "k/y.ckpt", "nope": None}
 
 
-def test_generation_text_and_graph(spark):
-    text = 'a cat, (dog:1.2)\nNegative prompt: bad\nSteps: 20, Sampler: Euler a, CFG scale: 7, Note: "x, y"'
-    positive, negative, settings = generation.parse_settings(text)
-    assert (positive, negative, settings["Note"], settings["Steps"]) == ("a cat, (dog:1.2)", "bad", "x, y", "20")
-    nodes = {
-        "1": {"class_type": "CheckpointLoaderSimple", "inputs": {"ckpt_name": "m.safetensors"}},
-        "2": {"class_type": "LoraLoader", "inputs": {"lora_name": "l1", "model": ["1", 0]}},
-        "3": {"class_type": "CLIPTextEncode", "inputs": {"text": ["9", 0]}},
-        "9": {"class_type": "String", "inputs": {"value": "a cat"}},
-        "4": {"class_type": "CLIPTextEncode", "inputs": {"text": "bad"}},
-        "5": {"class_type": "KSampler", "inputs": {"model": ["2", 0], "positive": ["3", 0], "negative": ["4", 0], "latent_image": ["6", 0], "seed": 18446744073709551615, "steps": 20, "cfg": 7.5, "sampler_name": "euler"}},
-        "6": {"class_type": "EmptyLatentImage", "inputs": {"width": 8}},
-        "7": {"class_type": "KSampler", "inputs": {"model": ["1", 0], "positive": ["3", 0], "negative": ["4", 0], "latent_image": ["5", 0], "seed": 1, "steps": 5, "cfg": 1}},
-    }
-    rows = spark.createDataFrame([(json.dumps(nodes), text), ("{broken", None), (None, "only words")], "graph string, text string")
-    got = rows.select(generation.graph_of("graph").alias("g"), generation.settings_of("text").alias("s")).collect()
-    assert got[0]["g"].asDict()["model"] == "m.safetensors" and got[0]["g"]["loras"] == ["l1"] and str(got[0]["g"]["seed"]) == "18446744073709551615"
-    assert (got[0]["g"]["positive"], got[0]["g"]["negative"], got[0]["g"]["steps"], got[0]["g"]["cfg"]) == ("a cat", "bad", 20, 7.5)
-    assert got[1]["g"]["model"] is None and got[2]["s"]["positive"] == "only words"
+def test_songs(spark):
     song = spark.createDataFrame([("A female song at 120 BPM in C# minor.",), ("quiet",)], "c string").select(generation.song_facts("c").alias("f")).collect()
     assert tuple(song[0]["f"]) == (120, "C# minor", "female") and tuple(song[1]["f"]) == (None, None, None)
 
 
+def tiff(entries, comment=b"", order="<"):
+    """Two texts in the first folder and a comment in the second."""
+    pack = lambda *x: struct.pack(order + "HHII", *x)
+    at, head, tail = 8 + 2 + 12 * (len(entries) + 1) + 4, b"", b""
+    for tag, value in entries:
+        head += pack(tag, 2, len(value), at + len(tail))
+        tail += value
+    head += pack(containers.EXIF_PART, 4, 1, at + len(tail))
+    tail += struct.pack(order + "H", 1) + pack(containers.USER_COMMENT, 7, len(comment), at + len(tail) + 18) + bytes(4) + comment
+    return {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(order + "I", 8) + struct.pack(order + "H", len(entries) + 1) + head + bytes(4) + tail
+
+
+def jpeg(exif):
+    body = b"Exif\0\0" + exif
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 30, 40) + bytes(12) + b"\xff\xda"
+
+
+def webp(*parts):
+    body = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) % 2) for k, v in parts)
+    return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize(("mark", "coding"), [(b"UNICODE\0", "utf-16-be"), (b"UNICODE\0", "utf-16-le"), (b"ASCII\0\0\0", "utf-8"), (b"", "utf-8")])
+def test_texts_in_exif(order, mark, coding):
+    exif = tiff([(containers.MAKE, b'prompt:{"1": {}}\0'), (containers.MODEL, b"workflow:none\0")], mark + "plain text, Steps: 2".encode(coding), order)
+    for data in (jpeg(exif), webp((b"VP8X", bytes([2]) + bytes(3) + struct.pack("<I", 39)[:3] + struct.pack("<I", 29)[:3]), (b"EXIF", exif))):
+        found = containers.describe(data)
+        assert found["texts"] == {"prompt": '{"1": {}}', "parameters": "plain text, Steps: 2"}
+        assert (found["width"], found["height"]) == (40, 30)
+    assert found["animated"]
+
+
+def test_damage_and_covers():
+    bad = chunk(b"zTXt", b"bad\0\0broken")
+    data = png({"a": "b"})
+    at = data.index(b"IDAT") - 4
+    found = containers.describe(data[:at] + bad + data[at:])
+    assert found["texts"] == {"a": "b", "z": "packed", "i": "é"}
+    gif = b"GIF89a" + struct.pack("<HHBBB", 5, 6, 0, 0, 0) + (b"!\xf9\x04\0\0\0\0\0" + b"," + bytes(9) + b"\x02\x01x\0") * 2 + b";"
+    assert containers.describe(gif) == {"width": 5, "height": 6, "animated": True, "texts": {}}
+    frame = lambda k, b: k + struct.pack(">I", len(b)) + b"\0\0" + b
+    body = frame(b"APIC", b"\0image/png\0\x00other\0XX") + frame(b"APIC", b"\x01image/jpeg\0\x03" + "c".encode("utf-16") + b"\0\0YY")
+    assert containers.cover_of(b"ID3\x03\0\0" + bytes([0, 0, len(body) >> 7, len(body) & 127]) + body) == ("image/jpeg", b"YY")
+    picture = struct.pack(">II", 3, 9) + b"image/png" + struct.pack(">I", 0) + bytes(16) + struct.pack(">I", 2) + b"ZZ"
+    assert containers.cover_of(b"fLaC" + bytes([0x86]) + len(picture).to_bytes(3, "big") + picture) == ("image/png", b"ZZ")
+    assert containers.cover_of(data) is None and containers.describe(b"") == {"texts": {}}
+    for head in (data, mp4("x"), id3(), flac(), jpeg(tiff([])), gif):
+        for n in range(0, len(head), 7):  # cut files give less, or an error of their own
+            try:
+                containers.describe(head[:n])
+            except (ValueError, IndexError, struct.error):
+                pass
+
+
+def test_png_export(spark):
+    data = png({"parameters": "old", "prompt": "{}"})
+    rows = spark.createDataFrame([("a.png", data, "neu ☃"), ("b.png", data, None), ("c.jpg", b"no", "x"), ("d.png", None, "x")], "path string, content binary, parameters string")
+    got = {r["path"]: r["content"] for r in containers.export_png(rows).collect()}
+    assert containers.describe(bytes(got["a.png"]))["texts"] == {"parameters": "neu ☃", "prompt": "{}", "z": "packed", "i": "é"}
+    assert (bytes(got["b.png"]), bytes(got["c.jpg"]), got["d.png"]) == (data, b"no", None)
+    assert bytes(got["a.png"]).endswith(data[data.index(b"IDAT") - 4 :])
+
+
+def test_ingest_of_a_folder(spark, tmp_path):
+    facts = "cat\nSteps: 4, Model: m"
+    for name, data in {"a/x.png": png({"parameters": facts}), "a/y.mp4": mp4("note"), "bad.png": b"\x89PNG\r\n\x1a\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    walked = walk.walk_media(spark, f"file://{tmp_path}")
+    fresh = ingest.file_facts(walked)
+    first = ingest.scan(fresh.drop("error").where("false"), walked)
+    got = {r["filename"]: r for r in first.files.collect()}
+    assert (got["x.png"]["positive"], got["x.png"]["steps"], got["x.png"]["has_meta"], got["x.png"]["width"]) == ("cat", 4, 1, 640)
+    assert {r["state"]: r["n"] for r in first.counters().collect()} == {"new": 3}
+    stored = ingest.write_version(first.files, f"file://{tmp_path}/versions", 1)
+    (tmp_path / "a/x.png").unlink()
+    again = ingest.scan(stored, walk.walk_media(spark, f"file://{tmp_path}"))
+    assert {r["state"]: r["n"] for r in again.counters().collect()} == {"unchanged": 2, "gone": 1} and again.files.count() == 2
+    walked = walk.walk_media(spark, f"file://{tmp_path}")
+    nothing = walked.where("false")
+    assert ingest.scan(stored, nothing).files.count() == 3  # an empty walk removes nothing
+    assert ingest.scan(stored, nothing.union(walked.where("filename = 'bad.png'")), folders=[f"file:{tmp_path}"]).files.count() == 3
+    assert ingest.scan(stored, walked.where("filename = 'bad.png'"), complete=False).files.count() == 3
+
+
+def test_a_file_that_fails_keeps_its_row(spark):
+    columns = "path string, folder string, filename string, ext string, mtime double, size long, width int, duration double"
+    stored = spark.createDataFrame([("a", "f", "a", ".png", 1.0, 1, 5, None)], columns)
+    walked = spark.createDataFrame([("a", "f", "a", ".png", 2.0, 1, None, None), ("b", "f", "b", ".png", 1.0, 1, None, None)], columns)
+    done = ingest.scan(stored, walked, lambda rows: rows.withColumn("error", F.lit("damaged")))
+    assert [r["width"] for r in done.files.collect()] == [5]
+    assert {r["state"]: r["n"] for r in done.counters().collect()} == {"changed": 1, "new": 1, "failed": 2}
+    assert ingest.read_rate(500, 10, True) == 50 and ingest.read_rate(100, 1, True) is None and ingest.full_scan_due(None, 5)
+
+
+def test_extension_settings_and_posts(spark):
+    declared = [extensions.Setting("size", "number", 3), extensions.Setting("loud", "flag"), extensions.Setting("mode", "choice", "a", ("a", "b")), extensions.Setting("title", "text", "t")]
+    assert extensions.settings_from(declared, {"size": "x", "loud": "true", "mode": "c", "title": 5, "extra": 1}) == {"size": 3, "loud": True, "mode": "a", "title": "5"}
+    with pytest.raises(ValueError):
+        extensions.Setting("password", "text")
+    rows = spark.createDataFrame([(2, 1, "b"), (1, 0, "a")], "id long, pos int, positive string")
+    assert extensions.post(rows, lambda items: "-".join(x["positive"] for x in items)).first()[:2] == ("a-b", 2)
+    with pytest.raises(ValueError):
+        extensions.post(rows, str, most=1)
+    lines = spark.createDataFrame([('{"id": 5, "result": 0.5}',), ('{"ready": true}',), ("junk",)], "value string")
+    assert [tuple(r) for r in extensions.results_of_lines(lines, "double").collect()] == [(5, 0.5, None)]
+    assert extensions.self_test(extensions.Extension("t", "score", "x", len), "abc") is None
+    assert extensions.self_test(extensions.Extension("t", "tags", "x", len), "abc") == "the answer is no tags"
+
+
+def test_upserts_outlive_their_query(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    schema = "k long, v long"
+    stream = lambda: spark.readStream.schema(schema).parquet(at("in"))
+    run = lambda: sorted(map(tuple, watch.upsert_batches(spark, stream(), "k", "v", at("table"), at("progress"), 4).collect()))
+    spark.createDataFrame([], schema).write.mode("append").parquet(at("in"))
+    assert run() == []
+    spark.createDataFrame([(1, 1), (1, 3), (2, 2)], schema).write.mode("append").parquet(at("in"))
+    assert run() == [(1, 3), (2, 2)]
+    spark.createDataFrame([(1, 2), (3, 1)], schema).write.mode("append").parquet(at("in"))
+    assert run() == [(1, 3), (2, 2), (3, 1)] == run()
+
+
 def test_extensions(spark):
     files = spark.createDataFrame([(1, "a b"), (2, "boom"), (3, "c")], "id long, positive string")
 
@@ -105,11 +214,13 @@ def test_extensions(spark):
     old = spark.createDataFrame([(1, "x", "ext:t", 0.1), (1, "y", "user", 1.0)], "image_id long, tag string, source string, score double")
     assert sorted((r["image_id"], r["tag"]) for r in extensions.store_tags(old, results, ext).collect()) == [(1, "a"), (1, "b"), (1, "y")]
     assert [r["error"] for r in results.where("image_id = 2").collect()] == ["no"]
+    empty = extensions.run(files.where("id = 1"), extensions.Extension("t", "tags", "positive", lambda value: []))
+    assert [r["tag"] for r in extensions.store_tags(old, empty, ext).collect()] == ["y"]
 
 
 def test_pending_deletes_can_be_undone(spark, tmp_path):
-    schema = "id long, action string"
-    spark.createDataFrame([(1, "delete"), (2, "delete"), (2, "undo")], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    schema = "id long, action string, seq long"
+    spark.createDataFrame([(1, "delete", 1), (2, "undo", 3), (2, "delete", 2)], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
     found = []
     query = watch.pending_deletes(stream, 500).writeStream.foreachBatch(lambda batch, _: found.extend(tuple(r) for r in batch.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(processingTime="1 second").start()
