@@ -2,9 +2,9 @@
 
 Training is a Spark aggregation of word counts by language over a sample of labelled documents, about
 MAX_TRAIN_DOCS of them (chosen by a hash of the id) and of each language at least about MIN_LANG_DOCS, or all
-where it has no more. All (language, word) pairs of that sample reach the driver, and character n-grams are
-counted from them. The model is broadcast (its size is bounded by the sample) and prediction is one mapInArrow
-without a shuffle.
+where it has no more. All (language, word) pairs of that sample, and the character n-grams counted from
+them in Spark, reach the driver as Arrow columns. The model is broadcast (its size is bounded by the sample)
+and prediction is one mapInArrow without a shuffle.
 
 A known word adds its log frequency in each language. An unseen one is looked up by its character n-grams
 of 5, then 4, 3, 2 and 1 letters, at the first length of which any n-gram is known.
@@ -18,16 +18,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import crc_remainder, table
+from pelagia.llm.common import crc_remainder, table, written
 
 MAX_TRAIN_DOCS = 8_000
 MIN_LANG_DOCS = 200
@@ -39,36 +40,44 @@ WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
+def words_of(lowered: str) -> Counter:
+    """Maximal runs of letters (Unicode category L) with their numbers, as training has them."""
+    words = Counter(WORD.findall(lowered))
+    for odd in [w for w in words if not w.isalpha()]:  # other numerals, such as fractions and Roman ones, are no letters
+        n = words.pop(odd)
+        for part in "".join(c if c.isalpha() else " " for c in odd).split():
+            words[part] += n
+    return words
+
+
 class Model:
-    """Log frequencies by language of words and character n-grams."""
-
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        total = Counter()
-        words: dict[str, Counter] = defaultdict(Counter)
-        for lang, word, n in counts:
-            total[lang] += n
-            words[word][lang] += n
-        self.langs = sorted(total, key=lambda x: (-total[x], x))
-        grams: list[dict[str, np.ndarray]] = [{} for _ in NGRAM_LENGTHS]
-        for word, by_lang in words.items():
-            vector = np.array([by_lang[x] for x in self.langs], float)
-            marked = f"<{word}>"
-            for level, n in zip(grams, NGRAM_LENGTHS, strict=True):
-                for i in range(len(marked) - n + 1):
-                    gram = marked[i : i + n]
-                    if gram in level:
-                        level[gram] += vector
-                    elif gram not in "<>":
-                        level[gram] = vector.copy()
-        self.words, self.word_logs = self._logs({w: np.array([c[x] for x in self.langs], float) for w, c in words.items()})
-        self.grams = [self._logs(level) for level in grams]
-
-    def _logs(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        """The rows of a table of log frequencies, and the table."""
-        if not counts:
+    """Log frequencies by language of words and character n-grams: rows by key, and a table of a column for each language."""
+
+    def __init__(self, words: pa.Table, grams: pa.Table):
+        """Both tables hold (lang, key, n)."""
+        langs, total = self._numbers(words.column("lang"))
+        total = np.bincount(total, words.column("n").to_numpy(), len(langs)) if langs else []
+        self.langs = [lang for _, lang in sorted(zip(total, langs, strict=True), key=lambda x: (-x[0], x[1]))]
+        self.words, self.word_logs = self._logs(words)
+        sizes = pc.utf8_length(grams.column("key"))
+        self.grams = [self._logs(grams.filter(pc.equal(sizes, n))) for n in NGRAM_LENGTHS]
+
+    @staticmethod
+    def _numbers(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+        """The distinct values and each row's place among them."""
+        coded = column.combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+    def _logs(self, counts: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+        if not counts.num_rows:
             return {}, np.zeros((0, len(self.langs)), np.float32)
-        matrix = np.vstack(list(counts.values())) + 0.5
-        return {key: i for i, key in enumerate(counts)}, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+        keys, row = self._numbers(counts.column("key"))
+        names, lang = self._numbers(counts.column("lang"))
+        place = np.array([self.langs.index(name) for name in names])
+        matrix = np.full((len(keys), len(self.langs)), 0.5)
+        np.add.at(matrix, (row, place[lang]), counts.column("n").to_numpy())
+        return {key: i for i, key in enumerate(keys)}, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         marked = f"<{word}>"
@@ -80,33 +89,41 @@ class Model:
 
 
 class Predictor:
+    """Predicts texts; remembers up to MEMO_ENTRIES unseen words as further rows of the table."""
+
     def __init__(self, model: Model):
         self.model, self.memo = model, {}
+        self.known = len(model.word_logs)
+        self.logs = np.concatenate((model.word_logs, np.zeros((MEMO_ENTRIES, len(model.langs)), np.float32)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else None
+        words = words_of(text.lower()) if text else None
         if not words or not self.model.langs:
             return UNDETERMINED, 0.0
-        known, memo, at, times, unseen = self.model.words, self.memo, [], [], []
-        for word, n in words.items():
-            if (row := known.get(word)) is not None:
-                at.append(row)
-                times.append(n)
-                continue
-            v = memo.get(word)
-            if v is None:
-                v = self.model.unseen(word)
-                if len(word) <= MAX_WORD_CHARS:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[word] = v
-            unseen.append(v * n)
-        scores = np.array(times, float) @ self.model.word_logs[at] + (np.sum(unseen, axis=0) if unseen else 0.0)
+        at = list(map(self.model.words.get, words))
+        if None in at:
+            if len(self.memo) + len(words) > MEMO_ENTRIES:
+                self.memo.clear()
+            at = [self._remembered(w) if r is None else r for w, r in zip(words, at, strict=True)]
+        times = np.fromiter(words.values(), float, len(words))
+        if -1 in at:  # words too long, or too many, to be remembered
+            rest = [(w, n) for (w, n), r in zip(words.items(), at, strict=True) if r == -1]
+            here = np.array(at) >= 0
+            scores = times[here] @ self.logs[np.array(at)[here]] + sum(self.model.unseen(w) * n for w, n in rest)
+        else:
+            scores = times @ self.logs[at]
         best = int(np.argmax(scores))
         # the evidence of many words is not independent: its weight grows with the root of their number
         odds = np.exp((scores - scores[best]) / math.sqrt(words.total()))
         return self.model.langs[best], float(1 / odds.sum())
 
+    def _remembered(self, word: str) -> int:
+        row = self.memo.get(word, -1)
+        if row < 0 and len(word) <= MAX_WORD_CHARS and len(self.memo) < MEMO_ENTRIES:
+            row = self.memo[word] = self.known + len(self.memo)
+            self.logs[row] = self.model.unseen(word)
+        return row
+
 
 def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MAX_TRAIN_DOCS, min_lang_docs: int = MIN_LANG_DOCS) -> Model:
     """Learns from the rows with a language and text that training (a condition) admits."""
@@ -125,12 +142,21 @@ def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MA
             limit = F.coalesce(F.create_map(*(F.lit(x) for lang, share in raised.items() for x in (lang, int(every * share))))[F.col("lang")], limit)
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(every)) < limit)
     counts = (
-        rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-        .where(F.length("word") <= MAX_WORD_CHARS)
-        .groupBy("lang", "word")
+        rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key"))
+        .where(F.length("key") <= MAX_WORD_CHARS)
+        .groupBy("lang", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return Model(sorted((r.lang, r.word, r.n) for r in counts.collect()))
+    return learned(written(counts, "language-words"))
+
+
+def learned(counts: DataFrame) -> Model:
+    """A model of word counts (lang, key, n); n-grams are counted here, from the words between brackets."""
+    marked = F.concat(F.lit("<"), "key", F.lit(">"))
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length("marked") - k + 1), lambda i: F.substring("marked", i, F.lit(k)))
+    long_enough = [F.when(F.length("marked") >= k, of_length(k)).otherwise(F.array().cast("array<string>")) for k in NGRAM_LENGTHS]
+    grams = counts.select("lang", "n", marked.alias("marked")).select("lang", "n", F.explode(F.concat(*long_enough)).alias("key")).where(~F.col("key").isin("<", ">"))
+    return Model(counts.select("lang", "key", "n").toArrow(), grams.groupBy("lang", "key").agg(F.sum("n").alias("n")).select("lang", "key", "n").toArrow())
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
