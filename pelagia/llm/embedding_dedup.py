@@ -41,7 +41,7 @@ LEAST = 0.95
 SHARD_BYTES = 32 << 20
 LEAST_SHARD_ROWS = 1024
 MOST_TASKS = 8192
-BEAM = 32
+BEAM = 16
 QUERY_BATCH = 512
 MAX_BEAM = 512
 AUDIT_SAMPLE = 256
@@ -307,7 +307,7 @@ def search(vectors: DataFrame, shards: int) -> Links:
                 beams, queries, recall = zip(*audits, strict=True)
                 yield _found(queries=queries, recall=recall, beam=beams)
 
-    found = written(pairs.repartition(tasks).mapInArrow(compare, FOUND), "vector-links")
+    found = written(pairs.repartitionByRange(tasks, "path", "other_path").mapInArrow(compare, FOUND), "vector-links")
     linked = found.where(F.col("id").isNotNull())
     return Links(linked.groupBy("id").agg(F.sum("links").alias("links")), linked.select(F.col("id").alias("a"), F.col("part").alias("b")), found.where(F.col("id").isNull()).select("queries", "recall", "beam"))
 
