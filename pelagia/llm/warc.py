@@ -35,7 +35,9 @@ from pelagia.llm.common import shared_dir, table, written
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_BYTES = 1 << 20
+SAMPLES = 256
 MIN_SAMPLES = 16
+LEAST_PIECE, MOST_PIECE = 256, 4096
 LEVEL = 3
 FILE_BYTES = 16 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -60,9 +62,14 @@ def _record(record_id: str, page_id: int | None, url: str | None, html: str | No
 
 
 def dictionary_for(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary trained on evenly spread records, SAMPLE_BYTES at most; None if they are too few."""
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    samples = [r[: SAMPLE_BYTES // MIN_SAMPLES] for r in records[::step]]
+    """A dictionary trained on pieces spread evenly over all of the records, SAMPLE_BYTES at most; None if they are too few.
+
+    Records of any size are cut into pieces first, so a few large ones give as many samples as many small ones.
+    """
+    total = sum(map(len, records))
+    piece = max(LEAST_PIECE, min(MOST_PIECE, total // SAMPLES))
+    pieces = [r[i : i + piece] for r in records for i in range(0, len(r), piece)]
+    samples = pieces[:: max(1, total // SAMPLE_BYTES)]
     if len(samples) < MIN_SAMPLES:
         return None
     try:
@@ -115,6 +122,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha1(payload).alias("digest"), (F.octet_length(payload) >= min_bytes).alias("counts"))
     firsts = rows.where("counts").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
+    firsts = written(firsts, "warc-firsts")  # read back, so that adaptive execution may split a hot digest or broadcast few
     joined = rows.join(firsts, "digest", "left")
     revisit = F.col("counts") & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     ready = joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
