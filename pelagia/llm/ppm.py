@@ -223,22 +223,22 @@ def code_counts(training: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     return written(training.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ppm-codes")
 
 
-def _level(grams: DataFrame, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of order k that occur at least so often, in order, with their counts."""
+def _level(grams: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of order k that training has, in order, with their counts."""
     level = grams if k == ORDER else grams.groupBy((F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").alias("n"))
-    got = level.where(F.col("n") >= least).toArrow()
+    got = level.where("n > 0").toArrow()
     codes, n = got.column("code").to_numpy().astype(np.uint32), got.column("n").to_numpy().astype(np.int64)
     order = np.argsort(codes)
     return codes[order], n[order]
 
 
 def fit(training: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """A trie of at most max_nodes codes per order above 1, for use where a small model will do; score has all codes."""
+    """The trie of all training texts, for use where it is small; raises beyond max_nodes codes, where score still works."""
     grams = code_counts(training, max_nodes)
-    tops = [F.sum((F.col("n") >= 1 << b).cast("long")).alias(f"b{b}") for b in range(40)]
-    row = grams.agg(*tops).first()
-    least = next((1 << b for b in range(40) if (row[f"b{b}"] or 0) <= max_nodes), 1 << 40)
-    return Trie([_level(grams, k, least if k > 1 else 1) for k in range(ORDER + 1)])
+    n = grams.count()
+    if n > max_nodes:
+        raise ValueError(f"{n} codes are too many for one task's memory")
+    return Trie([_level(grams, k) for k in range(ORDER + 1)])
 
 
 def code_logs(grams: DataFrame) -> DataFrame:
