@@ -26,6 +26,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +80,20 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's pieces of at most capacity tokens."""
+    """(row, doc_id, piece, start, length, ids_crc32[, ids]) of every document's pieces of at most capacity tokens.
+
+    row numbers the pieces by task and is one piece's own only once the result is written.
+    """
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     ranks_path = None if tokenizer_path else public_tokenizers.path(RANKS)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ENCODERS.get(path) or Encoder(path, ranks_path)
         _ENCODERS[path] = encode
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -97,11 +102,12 @@ def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: in
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = data[4 * a : 4 * b]
-                    rows.append((doc_id, i, a, b - a, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
+                    rows.append((row, doc_id, i, a, b - a, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
+                    row += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -215,12 +221,12 @@ def runs(chosen: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 
 
 def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+    """The pieces with sequence_id and offset; ids are joined back by row at the end, so ranking doesn't move them."""
     parts = written(pieces(documents, tokenizer_path, capacity, end_id, with_ids), "packing-pieces")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     keys, sequences, offsets = runs(plan(histogram, capacity))
     salts = max(1, -(-max(histogram.values(), default=1) // RANK_GROUP))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = parts.drop("ids").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
@@ -233,6 +239,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
         return pd.DataFrame({"sequence_id": sequences[i] + (key - keys[i]), "offset": offsets[i]})
 
     placed = ranked.withColumn("place", place("length", "rank"))
+    placed = placed.join(parts.select("row", "ids"), "row") if with_ids else placed
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("place.sequence_id").alias("sequence_id"), F.col("place.offset").alias("offset"), *["ids"] * with_ids)
 
 
