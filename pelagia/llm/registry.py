@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pelagia.llm import embedding_dedup, language_id, near_dedup, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
+from pelagia.llm import embedding_dedup, language_id, near_dedup, oracle, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,6 @@ QUERIES = {
     "op10_pii": pii.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": oracle.WARC, "op6_embedding_dedup": oracle.EMBEDDINGS, "op7_near_dedup": oracle.NEAR_DOCUMENTS}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

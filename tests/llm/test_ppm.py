@@ -39,7 +39,7 @@ TEXTS = ["the cat sat on the mat", "the dog sat", None, "", "  ", "äöü é 日
 
 def score_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, score int")
-    return docs, ppm.score(docs.drop("score")).collect()
+    return docs, ppm.score(docs).collect()  # a column named as one of the result's isn't read
 
 
 @pytest.mark.parametrize("held", [lambda i: i % 3 == 1, lambda i: True])
@@ -69,10 +69,13 @@ def test_probabilities_sum_to_one():
         assert abs((10 ** trie.log_probabilities(every)).sum() - 1) < 1e-5
 
 
-def test_pruned_trie_still_scores_and_empty_table(spark):
+def test_small_tries_are_whole_and_larger_ones_refused(spark):
     docs = spark.createDataFrame([(i, f"some words {i} repeated words", False) for i in range(50)], "doc_id long, text string, held_out boolean")
-    trie = ppm.fit(docs, max_nodes=20)
-    assert len(trie.levels[3].codes) <= 20 and np.isfinite(trie.score([b"some words", b""])).all()
+    trie = ppm.fit(docs)
+    expected = naive([ppm.lowered(r["text"]) for r in docs.collect()], b"some words")
+    assert math.isclose(trie.score([b"some words"])[0], expected, rel_tol=1e-5)
+    with pytest.raises(ValueError):
+        ppm.fit(docs, max_nodes=20)
     assert ppm.score(docs.where("doc_id < 0")).count() == 0
 
 

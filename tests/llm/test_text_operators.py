@@ -1,5 +1,7 @@
 import base64
+import functools
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -94,7 +96,7 @@ def test_language_sample_keeps_rare_languages_and_rare_words(spark):
 
 
 def test_language_backoff_and_odd_rows(spark):
-    model = language_id.Model([("en", "the", 50), ("en", "thing", 5), ("de", "der", 40), ("de", "dingung", 5)])
+    model = language_id.learned(spark.createDataFrame([("en", "the", 50), ("en", "thing", 5), ("de", "der", 40), ("de", "dingung", 5)], "lang string, key string, n long"))
     predict = language_id.Predictor(model)
     assert predict("the")[0] == "en" and predict("der DER")[0] == "de"
     assert predict("things")[0] == "en" and predict("bedingungen")[0] == "de"  # unseen words, known n-grams
@@ -141,6 +143,14 @@ def test_sentencepiece_runs_and_table(spark, codecs):
         assert list(r["ids"]) == library.encode(text or "") and r["decoded"] == library.decode(library.encode(text or ""))
 
 
+def test_letters_are_the_same_in_training_and_prediction(spark):
+    rows = [(i, f"strasse groß tag {i}", "de") for i in range(30)] + [(100 + i, "the day is ours", "en") for i in range(30)]
+    predict = language_id.Predictor(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [predict(t) for t in ("½ ²", "Ⅷ", "12 _ 3", "٣")] == [("und", 0.0)] * 4
+    assert language_id.words_of("groß½tag ⅷday²the 3x") == {"groß": 1, "tag": 1, "day": 1, "the": 1, "x": 1}
+    assert predict("½groß²")[0] == "de"
+
+
 # url filter ----------------------------------------------------------------------------------------------
 
 
@@ -168,6 +178,26 @@ def test_url_model_separates_its_table_and_similar_hosts():
     assert url_filter.probability("theones.example.net", "/de/77.html", weights) < 0.5
 
 
+def test_url_model_on_urls_it_has_not_seen():
+    assert len(set(url_filter.LABELLED_URLS)) == len(url_filter.LABELLED_URLS) > 100
+    assert url_filter.held_out_accuracy() >= 0.85
+
+
+def test_url_verdicts_of_repeated_rows_and_clashing_columns(spark):
+    urls = ["http://win-casino-bonus.test/free-spins", "http://news.village.test/council", "http://a.com/x", None]
+    rows = spark.createDataFrame([(i % 4, urls[i % 4], "x", 7) for i in range(8)], "page_id long, url string, host string, spam_probability int")
+    got = sorted(map(tuple, url_filter.judge(rows).collect()), key=repr)
+    assert len(got) == 8 and all(got[i] == got[i + 1] for i in range(0, 8, 2))
+    weights = url_filter.fit()
+    for page_id, host, path, rule, verdict, probability in got:
+        if rule is None:  # each row against a plain evaluation of the model
+            expected = url_filter.probability(host, path, weights)
+            assert abs(probability - expected) < 1e-12 and verdict == ("block" if expected >= 0.5 else "allow")
+        else:
+            assert probability is None and verdict == "allow"
+    assert [r[4] for r in got] == ["block"] * 2 + ["allow"] * 6
+
+
 # warc ----------------------------------------------------------------------------------------------------
 
 
@@ -199,6 +229,16 @@ def test_warc_archive_has_a_dictionary_frame():
     assert len(list(warc.records_of(warc.archive_bytes(big[:3])))) == 3 and records
 
 
+@pytest.mark.parametrize("size,n", [(200_000, 83), (100_000, 20), (3_000_000, 3), (2_000, 3)])
+def test_warc_dictionaries_of_records_of_any_size(size, n):
+    rng = random.Random(size)
+    words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(2000)]
+    records = [warc._record("x", i, "http://h/", " ".join(rng.choices(words, k=size // 9)), "D", None, False) for i in range(n)]
+    assert warc.dictionary_for(records) is not None
+    archive = warc.archive_bytes(records)
+    assert int.from_bytes(archive[:4], "little") == warc.DICTIONARY_MAGIC and len(list(warc.records_of(archive))) == n
+
+
 def test_warc_smaller_payloads_are_all_responses(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "longer"), (4, "d", "longer")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.read_archives(warc.write_archives(rows, f"file://{tmp_path}/a", min_bytes=3)).collect()}
@@ -229,6 +269,32 @@ def test_encoder_equals_library():
     assert [np.frombuffer(own(x), "<u4").tolist() for x in texts] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(" \n\t'’\x00\x1f\x7f\xa0\xad")), max_size=120), st.sampled_from([1, 40]))
+def test_latin_texts_encode_as_by_the_library(text, times):
+    encode = _encoder()
+    assert encode(text * times) == (encode._encode([text * times])[0] if text else b"")
+
+
+def test_long_words_encode_as_by_the_library():
+    encode = _encoder()
+    for text in ("x" * 499, "é" * 500, "ab" * 251, " " * 199 + "a", "\n" * 205, "a<|endoftext|>b"):
+        assert encode(text) == encode._encode([text])[0]
+
+
+@functools.cache
+def _encoder():
+    return packing.Encoder(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
+
+
+def test_ids_come_back_to_their_pieces(spark):
+    docs = spark.createDataFrame([(i % 7, f"word {i % 5} " * (i * 300)) for i in range(20)], "doc_id long, text string")
+    got = packing.pack(docs, capacity=512).collect()
+    assert len(got) == len({(r["sequence_id"], r["offset"]) for r in got})
+    for r in got:
+        assert r["length"] == len(r["ids"]) and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+
+
 def test_packing_places_all_tokens(spark):
     docs = documents(spark, ODD + ["word " * 9000])
     library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
