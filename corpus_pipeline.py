@@ -29,8 +29,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and offset."""
-    return packing.pack(docs, with_ids=False)
+    """Token pieces of all documents with their ids, sequence and offset."""
+    return packing.pack(docs)
 
 
 STAGES = [
