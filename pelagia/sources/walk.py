@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
 from pelagia.functions import vocab
 
+#: a folder of files that wait to be deleted
+BIN = "_ToRecycle"
+SIDECAR_BYTES = 64 * 1024
 MEDIA_GLOB = "*.{" + ",".join(e[1:] for e in vocab.IMAGE_EXTENSIONS + vocab.VIDEO_EXTENSIONS + vocab.AUDIO_EXTENSIONS) + "}"
 
 
@@ -20,7 +24,7 @@ def _load(spark: SparkSession, folders: str | Sequence[str], glob: str, deep: bo
 
 def walk_media(spark: SparkSession, root: str, glob: str = MEDIA_GLOB) -> DataFrame:
     """(path, folder, filename, ext, mtime, size) of every media file below root."""
-    return _described(_load(spark, root, glob, True))
+    return _described(_load(spark, root, glob, True)).where(~F.col("path").contains("/" + BIN + "/"))
 
 
 def walk_folders(spark: SparkSession, folders: Sequence[str], glob: str = MEDIA_GLOB) -> DataFrame:
@@ -28,6 +32,31 @@ def walk_folders(spark: SparkSession, folders: Sequence[str], glob: str = MEDIA_
     return _described(_load(spark, folders, glob, False))
 
 
+def walk_some(spark: SparkSession, folders: Sequence[str], glob: str = MEDIA_GLOB) -> tuple[DataFrame | None, list[str]]:
+    """The same, and the folders that can't be listed: what lies in those is not known to be gone."""
+    good, bad = [], []
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        try:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+            good.append(folder)
+        except Py4JJavaError:
+            bad.append(folder)
+    return (walk_folders(spark, good, glob) if good else None), bad
+
+
+def sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text, set_id, set_stage) of the side files below root that are not too large; lines of ours are lifted out."""
+    files = _load(spark, root, "*.txt", True).where(F.col("length") <= SIDECAR_BYTES)
+    return lifted(files.select("path", F.decode("content", "UTF-8").alias("text")))
+
+
+def lifted(texts: DataFrame) -> DataFrame:
+    line = lambda name: rf"(?im)^[ \t]*vv[ _]*set[ _]*{name}[ \t]*:[ \t]*(.+?)[ \t]*$"
+    value = lambda name: F.nullif(F.regexp_extract("text", line(name), 1), F.lit(""))
+    return texts.select("path", F.regexp_replace(F.regexp_replace("text", line("id"), ""), line("stage"), "").alias("text"), value("id").alias("set_id"), value("stage").alias("set_stage"))
+
+
 def _described(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"), F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("mtime"), F.col("length").alias("size"))
@@ -45,7 +74,7 @@ def contents(spark: SparkSession, root: str, glob: str = MEDIA_GLOB) -> DataFram
 def sidecar_keys(path: Column) -> list[Column]:
     """Candidate text files of a media file, the most specific first."""
     stem = F.regexp_replace(path, r"\.[^./]*$", "")
-    return [F.concat(path, F.lit(".txt")), F.concat(stem, F.lit(".txt")), F.concat(F.regexp_replace(stem, r"[ _-][0-9]+$", ""), F.lit(".txt")), F.concat(F.regexp_extract(stem, r"^(.*?~vv[0-9a-z]{4,10})", 1), F.lit(".txt"))]
+    return [F.concat(path, F.lit(".txt")), F.concat(stem, F.lit(".txt")), F.concat(F.regexp_replace(stem, r"(?i)_[0-9]{5,}_?(-audio)?$", ""), F.lit(".txt")), F.concat(F.regexp_extract(stem, r"(?i)^(.*?~vv[0-9a-z]{4,10}(?![0-9a-z]))[^/]*$", 1), F.lit(".txt"))]
 
 
 def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:

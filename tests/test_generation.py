@@ -164,3 +164,14 @@ def test_facts_of_files(spark):
     got = [r["f"] for r in files.select(f.alias("f")).collect()]
     assert [(x["positive"], x["steps"], x["model_name"], x["method"]) for x in got] == [("a cat", 20, "base", "saver-walk"), ("from text", 3, "other", "settings-text"), ("side", 9, "base", "saver-walk"), (None, None, None, None), ("from text", 3, "other", "settings-text")]
     assert str(got[0]["seed"]) == "18446744073709551615" and got[3]["loras"] == []
+
+
+def test_songs_take_their_caption_and_words():
+    nodes = two_savers()
+    nodes["20"] = node("MusicEncode", caption=["21", 0], lyrics="la la", style="a longer style than the caption is")
+    nodes["21"] = node("String", value="calm piano")
+    found = read(nodes, "song_1.flac")
+    assert (found["positive"], found["lyrics"], found["method"]) == ("calm piano", "la la", "audio-caption")
+    assert "lyrics" not in read(nodes, "out_1.png")
+    del nodes["20"]["inputs"]["caption"]
+    assert read(nodes, "song.mp3")["positive"].startswith("a longer style")

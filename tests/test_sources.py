@@ -64,17 +64,40 @@ def test_walk_and_containers(spark, tmp_path):
 
 
 def test_sidecars_and_resolution(spark):
-    files = spark.createDataFrame([("d/a.png",), ("d/b_0001.png",), ("d/c~vvabc123_x.png",), ("d/e.png",)], "path string")
+    files = spark.createDataFrame([("d/a.png",), ("d/b_00001.png",), ("d/c~vvabc123_x.png",), ("d/e.png",)], "path string")
     sidecars = spark.createDataFrame([("d/a.png.txt", "1"), ("d/a.txt", "2"), ("d/b.txt", "3"), ("d/c~vvabc123.txt", "4")], "path string, text string")
-    assert {r["path"]: r["sidecar"] for r in walk.with_sidecars(files, sidecars).collect()} == {"d/a.png": "1", "d/b_0001.png": "3", "d/c~vvabc123_x.png": "4", "d/e.png": None}
+    assert {r["path"]: r["sidecar"] for r in walk.with_sidecars(files, sidecars).collect()} == {"d/a.png": "1", "d/b_00001.png": "3", "d/c~vvabc123_x.png": "4", "d/e.png": None}
     models = spark.createDataFrame([("m/x.safetensors",), ("n/x.safetensors",), ("k/y.ckpt",)], "path string")
     wanted = spark.createDataFrame([("n\\x.safetensors",), ("x.safetensors",), ("y",), ("nope",)], "raw string")
     assert {r["raw"]: r["path"] for r in walk.resolve(wanted, models).collect()} == {"n\\x.safetensors": "n/x.safetensors", "x.safetensors": "m/x.safetensors", "y": "k/y.ckpt", "nope": None}
 
 
+CAPTIONS = [
+    (None, None, None, None, None),
+    ("quiet", None, None, None, None),
+    ("Global metadata: Drum and Bass / Jungle. It runs at 120 BPM in C# minor. Singer A (Female).", 120, "C♯ minor", "Drum and Bass / Jungle", "female"),
+    ("Basic attributes. Vocal. bpm is 87; key is B flat, and scale is Minor. Slow Country. The vocals are soft and androgynous.", 87, "B♭ minor", "Slow Country", "androgynous"),
+    ("A warm piece of music at 90 bpm. Vocal is female. Arrangement.", 90, None, None, "female"),
+    ("Techno. One. Two. Three. Four. 99 BPM.", 99, None, "Three", None),
+    ("The male lead of the story sits far away from any word about the singing of it all. " * 2 + "vocals", None, None, None, None),
+]
+
+
 def test_songs(spark):
-    song = spark.createDataFrame([("A female song at 120 BPM in C# minor.",), ("quiet",)], "c string").select(generation.song_facts("c").alias("f")).collect()
-    assert tuple(song[0]["f"]) == (120, "C# minor", "female") and tuple(song[1]["f"]) == (None, None, None)
+    rows = spark.createDataFrame([(c,) for c, *_ in CAPTIONS], "c string")
+    got = [tuple(r["f"]) for r in rows.select(generation.song_facts(F.col("c")).alias("f")).collect()]
+    assert got == [tuple(x) for _, *x in CAPTIONS]
+
+
+def test_side_files(spark, tmp_path):
+    for name, text in {"a.txt": "cat\nNegative prompt: dog\nVV set id: S 1\n vv_set_stage : Final \n", "_ToRecycle/b.png": "x", "big.txt": "x" * 70_000, "c.png": "x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (found,) = walk.sidecars(spark, f"file://{tmp_path}").collect()
+    assert (found["set_id"], found["set_stage"], found["text"].strip()) == ("S 1", "Final", "cat\nNegative prompt: dog")
+    assert [r["filename"] for r in walk.walk_media(spark, f"file://{tmp_path}").collect()] == ["c.png"]
+    files, bad = walk.walk_some(spark, [f"file://{tmp_path}", f"file://{tmp_path}/gone"])
+    assert files.count() == 1 and bad == [f"file://{tmp_path}/gone"]
 
 
 def tiff(entries, comment=b"", order="<"):
