@@ -135,6 +135,13 @@ def claim_groups(files: DataFrame, passes: list[tuple[Column, Column]]) -> DataF
     return out
 
 
+def expand(selection: DataFrame, files: DataFrame) -> DataFrame:
+    """The selected ids and those of all other members of their groups, each once, in order."""
+    groups = files.join(selection.select("id"), "id", "left_semi").select("group_id").distinct()
+    pulled = files.join(groups, "group_id", "left_semi").select("id")
+    return selection.select("id").union(pulled).distinct().orderBy("id")
+
+
 def expand_ordered(selection: DataFrame, files: DataFrame) -> DataFrame:
     """Selected ids in their order, each followed by the other members of its group that it pulls in first."""
     chosen = selection.join(files.select("id", "group_id"), "id")

@@ -122,6 +122,31 @@ def from_params(params: dict[str, str]) -> FilterSpec:
     )
 
 
+SAVED_KEYS = ("q", "x", "roots", "model", "mfolder", "folder", "type", "group", "sets", "aspect", "after", "before", "rmin", "rmax", "tags", "label", "meta", "fav", "note", "coll", "sort")
+MOST_SAVED, NAME_CHARS, LIST_ITEMS = 50, 60, 100
+
+
+def saved(searches: list[dict]) -> list[dict]:
+    """Searches as they are stored: known keys only, bounded names and lists, pairs and sets on unless they are off."""
+    out = []
+    for search in searches[:MOST_SAVED]:
+        name = " ".join(str(search.get("name") or "").split())[:NAME_CHARS]
+        params = search.get("params")
+        if not name or not isinstance(params, dict):
+            continue
+        kept = {"group": "1", "sets": "1"}
+        for key in SAVED_KEYS:
+            value = params.get(key)
+            if isinstance(value, list):
+                kept[key] = ",".join(str(v) for v in value[:LIST_ITEMS])
+            elif isinstance(value, bool):
+                kept[key] = "1" if value else "0"
+            elif isinstance(value, str | int | float):
+                kept[key] = str(value)
+        out.append({"name": name, "params": kept})
+    return out
+
+
 def is_tag() -> Column:
     return (F.col("source") == "user") | F.col("source").startswith("ext:")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,15 +86,37 @@ def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return files.join(best, "path", "left")
 
 
-def resolve(wanted: DataFrame, models: DataFrame) -> DataFrame:
-    """wanted (raw) with path: an exact relative path, else the same base name, else the same stem."""
-    name = F.element_at(F.split(F.regexp_replace("raw", r"\\", "/"), "/"), -1)
-    keyed = wanted.select("raw", F.explode(F.array(F.struct(F.lit(0).alias("p"), F.regexp_replace("raw", r"\\", "/").alias("k")), F.struct(F.lit(1).alias("p"), name.alias("k")), F.struct(F.lit(2).alias("p"), C.stem(name).alias("k")))).alias("c")).select("raw", "c.p", "c.k")
-    base = F.element_at(F.split("path", "/"), -1)
-    shelf = models.select("path", F.explode(F.array(F.struct(F.lit(0).alias("p"), F.col("path").alias("k")), F.struct(F.lit(1).alias("p"), base.alias("k")), F.struct(F.lit(2).alias("p"), C.stem(base).alias("k")))).alias("c")).select("path", "c.p", "c.k")
-    best = keyed.join(shelf, ["p", "k"]).groupBy("raw").agg(F.min_by("path", F.struct("p", "path")).alias("path"))
+def resolve(wanted: DataFrame, models: DataFrame, categories: Sequence[str] = ()) -> DataFrame:
+    """wanted (raw) with path: the file at that relative path, else one of that name, else of that stem if raw has no model's extension.
+
+    Paths are relative to the folder of all models; of equal matches one in an earlier category comes first, and
+    one outside of them last.
+    """
+    category = F.coalesce(*(F.when(F.col("path").startswith(c + "/"), F.lit(i)) for i, c in enumerate(categories)), F.lit(len(categories)))
+    shelf = models.select("path", category.alias("category"))
+    inside = F.coalesce(*(F.when(F.col("category") == i, F.substring("path", len(c) + 2, 1 << 20)) for i, c in enumerate(categories)), F.col("path"))
+    key = lambda p, k: F.struct(F.lit(p).alias("p"), k.alias("k"))
+    is_model = lambda name: F.lower(name).rlike(r"\.(safetensors|ckpt|sft|gguf|pt|pth|bin)$")
+    plain = F.regexp_replace(F.regexp_replace("raw", r"\\", "/"), "^/+", "")
+    name, base = (F.lower(F.element_at(F.split(x, "/"), -1)) for x in (plain, F.col("path")))
+    keyed = wanted.select("raw", F.explode(F.array(key(0, plain), key(1, name), F.when(~is_model(name), key(2, name)))).alias("c")).select("raw", "c.p", "c.k")
+    shelf = shelf.select("path", "category", F.explode(F.array(key(0, inside), key(0, F.col("path")), key(1, base), F.when(is_model(base), key(2, F.regexp_replace(base, r"\.[^.]*$", ""))))).alias("c")).select("path", "category", "c.p", "c.k")
+    best = keyed.join(shelf, ["p", "k"]).groupBy("raw").agg(F.min_by("path", F.struct("p", "category", "path")).alias("path"))
     return wanted.join(best, "raw", "left")
 
 
+def reachable(spark: SparkSession, folder: str, seconds: float = 6.0) -> bool:
+    """Whether a folder can be listed in time: a guard on the driver before anything is taken for gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    look = lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    pool = ThreadPoolExecutor(1)
+    try:
+        return bool(pool.submit(look).result(seconds))
+    except (Py4JJavaError, TimeoutError):
+        return False
+    finally:
+        pool.shutdown(wait=False)
+
+
 def short_hash(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 10)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
-from pelagia.operators import cards, curate, facets, filters
+from pelagia.operators import cards, curate, curation, facets, filters
 from pelagia.operators.filters import FilterSpec
 
 COLUMNS = "id long, root_id string, folder string, model_name string, model_type string, filename string, ext string, group_id string, set_stage string, mtime long, width int, height int, positive string, reward int, size long"
@@ -121,3 +121,38 @@ def test_rename_plan_avoids_names_on_disk(spark):
     case_only = spark.createDataFrame([(1, "f", "Cat.png"), (2, "f", "dog_Cat.png")], "id long, folder string, filename string")
     plan = {r["id"]: r["new_name"] for r in curate.rename_plan(case_only, "Cat", "cat").collect()}
     assert plan == {1: "cat.png", 2: "dog_cat.png"}
+
+
+def test_saved_searches_keep_what_is_known():
+    kept = filters.saved([{"name": "  a  b ", "params": {"q": "x", "bad": 1, "tags": ["a"] * 150, "fav": True, "sets": "0"}}, {"name": "", "params": {}}, {"name": "c", "params": None}])
+    assert len(kept) == 1 and kept[0]["name"] == "a b"
+    assert kept[0]["params"] == {"group": "1", "sets": "0", "q": "x", "tags": ",".join(["a"] * 100), "fav": "1"}
+
+
+def test_selections_expand_to_whole_cards(files):
+    picked = files.where("id in (4, 5)").select("id")
+    assert [r["id"] for r in cards.expand(picked, files).collect()] == [4, 5, 6, 7]
+
+
+def test_culls_follow_one_example(spark):
+    rows = [(1, "g1", "r", "f", "a.png", ".png", "Raw"), (2, "g1", "r", "f", "b.png", ".png", "Final"), (3, "g2", "r", "f", "x_1 MAIN_1.png", ".png", ""), (4, "g2", "r", "f", "y.png", ".png", "final"), (5, "g3", "r", "f", "c.png", ".png", "Raw"), (6, "g3", "r", "other", "d.png", ".png", "Final"), (7, "g4", "r", "f", "e.mp4", ".mp4", "Raw"), (8, "g4", "r", "f", "e.png", ".png", "Final"), (9, "g5", "r", "f", "h.png", ".png", "Raw"), (10, "g5", "r", "f", "i.png", ".png", "Raw")]
+    catalog = spark.createDataFrame(rows, "id long, group_id string, root_id string, folder string, filename string, ext string, set_stage string")
+    plan = {r["id"]: r["keep"] for r in curation.cull_plan(catalog, 1, "FINAL").collect()}
+    assert plan == {1: False, 2: True, 3: False, 4: True}
+    for anchor, role in ((1, "refine"), (9, "raw"), (99, "raw")):
+        with pytest.raises(ValueError):
+            curation.cull_plan(catalog, anchor, role)
+
+
+def test_merging_keeps_what_the_keeper_has(spark):
+    catalog = spark.createDataFrame([(i, float(10 - i)) for i in range(1, 6)], "id long, mtime double")
+    tags = spark.createDataFrame([(1, "a", "user", 0.5), (2, "a", "user", 0.1), (2, "b", "ext:t", 0.2), (3, "label:refine", "user", None), (2, "label:publish", "user", None), (5, "label:explore", "user", None), (4, "label:video", "user", None)], "image_id long, tag string, source string, score double")
+    notes = spark.createDataFrame([(1, "mine"), (2, " other "), (3, "mine"), (5, None)], "id long, note string")
+    quality = spark.createDataFrame([(2, None), (3, 7.0)], "image_id long, reward double")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "keeper long, doomed long")
+    out = curation.merge_curation(pairs, catalog, tags, notes, quality)
+    mine = sorted((r["tag"], r["score"]) for r in out["tags"].where("image_id = 1").collect())
+    assert mine == [("a", 0.5), ("b", 0.2), ("label:refine", None)]  # 3 is older than 2
+    assert [r["tag"] for r in out["tags"].where("image_id = 4").collect()] == ["label:video"]
+    assert {r["id"]: r["note"] for r in out["notes"].collect()}[1] == "mine\n\n— merged from a deleted copy —\nother"
+    assert {r["image_id"]: r["reward"] for r in out["quality"].collect()} == {1: 7.0, 2: None, 3: 7.0}

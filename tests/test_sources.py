@@ -70,6 +70,10 @@ def test_sidecars_and_resolution(spark):
     models = spark.createDataFrame([("m/x.safetensors",), ("n/x.safetensors",), ("k/y.ckpt",)], "path string")
     wanted = spark.createDataFrame([("n\\x.safetensors",), ("x.safetensors",), ("y",), ("nope",)], "raw string")
     assert {r["raw"]: r["path"] for r in walk.resolve(wanted, models).collect()} == {"n\\x.safetensors": "n/x.safetensors", "x.safetensors": "m/x.safetensors", "y": "k/y.ckpt", "nope": None}
+    placed = spark.createDataFrame([("loras/a/x.pt",), ("checkpoints/x.pt",), ("unet/X.ckpt",)], "path string")
+    found = walk.resolve(spark.createDataFrame([("x.pt",), ("a\\x.pt",), ("x",)], "raw string"), placed, ["unet", "checkpoints"])
+    assert {r["raw"]: r["path"] for r in found.collect()} == {"x.pt": "checkpoints/x.pt", "a\\x.pt": "checkpoints/x.pt", "x": "unet/X.ckpt"}
+    assert walk.reachable(spark, "file:///tmp") and not walk.reachable(spark, "file:///no/such/folder")
 
 
 CAPTIONS = [
