@@ -31,11 +31,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read back: later plans start from those files."""
+def written(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """df, written as Parquet into the shared folder and read back: later plans start from those files.
+
+    Where it replaces an older written table that nothing else reads any more, that one's files are removed.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if replaces is not None:
+        remove(df.sparkSession, replaces.scratch_path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ascii_lower(text: Column) -> Column:
