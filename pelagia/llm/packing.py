@@ -37,6 +37,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 END_ID = 0
 RANK_GROUP = 50_000
+BATCH_TOKENS = 1 << 21
 SWEEPS = 30
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 BLANK_RUN = re.compile(r"\s{200}")
@@ -94,8 +95,16 @@ def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: in
         encode = _ENCODERS.get(path) or Encoder(path, ranks_path)
         _ENCODERS[path] = encode
         row = TaskContext.get().partitionId() << 40
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            rows.clear()
+            held = 0
+            return out
+
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encode(text) + tail
                 n = len(data) // 4
@@ -103,9 +112,11 @@ def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: in
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = data[4 * a : 4 * b]
                     rows.append((row, doc_id, i, a, b - a, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
-                    row += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    row, held = row + 1, held + b - a
+                    if held >= BATCH_TOKENS:
+                        yield flush()
+        if rows:
+            yield flush()
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
