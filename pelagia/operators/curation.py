@@ -220,6 +220,22 @@ def cull_plan(files: DataFrame, anchor_id: int, keep_role: str) -> DataFrame:
     return rows.join(same.select("group_id"), "group_id", "left_semi").select("group_id", "id", (F.col("role") == wanted).alias("keep"))
 
 
+def cull(plan: DataFrame, files: DataFrame, tags: DataFrame, notes: DataFrame, quality: DataFrame) -> dict[str, DataFrame]:
+    """New files, tags, notes and quality after a plan (group_id or set_id, id, keep): what stays takes over what the others carry."""
+    key = "group_id" if "group_id" in plan.columns else "set_id"
+    pairs = plan.where("keep").select(key, F.col("id").alias("keeper")).join(plan.where("not keep").select(key, F.col("id").alias("doomed")), key).select("keeper", "doomed")
+    merged = merge_curation(pairs, files, tags, notes, quality)
+    gone = pairs.select("doomed").distinct()
+    left = lambda t, column: t.join(gone.withColumnRenamed("doomed", column), column, "left_anti").select(*t.columns)
+    return {"files": left(files, "id"), "tags": left(merged["tags"], "image_id"), "notes": left(merged["notes"], "id"), "quality": left(merged["quality"], "image_id")}
+
+
+def largest_sets(sets: DataFrame, n: int) -> DataFrame:
+    """The rows of the n duplicate sets that free most."""
+    first = sets.where("keep").orderBy(F.desc("recoverable"), "filename", "set_id").limit(n).select("set_id")
+    return sets.join(first, "set_id", "left_semi").select(*sets.columns)
+
+
 def folder_copies(files: DataFrame, root_id: str, folder: str) -> DataFrame:
     """(keep_id, copy_id): copies elsewhere of the files of one folder; names count with their case."""
     inside = (F.col("root_id") == root_id) & (F.col("folder") == folder)

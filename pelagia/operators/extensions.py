@@ -129,6 +129,18 @@ def settings_from(declared: list[Setting], given: dict) -> dict:
     return out
 
 
+def from_manifest(manifest: dict, function: Callable) -> tuple[Extension, list[Setting]]:
+    """An extension and its settings as a manifest declares them; raises with what is wrong in it."""
+    name = str(manifest.get("name") or "").strip()
+    if not name or not name.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("an extension needs a name of letters, digits, dashes and underscores")
+    declared = [Setting(str(x.get("name") or ""), str(x.get("type") or ""), x.get("default"), tuple(x.get("choices") or ())) for x in manifest.get("settings") or []]
+    names = [s.name for s in declared]
+    if "" in names or len(set(names)) < len(names):
+        raise ValueError("settings need names of their own")
+    return Extension(name, str(manifest.get("produces") or ""), str(manifest.get("column") or "positive"), function), declared
+
+
 def self_test(extension: Extension, value) -> str | None:
     """What is wrong with an extension's answer to a value, or null."""
     try:

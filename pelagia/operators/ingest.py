@@ -44,7 +44,7 @@ def file_facts(files: DataFrame, sidecars: DataFrame | None = None) -> DataFrame
     facts = graph.facts_of(text("prompt"), text("parameters", "comment", "©cmt"), F.col("sidecar"), F.col("filename"), text("vv_set_stage"))
     rows = rows.withColumn("facts", facts).withColumn("song", F.when(C.is_kind(F.col("ext"), "audio"), generation.song_facts(F.col("facts.positive"))))
     has_meta = F.coalesce(F.col("facts.positive"), F.col("facts.model"), F.col("facts.model_name")).isNotNull()
-    return rows.select(*(c for c in files.columns if c != "content"), F.col("file_width").alias("width"), F.col("file_height").alias("height"), "animated", "duration", F.coalesce(text("vv_set_id"), F.lit("")).alias("set_id"), F.coalesce(text("vv_set_stage"), F.lit("")).alias("set_stage"), "facts.*", *(F.col(f"song.{c}").alias(f"song_{c}") for c in ("bpm", "key", "genre", "vocal")), C.name_from_filename(F.col("filename")).alias("song_name"), has_meta.cast("int").alias("has_meta"), "error")
+    return rows.select(*(c for c in files.columns if c != "content"), F.col("file_width").alias("width"), F.col("file_height").alias("height"), "animated", "duration", "peaks", F.coalesce(text("vv_set_id"), F.lit("")).alias("set_id"), F.coalesce(text("vv_set_stage"), F.lit("")).alias("set_stage"), "facts.*", *(F.col(f"song.{c}").alias(f"song_{c}") for c in ("bpm", "key", "genre", "vocal")), C.name_from_filename(F.col("filename")).alias("song_name"), has_meta.cast("int").alias("has_meta"), "error")
 
 
 def states(stored: DataFrame, walked: DataFrame, force: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -102,3 +103,25 @@ def pending_deletes(requests: DataFrame, delay_ms: int = 5000) -> DataFrame:
 def presence(beats: DataFrame, key: str, stamp: str, grace: str = "15 seconds", lateness: str = "3 minutes") -> DataFrame:
     """(key, start, end, n): spans in which a client's beats came within the grace of each other."""
     return sessions(beats, key, stamp, grace, lateness).select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
+
+
+class Progress(StreamingQueryListener):
+    """What running queries have done so far, by name or id: batches and rows, and how they ended."""
+
+    def __init__(self) -> None:
+        self.done: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.done[str(event.id)] = {"name": event.name, "batches": 0, "rows": 0, "ended": False, "error": None}
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        entry = self.done.setdefault(str(event.progress.id), {"name": event.progress.name, "batches": 0, "rows": 0, "ended": False, "error": None})
+        entry["batches"] += 1
+        entry["rows"] += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if entry := self.done.get(str(event.id)):
+            entry |= {"ended": True, "error": event.exception}

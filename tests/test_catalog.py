@@ -139,6 +139,11 @@ def test_culls_follow_one_example(spark):
     catalog = spark.createDataFrame(rows, "id long, group_id string, root_id string, folder string, filename string, ext string, set_stage string")
     plan = {r["id"]: r["keep"] for r in curation.cull_plan(catalog, 1, "FINAL").collect()}
     assert plan == {1: False, 2: True, 3: False, 4: True}
+    tags = spark.createDataFrame([(1, "t", "user", None)], "image_id long, tag string, source string, score double")
+    notes, quality = spark.createDataFrame([(3, "n")], "id long, note string"), spark.createDataFrame([(4, 1.0)], "image_id long, reward double")
+    out = curation.cull(curation.cull_plan(catalog, 1, "final"), catalog.withColumn("mtime", F.col("id")), tags, notes, quality)
+    assert {r["id"] for r in out["files"].collect()} == {2, 4, 5, 6, 7, 8, 9, 10}
+    assert [(r["image_id"], r["tag"]) for r in out["tags"].collect()] == [(2, "t")] and [(r["id"], r["note"]) for r in out["notes"].collect()] == [(4, "n")]
     for anchor, role in ((1, "refine"), (9, "raw"), (99, "raw")):
         with pytest.raises(ValueError):
             curation.cull_plan(catalog, anchor, role)

@@ -3,6 +3,7 @@ import struct
 import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,14 @@ def test_damage_and_covers():
                 pass
 
 
+def test_waves():
+    sound = np.concatenate([np.full(100, i * 300, "<i2") for i in range(96)])
+    data = b"RIFF" + bytes(4) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", len(sound) * 2) + sound.tobytes()
+    found = containers.describe(data)
+    assert found["duration"] == 1.2 and found["peaks"] == [round(100 * i / 95) for i in range(96)]
+    assert set(containers.describe(data[:44])["peaks"]) == {0} and containers.describe(data[:30]) == {"texts": {}}  # sound that is missing is silent
+
+
 def test_png_export(spark):
     data = png({"parameters": "old", "prompt": "{}"})
     rows = spark.createDataFrame([("a.png", data, "neu ☃"), ("b.png", data, None), ("c.jpg", b"no", "x"), ("d.png", None, "x")], "path string, content binary, parameters string")
@@ -209,6 +218,11 @@ def test_extension_settings_and_posts(spark):
     assert extensions.post(rows, lambda items: "-".join(x["positive"] for x in items)).first()[:2] == ("a-b", 2)
     with pytest.raises(ValueError):
         extensions.post(rows, str, most=1)
+    ext, wanted = extensions.from_manifest({"name": "a-b", "produces": "score", "settings": [{"name": "n", "type": "number", "default": 1}]}, len)
+    assert (ext.name, ext.column, wanted[0].default) == ("a-b", "positive", 1)
+    for bad in ({}, {"name": "x", "produces": "magic"}, {"name": "x", "produces": "text", "settings": [{"name": "n", "type": "text"}] * 2}):
+        with pytest.raises(ValueError):
+            extensions.from_manifest(bad, len)
     lines = spark.createDataFrame([('{"id": 5, "result": 0.5}',), ('{"ready": true}',), ("junk",)], "value string")
     assert [tuple(r) for r in extensions.results_of_lines(lines, "double").collect()] == [(5, 0.5, None)]
     assert extensions.self_test(extensions.Extension("t", "score", "x", len), "abc") is None
@@ -225,7 +239,14 @@ def test_upserts_outlive_their_query(spark, tmp_path):
     spark.createDataFrame([(1, 1), (1, 3), (2, 2)], schema).write.mode("append").parquet(at("in"))
     assert run() == [(1, 3), (2, 2)]
     spark.createDataFrame([(1, 2), (3, 1)], schema).write.mode("append").parquet(at("in"))
+    seen = watch.Progress()
+    spark.streams.addListener(seen)
     assert run() == [(1, 3), (2, 2), (3, 1)] == run()
+    deadline = time.time() + 20
+    while time.time() < deadline and not (seen.done and all(x["ended"] for x in seen.done.values())):
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert [(x["batches"] > 0, x["rows"] >= 2, x["error"]) for x in seen.done.values()][0] == (True, True, None)
 
 
 def test_extensions(spark):
