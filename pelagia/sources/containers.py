@@ -308,8 +308,8 @@ def _wav(f: BinaryIO) -> dict:
     at, layout = 12, None
     while len(head := (f.seek(at), f.read(8))[1]) == 8:
         kind, size = head[:4], int.from_bytes(head[4:], "little")
-        if kind == b"fmt ":
-            layout = struct.unpack("<HHIIHH", f.read(16))
+        if kind == b"fmt " and len(body := f.read(16)) == 16:
+            layout = struct.unpack("<HHIIHH", body)
         elif kind == b"data" and layout:
             coding, channels, rate, _, frame, bits = layout
             frames = size // frame if frame else 0
