@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, in stages that each read what the last one wrote."""
+"""From raw documents to packed training sequences, in stages that each read what the last one wrote.
+
+Defined results: null and empty texts have no words and fall to the quality rules. Null languages are only left out of
+learning, null ids only out of near-duplicates (such rows stay). Repeated rows of one id and text stay or go
+together until near-duplicates, which keep the rows of the first id. Long texts are read whole in every stage. Empty
+tables give empty tables. All stages but the last keep the columns of their input, whatever their names; the last
+gives pieces.
+"""
 
 from __future__ import annotations
 
