@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pelagia.llm import embedding_dedup, language_id, near_dedup, oracle, packing, pii, ppm, quality, sentencepiece_bpe, url_filter, warc
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_warc": warc.query,
     "op2_quality_rules": quality.query,
     "op3_language_id": language_id.query,
@@ -20,5 +18,3 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": oracle.WARC, "op6_embedding_dedup": oracle.EMBEDDINGS, "op7_near_dedup": oracle.NEAR_DOCUMENTS}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -3,7 +3,6 @@ from collections import Counter
 
 import numpy as np
 
-import corpus_pipeline
 from pelagia.llm import embedding_dedup, near_dedup
 from pelagia.llm.graph import components
 from pelagia.llm.hnsw import Graph
@@ -152,19 +151,6 @@ def test_graph_recall_on_a_dense_group():
     assert (found & exact).sum() >= 0.995 * exact.sum() and not (found & ~exact).any()
 
 
-def test_pipeline_keeps_clean_documents(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = stage(spark, docs, sf)
-        docs = spark.createDataFrame(docs.toPandas(), docs.schema)
-        assert docs.columns == columns and docs.count() >= 0.8 * before, name
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
-
-
 def test_audit_sees_lost_links_of_small_groups(monkeypatch):
     rng = np.random.default_rng(7)
     hot = rng.normal(size=16) * 3 + rng.normal(size=(1500, 16)) * 0.1
