@@ -413,7 +413,7 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """documents without the rows that are not the first of their class; repeated rows of the first stay one."""
+    """documents without those that are not the first of their class; rows that share an id stay or go together."""
     doomed = classes(documents).where("not kept").select("doc_id").distinct()
     return documents.join(doomed, "doc_id", "left_anti").select(*(f"`{c}`" for c in documents.columns))
 

@@ -74,5 +74,5 @@ def test_stages_take_odd_and_empty_tables(spark, name):
         return
     assert done.columns == docs.columns and all(r["meet"] == "x" and r["kept"] == 7 for r in got)
     ids = [r["doc_id"] for r in got]
-    expected = {"quality_rules": [None, 3, 3, 4], "language_id": [None, 3, 3, 4], "near_dedup": [None, 1, 2, 3, 4], "pii": [None, 1, 2, 3, 3, 4]}[name]
+    expected = {"quality_rules": [None, 3, 3, 4], "language_id": [None, 3, 3, 4], "near_dedup": [None, 1, 2, 3, 3, 4], "pii": [None, 1, 2, 3, 3, 4]}[name]
     assert sorted(ids, key=lambda i: i or 0) == expected
