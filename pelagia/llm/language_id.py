@@ -3,7 +3,7 @@
 Training is a Spark aggregation of word counts by language over a sample of labelled documents, about
 MAX_TRAIN_DOCS of them (chosen by a hash of the id) and of each language at least about MIN_LANG_DOCS, or all
 where it has no more. All (language, word) pairs of that sample, and the character n-grams counted from
-them in Spark, reach the driver as Arrow columns. The model is broadcast (its size is bounded by the sample)
+them in Spark, reach the driver as 64-bit hashes in Arrow columns. The model is broadcast (its size is bounded by the sample)
 and prediction is one mapInArrow without a shuffle.
 
 A known word adds its log frequency in each language. An unseen one is looked up by its character n-grams
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ MIN_LANG_DOCS = 200
 MAX_WORD_CHARS = 40
 NGRAM_LENGTHS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -50,22 +50,44 @@ def words_of(lowered: str) -> Counter:
     return words
 
 
+def key_of(text: str) -> int:
+    """The 64-bit key of a word or n-gram, as Spark's xxhash64 gives it."""
+    key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return key - (1 << 64) if key >> 63 else key
+
+
+class Table:
+    """Log frequencies by language (columns) of keys, which are sorted: a few bytes each, in arrays that workers give back."""
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int):
+        self.keys, row = np.unique(keys, return_inverse=True)
+        matrix = np.full((len(self.keys), langs), 0.5)
+        np.add.at(matrix, (row, lang), n)
+        self.logs = np.log(matrix / matrix.sum(axis=0)).astype(np.float32) if len(matrix) else matrix.astype(np.float32)
+
+    def rows(self, texts: list[str]) -> np.ndarray:
+        """Rows of those that are known."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        asked = np.fromiter(map(key_of, texts), np.int64, len(texts))
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return at[self.keys[at] == asked]
+
+
 class Model:
-    """Log frequencies by language of words and character n-grams: rows by key, and a table of a column for each language."""
+    """The languages, most frequent first, and the tables of words and of the n-grams of each length."""
 
     def __init__(self, words: pa.Table, grams: pa.Table):
-        """Both tables hold (lang, key, n)."""
-        langs, total = self._numbers(words.column("lang"))
-        total = np.bincount(total, words.column("n").to_numpy(), len(langs)) if langs else []
-        self.langs = [lang for _, lang in sorted(zip(total, langs, strict=True), key=lambda x: (-x[0], x[1]))]
-        self.words, self.word_logs = self._logs(words)
-        sizes = pc.utf8_length(grams.column("key"))
-        self.grams = []
-        for n in NGRAM_LENGTHS:  # sorted arrays: a tenth of a dict's memory, and unseen words are remembered
-            rows, logs = self._logs(grams.filter(pc.equal(sizes, n)))
-            keys = np.array(list(rows), f"U{n}")
-            order = np.argsort(keys)
-            self.grams.append((keys[order], logs[order]))
+        """words are (lang, key, n), grams (lang, key, size, n)."""
+        names, lang = self._numbers(words.column("lang"))
+        total = np.bincount(lang, words.column("n").to_numpy(), len(names)) if names else []
+        self.langs = [name for _, name in sorted(zip(total, names, strict=True), key=lambda x: (-x[0], x[1]))]
+        place = np.array([self.langs.index(name) for name in names], np.int64)
+        self.words = Table(words.column("key").to_numpy(), place[lang], words.column("n").to_numpy(), len(names))
+        names, lang = self._numbers(grams.column("lang"))
+        place = np.array([self.langs.index(name) for name in names], np.int64)
+        sizes, keys, n = (grams.column(c).to_numpy() for c in ("size", "key", "n"))
+        self.grams = [Table(keys[sizes == k], place[lang[sizes == k]], n[sizes == k], len(self.langs)) for k in NGRAM_LENGTHS]
 
     @staticmethod
     def _numbers(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
@@ -74,50 +96,40 @@ class Model:
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
-    def _logs(self, counts: pa.Table) -> tuple[dict[str, int], np.ndarray]:
-        if not counts.num_rows:
-            return {}, np.zeros((0, len(self.langs)), np.float32)
-        keys, row = self._numbers(counts.column("key"))
-        names, lang = self._numbers(counts.column("lang"))
-        place = np.array([self.langs.index(name) for name in names])
-        matrix = np.full((len(keys), len(self.langs)), 0.5)
-        np.add.at(matrix, (row, place[lang]), counts.column("n").to_numpy())
-        return {key: i for i, key in enumerate(keys)}, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
-
-    def unseen(self, word: str) -> np.ndarray:
+    def of_word(self, word: str) -> np.ndarray:
+        """A known word's log frequencies, else the mean of its n-grams of the first length of which any is known."""
+        if len(found := self.words.rows([word])):
+            return self.words.logs[found[0]]
         marked = f"<{word}>"
-        for (keys, logs), n in zip(self.grams, NGRAM_LENGTHS, strict=True):
-            if len(marked) < n or not len(keys):
-                continue
-            asked = np.array([marked[i : i + n] for i in range(len(marked) - n + 1)], f"U{n}")
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            if len(found := at[keys[at] == asked]):
-                return logs[found].mean(axis=0)
+        for level, n in zip(self.grams, NGRAM_LENGTHS, strict=True):
+            found = level.rows([marked[i : i + n] for i in range(len(marked) - n + 1)])
+            if len(found):
+                return level.logs[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
 class Predictor:
-    """Predicts texts; remembers up to MEMO_ENTRIES unseen words as further rows of the table."""
+    """Predicts texts; remembers the log frequencies of up to MEMO_ENTRIES words as rows of one table."""
 
     def __init__(self, model: Model):
         self.model, self.memo = model, {}
-        self.known = len(model.word_logs)
-        self.logs = np.concatenate((model.word_logs, np.zeros((MEMO_ENTRIES, len(model.langs)), np.float32)))
+        self.logs = np.zeros((MEMO_ENTRIES, len(model.langs)), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text.lower()) if text else None
         if not words or not self.model.langs:
             return UNDETERMINED, 0.0
-        at = list(map(self.model.words.get, words))
+        at = list(map(self.memo.get, words))
         if None in at:
-            if len(self.memo) + len(words) > MEMO_ENTRIES:
+            if len(self.memo) + at.count(None) > MEMO_ENTRIES:
                 self.memo.clear()
+                at = [None] * len(words)
             at = [self._remembered(w) if r is None else r for w, r in zip(words, at, strict=True)]
         times = np.fromiter(words.values(), float, len(words))
         if -1 in at:  # words too long, or too many, to be remembered
             rest = [(w, n) for (w, n), r in zip(words.items(), at, strict=True) if r == -1]
             here = np.array(at) >= 0
-            scores = times[here] @ self.logs[np.array(at)[here]] + sum(self.model.unseen(w) * n for w, n in rest)
+            scores = times[here] @ self.logs[np.array(at)[here]] + sum(self.model.of_word(w) * n for w, n in rest)
         else:
             scores = times @ self.logs[at]
         best = int(np.argmax(scores))
@@ -126,10 +138,10 @@ class Predictor:
         return self.model.langs[best], float(1 / odds.sum())
 
     def _remembered(self, word: str) -> int:
-        row = self.memo.get(word, -1)
-        if row < 0 and len(word) <= MAX_WORD_CHARS and len(self.memo) < MEMO_ENTRIES:
-            row = self.memo[word] = self.known + len(self.memo)
-            self.logs[row] = self.model.unseen(word)
+        if len(word) > MAX_WORD_CHARS or len(self.memo) >= MEMO_ENTRIES:
+            return -1
+        row = self.memo[word] = len(self.memo)
+        self.logs[row] = self.model.of_word(word)
         return row
 
 
@@ -164,7 +176,8 @@ def learned(counts: DataFrame) -> Model:
     of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length("marked") - k + 1), lambda i: F.substring("marked", i, F.lit(k)))
     long_enough = [F.when(F.length("marked") >= k, of_length(k)).otherwise(F.array().cast("array<string>")) for k in NGRAM_LENGTHS]
     grams = counts.select("lang", "n", marked.alias("marked")).select("lang", "n", F.explode(F.concat(*long_enough)).alias("key")).where(~F.col("key").isin("<", ">"))
-    return Model(counts.select("lang", "key", "n").toArrow(), grams.groupBy("lang", "key").agg(F.sum("n").alias("n")).select("lang", "key", "n").toArrow())
+    grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return Model(counts.select("lang", F.xxhash64("key").alias("key"), "n").toArrow(), grams.select("lang", F.xxhash64("key").alias("key"), F.length("key").alias("size"), "n").toArrow())
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

@@ -91,10 +91,29 @@ def test_language_sample_keeps_rare_languages_and_rare_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(docs, max_docs=800)
     assert sorted(model.langs) == ["en", "ru"]
-    assert len(model.words) > 120_000 and {"щука", "язык", "слово"} <= set(model.words)
+    assert len(model.words.keys) > 120_000 and len(model.words.rows(["щука", "язык", "слово", "none of them"])) == 3
     assert language_id.Predictor(model)("язык слово")[0] == "ru"
 
 
+def test_language_keys_are_those_of_spark(spark):
+    texts = ["a", "", "groß", "щука", "日本 🎉", "x" * 100]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) AS h").collect()
+    assert [r["h"] for r in got] == list(map(language_id.key_of, texts))
+
+
+def test_language_memory_turns_over(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MEMO_ENTRIES", 5)
+    model = language_id.learned(spark.createDataFrame([("en", w, 5) for w in "the day is ours now".split()] + [("de", w, 5) for w in "der tag ist unser jetzt".split()], "lang string, key string, n long"))
+    small, large = language_id.Predictor(model), language_id.Predictor(model)
+    monkeypatch.setattr(language_id, "MEMO_ENTRIES", 1000)
+    large = language_id.Predictor(model)
+    for text in ("the day is", "der tag ist unser", "now jetzt the der day tag is ist", "der " * 9, "x" * 60 + " tag"):
+        monkeypatch.setattr(language_id, "MEMO_ENTRIES", 5)
+        found = small(text)
+        monkeypatch.setattr(language_id, "MEMO_ENTRIES", 1000)
+        assert found[0] == large(text)[0] and abs(found[1] - large(text)[1]) < 1e-6
+
+
 def test_language_backoff_and_odd_rows(spark):
     model = language_id.learned(spark.createDataFrame([("en", "the", 50), ("en", "thing", 5), ("de", "der", 40), ("de", "dingung", 5)], "lang string, key string, n long"))
     predict = language_id.Predictor(model)
