@@ -49,11 +49,22 @@ def changed_folders(stored: DataFrame, current: DataFrame, tolerance: float) ->
     return both.select("folder", state.alias("state")).where(F.col("state").isNotNull())
 
 
-def gap_clusters(rows: DataFrame, keys: list[str], stamp: Column, gap: float, tie: str) -> DataFrame:
-    """rows with cluster: a number that rises within the keys wherever the step in time reaches the gap."""
-    w = Window.partitionBy(*keys).orderBy("gap_stamp", tie)
-    stepped = rows.withColumn("gap_stamp", stamp).withColumn("gap_step", F.when(F.col("gap_stamp") - F.lag("gap_stamp").over(w) >= gap, 1).otherwise(0))
-    return stepped.withColumn("cluster", F.sum("gap_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap_step", "gap_stamp")
+def gap_clusters(rows: DataFrame, keys: list[str], stamp: Column, gap: float) -> DataFrame:
+    """rows with cluster: a number that rises within the keys wherever the step in time reaches the gap.
+
+    Rows of one key and half a gap of time hang together, so the window runs over such cells, which are
+    aggregated before they move, and not over the rows of a key. Null keys are a key; null times belong to its first cluster.
+    """
+    no_time = F.lit(-(1 << 62))
+    celled = rows.withColumn("gap_stamp", stamp).withColumn("gap_cell", F.coalesce(F.floor(F.col("gap_stamp") * 2 / gap), no_time))
+    cells = celled.groupBy(*keys, "gap_cell").agg(F.min("gap_stamp").alias("first"), F.max("gap_stamp").alias("last"))
+    w = Window.partitionBy(*keys).orderBy("gap_cell")
+    stepped = cells.withColumn("step", F.when(F.col("first") - F.lag("last").over(w) >= gap, 1).otherwise(0))
+    numbered = stepped.select(*(F.col(k).alias(f"cell_{k}") for k in (*keys, "gap_cell")), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
+    same = F.col("gap_cell") == F.col("cell_gap_cell")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"cell_{k}"))
+    return celled.join(numbered, same).select(*rows.columns, "cluster")
 
 
 def band_pairs(anchor: DataFrame, others: DataFrame, keys: list[str], stamp: str, gap: float, id_column: str) -> DataFrame:

@@ -128,7 +128,7 @@ def duplicate_sets(files: DataFrame, work: DataFrame) -> DataFrame:
     stays, then the oldest, then the smallest id. set_id is the id that stays.
     """
     name = F.lower("filename")
-    runs = curate.gap_clusters(files.withColumn("name_key", name), ["name_key", "size"], F.col("mtime"), 1.0, "id")
+    runs = curate.gap_clusters(files.withColumn("name_key", name), ["name_key", "size"], F.col("mtime"), 1.0)
     runs = runs.join(work, "id", "left").withColumn("order", F.struct(-F.coalesce("weight", F.lit(0)), F.col("mtime"), F.col("id")))
     key = ["name_key", "size", "cluster"]
     sets = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("best")).where("n > 1")

@@ -288,7 +288,7 @@ def group_claims(spark, sf_dir):
 def duplicate_clusters(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6
-    found = curate.gap_clusters(events, ["user_id", "event_type"], seconds, 3600, "event_id")
+    found = curate.gap_clusters(events, ["user_id", "event_type"], seconds, 3600)
     return found.groupBy("user_id", "event_type", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 

@@ -161,3 +161,10 @@ def test_merging_keeps_what_the_keeper_has(spark):
     assert [r["tag"] for r in out["tags"].where("image_id = 4").collect()] == ["label:video"]
     assert {r["id"]: r["note"] for r in out["notes"].collect()}[1] == "mine\n\n— merged from a deleted copy —\nother"
     assert {r["image_id"]: r["reward"] for r in out["quality"].collect()} == {1: 7.0, 2: None, 3: 7.0}
+
+
+def test_gaps_are_those_between_neighbours(spark):
+    rows = [("a", 0.0), ("a", 0.9), ("a", 1.8), ("a", 2.9), ("a", 3.79), ("b", 1.0), ("b", 1.0), ("b", 5.5), (None, 1.0), (None, 9.0), ("c", None), ("c", 1.0), ("c", 1.2)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k string, t double")
+    got = {r["id"]: r["cluster"] for r in curate.gap_clusters(table, ["k"], F.col("t"), 1.0).collect()}
+    assert [got[i] for i in range(13)] == [0, 0, 0, 1, 1, 0, 0, 1, 0, 1, 0, 0, 0]
