@@ -327,7 +327,7 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
     """
     subs = rows.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("n"))
     split = subs.groupBy("key").agg(F.max_by("sub", F.struct("n", "sub")).alias("giant"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    rows = rows.join(split, "key")
+    rows = rows.join(written(split, "near-split"), "key")
     large, rest = F.ceil(F.col("most") / block).cast("int"), F.ceil(F.col("others") / block).cast("int")
     in_giant = F.col("sub") == F.col("giant")
     own = F.pmod(F.xxhash64("rep", F.lit(11)), F.when(in_giant, large).otherwise(rest)).cast("int")
@@ -363,8 +363,8 @@ def _confirmed_parents(edges: DataFrame, documents: DataFrame) -> DataFrame:
 
     The children of one document are dealt to blocks of about CLUSTER_BLOCK, each with the document's text.
     """
-    best = edges.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
-    children = best.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    best = written(edges.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")), "near-best")
+    children = written(best.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "near-children")  # so that a hot parent can be split
     dealt = best.join(children, "a").select("a", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CLUSTER_BLOCK))).alias("meet"), "b")
     ends = dealt.select("meet", F.lit(1).alias("kind"), F.col("b").alias("rep")).union(dealt.select("meet", F.lit(0), F.col("a")).distinct())
     rows = _with_texts(written(ends, "near-parents"), documents).select("meet", "kind", "rep", "text")
@@ -403,8 +403,9 @@ def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents."""
     rows = written(sketches(documents), "near-sketches")
     known = rows.where(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull())
-    firsts = known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    reps = written(known.join(firsts, ["fp1", "fp2"]).where("doc_id = rep").dropDuplicates(["rep", "fp1", "fp2"]).select("rep", "fp1", "fp2", "n_shingles", "choices", "sketch"), "near-reps")
+    first = F.min_by(F.struct("n_shingles", "choices", "sketch"), "doc_id").alias("first")  # partial results: a hot set is a row for each task
+    reps = known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), first)
+    reps = written(reps.select("rep", "fp1", "fp2", "first.*"), "near-reps")
     found = links(reps, documents)
     by_set = reps.select("fp1", "fp2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(by_set, ["fp1", "fp2"], "left")
