@@ -88,7 +88,10 @@ def model_types(files: DataFrame) -> DataFrame:
             yield names.map(lambda n: shown.get(family_in(n, keys), ""))
 
     folder = C.family_name(C.top_folder(F.col("model")))
-    spelling = F.create_map(*(F.lit(x) for pair in shown.items() for x in pair))
+    families = files.sparkSession.createDataFrame(list(shown.items()), "family string, spelling string")
     # few models have many files: names are looked up once for each
-    loose = models.where(F.coalesce(folder, F.lit("")) == "").select("model").distinct().select("model", named("model").alias("by_name"))
-    return models.join(loose, "model", "left").select("id", F.when(folder != "", F.coalesce(F.try_element_at(spelling, F.lower(folder)), folder)).otherwise(F.coalesce("by_name", F.lit(""))).alias("model_type"))
+    by_model = models.select("model").distinct().select("model", F.coalesce(folder, F.lit("")).alias("folder"))
+    named_in = F.when(F.col("folder") == "", named("model"))
+    found = by_model.withColumn("by_name", named_in).join(families, F.lower("folder") == F.col("family"), "left")
+    found = found.select("model", F.when(F.col("folder") != "", F.coalesce("spelling", "folder")).otherwise(F.coalesce("by_name", F.lit(""))).alias("model_type"))
+    return models.select("id", "model").join(found, "model").select("id", "model_type")
