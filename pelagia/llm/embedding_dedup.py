@@ -213,7 +213,8 @@ def link_counts(a: Shard, b: Shard, same: bool) -> tuple[np.ndarray, np.ndarray,
     i, j = code // len(b.ids), code % len(b.ids)
     keep = ~in_a[i] & ~in_b[j] & ((i != j) | (not same))
     i, j = i[keep], j[keep]
-    of_a, of_b = np.bincount(i, b.ns[j], n).astype(np.int64), np.bincount(j, a.ns[i], len(b.ids)).astype(np.int64)
+    of_a = np.bincount(i, b.ns[j], n).astype(np.int64)
+    of_b = of_a if same else np.bincount(j, a.ns[i], len(b.ids)).astype(np.int64)
     shift = 0 if same else n
     root = np.arange(n + (0 if same else len(b.ids)))
     merge(root, i, j + shift)
