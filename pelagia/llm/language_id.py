@@ -35,7 +35,7 @@ MIN_LANG_DOCS = 200
 MAX_WORD_CHARS = 40
 NGRAM_LENGTHS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
