@@ -48,7 +48,7 @@ def rows(result):
     return sorted(result, key=repr)
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op6_embedding_dedup", "op7_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_warc", "op6_embedding_dedup", "op7_near_dedup", "op11_line_dedup", "op12_hard_negatives", "op13_collocations"])
 def test_whole_results(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     found = duck.execute(registry.ORACLE_SQL[name])
