@@ -3,11 +3,12 @@
 Vectors become integers, and rows go to blocks of at most about BLOCK_BYTES by a hash of their id. Anchors are copied
 to every block (slices of ANCHOR_SLICE, for each of which the block is read anew), and one task joins a block with a
 slice. It holds an inverted index of the block for one threshold at a time: each row's postings stop at the dimension
-from which the norm of the rest, times the anchor's norm, stays below the threshold, as a row without a
-posting can't reach it. An anchor adds up its postings dimension by dimension and, every CHUNK dimensions, drops the rows whose
-sum and remaining norms can't reach the threshold. What is left, once few, is scored exactly. The threshold
-starts at the anchor's highest window and is lowered by LOWER until each window holds its rows or is passed; the last index
-holds all postings. So a block gives exactly its best rows of each window, and the best of all blocks are ranked.
+from which the norm of the rest, times an anchor's norm, stays below the threshold, as a row without a
+posting can't reach it. Anchors add up their postings, CHUNK dimensions at a time, and drop the rows whose
+sums and remaining norms can't reach the threshold. What is left is scored exactly. The threshold
+starts at an anchor's highest window and is lowered by LOWER until each window holds its rows or is passed; the last index
+holds all postings. So a block gives exactly its best rows of each window, and the best of all blocks are ranked. Without
+a cap on anchors or rows, the number of scores still grows with their product, as the task itself does.
 
 Positives are searched first, in the same way, among the rows of an anchor's label, with a window without ends.
 
@@ -24,8 +25,6 @@ the smaller id. An empty table gives an empty one. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,49 +42,55 @@ MAX_COMPONENT = 1 << 20
 LOWER = 0.8
 LAST_LEVEL = 0.05
 CHUNK = 8
-FEW = 16
+BATCH = 64
 FOUND = "anchor_id long, positive_id long, positive_score long, other_id long, score long"
 LEAST_SCORE = -(1 << 62)
 
 
-class Rows:
-    """A block's rows by descending weight of dimensions, with the norm of what follows each dimension."""
+class Block:
+    """A block's rows, dimensions by descending weight, and the inverted index of one level at a time.
+
+    Rows stand in descending order of the dimension at which their postings stop, so the postings of CHUNK dimensions are
+    the first rows' part of a matrix. Sums are whole numbers in doubles where they stay below 2 ** 52, else in int64.
+    """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, order: np.ndarray):
-        self.ids, self.labels, self.order = ids, labels, order
+        self.ids, self.labels = ids, labels
         self.vectors = np.ascontiguousarray(vectors[:, order])
         self.rest = rest_norms(self.vectors)
         self.norm = float(self.rest[:, 0].max(initial=0.0))
-        self.level = None
 
     def index(self, level: float) -> None:
-        """Postings by dimension of the rows whose rest there has a norm of at least level, as no others can matter."""
-        if level == self.level:
-            return
-        self.level = level
-        self.cut = (self.rest[:, :-1] >= level).sum(axis=1)
-        self.omitted = self.rest[np.arange(len(self.ids)), self.cut]
-        self.postings = []
-        for d in range(self.vectors.shape[1]):
-            rows = np.flatnonzero((self.cut > d) & (self.vectors[:, d] != 0))
-            self.postings.append((rows, self.vectors[rows, d]))
-
-    def reach(self, anchor: np.ndarray, norms: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with a score of at least `least` (float bounds are rounded in their favour) and their scores."""
-        sums = np.zeros(len(self.ids), np.int64)
-        live = self.cut > 0 if self.level > 0 else np.ones(len(self.ids), bool)
-        omitted = norms[self.cut] * self.omitted + 1e-9 * norms[0] * self.norm
-        for d, (rows, values) in enumerate(self.postings):
-            if anchor[d]:
-                sums[rows] += anchor[d] * values
-            if d % CHUNK == CHUNK - 1:
-                live &= sums + np.maximum(norms[d + 1] * self.rest[:, d + 1], omitted) >= least
-                if np.count_nonzero(live) * FEW <= len(live):
-                    break
-        at = np.flatnonzero(live)
-        scores = self.vectors[at] @ anchor
-        keep = scores >= least
-        return at[keep], scores[keep]
+        """Each row's postings stop where the norm of what follows is below level: less can't matter."""
+        size = self.vectors.shape[1]
+        cut = np.minimum(-(-(self.rest[:, :-1] >= level).sum(axis=1) // CHUNK) * CHUNK, size)
+        self.rows = np.argsort(-cut, kind="stable")
+        self.rows = self.rows[cut[self.rows] > 0] if level > 0 else self.rows
+        self.cut = cut[self.rows]
+        self.omitted = self.rest[self.rows, self.cut]
+
+    def reach(self, anchors: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each anchor the rows with a score of at least `least`, and their scores."""
+        norms = rest_norms(anchors)
+        exact = float(norms[:, 0].max(initial=0.0)) * self.norm < 1 << 52
+        kind = np.float64 if exact else np.int64
+        rows, cut = self.rows, self.cut
+        vectors, rest, asked = self.vectors[rows].astype(kind), self.rest[rows], anchors.astype(kind)
+        omitted = norms[:, cut] * self.omitted + 1e-9 * norms[:, :1] * self.norm
+        sums = np.zeros((len(anchors), len(rows)), kind)
+        for d in range(0, vectors.shape[1], CHUNK):
+            n = np.count_nonzero(cut > d)
+            sums[:, :n] += asked[:, d : d + CHUNK] @ vectors[:n, d : d + CHUNK].T
+            end = min(d + CHUNK, vectors.shape[1])
+            live = (sums + np.maximum(norms[:, end, None] * rest[:, end], omitted) >= least[:, None]).any(axis=0)
+            if np.count_nonzero(live) * 2 < len(live):
+                rows, cut, vectors, rest, omitted, sums = rows[live], cut[live], vectors[live], rest[live], omitted[:, live], sums[:, live]
+        out = []
+        for i in range(len(anchors)):
+            at = np.flatnonzero(sums[i] + omitted[i] >= least[i])
+            scores = self.vectors[rows[at]] @ anchors[i]
+            out.append((rows[at][scores >= least[i]], scores[scores >= least[i]]))
+        return out
 
 
 def rest_norms(vectors: np.ndarray) -> np.ndarray:
@@ -101,32 +106,40 @@ def best(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:n]
 
 
-def windows_of(rows: Rows, anchor_id: int, label: int | None, anchor: np.ndarray, windows: list[tuple[int, int]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each window (lowest, highest score) the n best rows in it, without those of the label and the anchor itself."""
-    norms = rest_norms(anchor[None, :])[0]
-    level = LAST_LEVEL * rows.norm
-    if norms[0] > 0 and rows.norm > 0:
-        top = max(high for _, high in windows) / norms[0]
-        level = rows.norm
-        while level > max(top, LAST_LEVEL * rows.norm):
-            level *= LOWER
-    while True:
-        last = level <= LAST_LEVEL * rows.norm or norms[0] == 0
-        rows.index(0.0 if last else level)
-        least = LEAST_SCORE if last else level * norms[0] * (1 + 1e-9)
-        at, scores = rows.reach(anchor, norms, least)
-        usable = rows.ids[at] != anchor_id
-        if label is not None:
-            usable &= rows.labels[at] != label
-        at, scores = at[usable], scores[usable]
-        found = []
-        for low, high in windows:
-            inside = np.flatnonzero((scores >= low) & (scores <= high))
-            inside = inside[best(rows.ids[at[inside]], scores[inside], n)]
-            found.append((rows.ids[at[inside]], scores[inside]))
-        if last or all(len(ids) == n or least <= low for (ids, _), (low, _) in zip(found, windows, strict=True)):
-            return found
+def windows_of(block: Block, ids: np.ndarray, labels: np.ndarray | None, anchors: np.ndarray, windows: list[list[tuple[int, int]]], n: int) -> list[list]:
+    """For each anchor's windows (lowest, highest score) the n best rows, without the anchor and, if given, its label."""
+    norms = rest_norms(anchors)[:, 0]
+    tops = np.array([max(high for _, high in own) for own in windows], float)
+    with np.errstate(divide="ignore"):
+        start = np.where(norms > 0, tops / norms, 0.0)
+    found: list[list] = [[] for _ in windows]
+    open_ = np.arange(len(ids))
+    level = block.norm
+    while len(open_):
+        last = level <= LAST_LEVEL * block.norm
+        if last:
+            level = 0.0
+        now = open_ if last else open_[start[open_] >= level]
+        if len(now):
+            block.index(level)
+        left = []
+        for part in np.array_split(now, -(-len(now) // BATCH)) if len(now) else ():
+            least = np.full(len(part), float(LEAST_SCORE)) if last else level * norms[part] * (1 + 1e-9)
+            for i, limit, (at, scores) in zip(part, least, block.reach(anchors[part], least), strict=True):
+                usable = block.ids[at] != ids[i]
+                if labels is not None:
+                    usable &= block.labels[at] != labels[i]
+                at, scores = at[usable], scores[usable]
+                found[i] = []
+                for low, high in windows[i]:
+                    inside = np.flatnonzero((scores >= low) & (scores <= high))
+                    inside = inside[best(block.ids[at[inside]], scores[inside], n)]
+                    found[i].append((block.ids[at[inside]], scores[inside]))
+                if not (last or all(len(own) == n or limit <= low for (own, _), (low, _) in zip(found[i], windows[i], strict=True))):
+                    left.append(i)
+        open_ = np.concatenate((np.setdiff1d(open_, now), np.array(left, np.int64)))
         level *= LOWER
+    return found
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -144,14 +157,14 @@ def join_positives(n: int):
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             vectors, ids, labels = matrix(left["e"]), left["vec_id"].to_numpy(), left["label"].to_numpy()
-            order, anchors, lowest = weight_order(vectors), matrix(right["anchor"]), [(LEAST_SCORE, 1 << 62)]
+            order, anchors = weight_order(vectors), matrix(right["anchor"])
             anchor_ids, anchor_labels = right["anchor_id"].to_numpy(), right["anchor_label"].to_numpy()
             for label in np.unique(anchor_labels):
-                same = np.flatnonzero(labels == label)
-                rows = Rows(ids[same], labels[same], vectors[same], order)
-                for i in np.flatnonzero(anchor_labels == label):
-                    (found, scores), = windows_of(rows, anchor_ids[i], None, anchors[i][order], lowest, n)
-                    out += [(anchor_ids[i], None, None, o, s) for o, s in zip(found, scores, strict=True)]
+                same, asking = np.flatnonzero(labels == label), np.flatnonzero(anchor_labels == label)
+                block = Block(ids[same], labels[same], vectors[same], order)
+                found = windows_of(block, anchor_ids[asking], None, anchors[asking][:, order], [[(LEAST_SCORE, -LEAST_SCORE)]] * len(asking), n)
+                for i, ((others, scores),) in zip(anchor_ids[asking], found, strict=True):
+                    out += [(i, None, None, o, s) for o, s in zip(others, scores, strict=True)]
         return rows_of(out)
 
     return run
@@ -163,19 +176,15 @@ def join_negatives(n: int, low: int, high: int):
         if left.num_rows and right.num_rows:
             vectors = matrix(left["e"])
             order = weight_order(vectors)
-            rows = Rows(left["vec_id"].to_numpy(), left["label"].to_numpy(), vectors, order)
-            anchors, positives = matrix(right["anchor"]), right["positives"].to_pylist()
-            # whole numbers: low * p <= 100 * s <= high * p
-            windows = [[(-(-low * p["score"] // 100), high * p["score"] // 100) for p in ps] for ps in positives]
-            tops = np.array([max(w[1] for w in ws) for ws in windows], float)
-            ids, labels = right["anchor_id"].to_numpy(), right["anchor_label"].to_numpy()
-            for i in np.argsort(-tops, kind="stable"):  # anchors of like thresholds share an index
-                open_ = [j for j, (a, b) in enumerate(windows[i]) if a <= b]
-                if open_:
-                    found = windows_of(rows, ids[i], labels[i], anchors[i][order], [windows[i][j] for j in open_], n)
-                    for j, (others, scores) in zip(open_, found, strict=True):
-                        p = positives[i][j]
-                        out += [(ids[i], p["id"], p["score"], o, s) for o, s in zip(others, scores, strict=True)]
+            block = Block(left["vec_id"].to_numpy(), left["label"].to_numpy(), vectors, order)
+            # whole numbers: low * p <= 100 * s <= high * p; negative positives leave no window
+            own = [[(p, -(-low * p["score"] // 100), high * p["score"] // 100) for p in ps if p["score"] >= 0] for ps in right["positives"].to_pylist()]
+            some = np.array([i for i, ps in enumerate(own) if ps], np.int64)
+            ids, labels, anchors = right["anchor_id"].to_numpy()[some], right["anchor_label"].to_numpy()[some], matrix(right["anchor"])[some][:, order]
+            found = windows_of(block, ids, labels, anchors, [[w[1:] for w in own[i]] for i in some], n)
+            for i, a, rows in zip(some, ids, found, strict=True):
+                for (p, _, _), (others, scores) in zip(own[i], rows, strict=True):
+                    out += [(a, p["id"], p["score"], o, s) for o, s in zip(others, scores, strict=True)]
         return rows_of(out)
 
     return run
