@@ -5,12 +5,11 @@ words that no frequent one shares it (else the next hash is taken), and texts ar
 frequent words, with everything else as breaks. Which words are frequent is told by a bitmap of at most
 2 ** BITMAP_BITS bits (16 MB): what it lets through too many is counted and then dropped.
 
-Pairs of words are counted by sums, as a trie of all pairs of frequent words would be quadratic. Longer phrases are
-candidates only if all their pairs are frequent (a bitmap again) and they were seen. Candidates go, in shards of at most
-about TRIE_PHRASES, into double-array tries. Each is broadcast in turn, and a task moves the states of all positions
-of its texts one level at a time, and adds up accepting states; Spark sums the tasks. More candidates mean more
-tries, not larger ones. Scores, cuts and the phrases that longer ones stand for are joins and aggregations in decimals of 38
-digits.
+A phrase is a candidate if all its pairs can be frequent, by sums over fingerprints of 64 bits that are never less than the pairs'
+own, and if batches have seen it often enough together, which keeps tries small. Candidates go, in shards of at most
+about TRIE_PHRASES, into double-array tries. Each is broadcast in turn, and a task moves the states of all positions of its texts
+one level at a time and adds up accepting states; Spark sums the tasks. More candidates mean more tries, not larger ones.
+Scores, cuts and the phrases that longer ones stand for are joins and aggregations in decimals of 38 digits.
 
 Defined results: null and empty texts have no words; a null language counts as `und`. Rows that repeat count each time. Null and
 repeated ids don't matter, as ids are not read, nor are other columns. Texts of any length are counted whole. Ties
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +34,11 @@ from pelagia.llm.word_trie import Trie
 MAX_WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
-BITMAP_BITS = 27
-TRIE_PHRASES = 1 << 20
-MEMO_WORDS = 400_000
-BATCH_CODES = 2_000_000
+BITMAP_BITS, BITS_EACH = 27, 256
+TRIE_PHRASES = 1 << 19
+SUM_BLOCK, SUM_SALTS = 1024, 256
+MEMO_WORDS = 200_000
+BATCH_CODES, BATCH_TEXTS = 3_000_000, 1_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(BREAKS) + b" ")
 MASK = (1 << 64) - 1
@@ -50,11 +51,17 @@ def tokens(text: str) -> list[bytes]:
     return [b"\n", *(w for w in text.encode("utf-8", "surrogatepass").translate(FOLDED).replace(b"\n", b" \n ").split(b" ") if w), b"\n"]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_TEXTS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """(lang, word, n) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 8 * BATCH_TEXTS):
             by_lang: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by_lang[lang].update(tokens(text))
@@ -77,49 +84,43 @@ def hashed(words: DataFrame, min_count: int) -> tuple[DataFrame, int]:
     raise RuntimeError("no hash without collisions")
 
 
-def bit_of(codes: np.ndarray, nexts: np.ndarray | None, bits: int) -> np.ndarray:
-    """Place in a bitmap of a word's code, or of a pair's."""
-    mixed = codes.view(np.uint64) * MIX
-    if nexts is not None:
-        mixed = (mixed ^ (mixed >> np.uint64(29))) + nexts.view(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+def fingerprint(codes: np.ndarray) -> np.ndarray:
+    """64 bits for single words' codes."""
+    return codes.view(np.uint64) * MIX
 
 
-def bitmap(codes: DataFrame, n: int) -> np.ndarray:
-    """One byte for eight places, set for the codes (one column, or two for pairs) of all rows, n in number."""
-    bits = min(BITMAP_BITS, max(15, (16 * n).bit_length()))
+def extended(prints: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Fingerprints of phrases from those of all words but the last, and the last one's codes."""
+    mixed = (prints ^ (prints >> np.uint64(29))) + codes.view(np.uint64)
+    return (mixed ^ (mixed >> np.uint64(32))) * MIX
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(bit_of(columns[0], columns[1] if len(columns) > 1 else None, bits))], ["bit"])
 
-    place = F.col("bit") + 1  # those functions count from one
-    parts = codes.mapInArrow(run, "bit long").groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in parts.toLocalIterator():  # 4 KB each, 16 MB together at most
-        start = (row["part"] - 1) * 4096
-        out[start : start + 4096] = np.frombuffer(row["map"], np.uint8)[: len(out) - start]
-    return out
+class Bitmap:
+    """Which fingerprints are in a set, by their first bits; tells of some others that they are, too."""
 
+    def __init__(self, prints: DataFrame, n: int):
+        """prints: one column of n fingerprints."""
+        self.bits = min(BITMAP_BITS, max(15, (BITS_EACH * n).bit_length()))
+        place = F.shiftrightunsigned("print", 64 - self.bits)
+        parts = prints.toDF("print").groupBy(F.bitmap_bucket_number(place + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("map"))
+        self.map = np.zeros((1 << self.bits) // 8, np.uint8)
+        for row in parts.toLocalIterator():  # 4 KB each, 16 MB together at most
+            start = (row["part"] - 1) * 4096
+            self.map[start : start + 4096] = np.frombuffer(row["map"], np.uint8)
 
-def has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+    def has(self, prints: np.ndarray) -> np.ndarray:
+        places = (prints >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.map[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def bits_of(bitmap: np.ndarray) -> int:
-    return (len(bitmap) * 8).bit_length() - 1
-
-
-def encode(documents: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
+def encode(documents: DataFrame, seed: int, frequent: Bitmap) -> DataFrame:
     """(codes array<long>) of each text: runs of two or more frequent words, a zero after each."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = shared.value, bits_of(shared.value)
+        known = shared.value
         memos: dict[str, dict[bytes, int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             parts, lengths = [], []
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 memo = memos.setdefault(lang, {})
@@ -131,7 +132,7 @@ def encode(documents: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
                         memo, fresh = memos.setdefault(lang, {}), list(set(words))
                     start = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed)
                     codes = np.array([xxhash.xxh64_intdigest(w, start) for w in fresh], np.uint64).view(np.int64)
-                    codes[~has(known, bit_of(codes, None, bits))] = 0
+                    codes[~known.has(fingerprint(codes))] = 0
                     memo.update(zip(fresh, codes.tolist(), strict=True))
                     memo[b"\n"] = 0
                 codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
@@ -151,61 +152,83 @@ def encode(documents: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
     return documents.mapInArrow(run, "codes array<long>").where(F.size("codes") > 0)
 
 
+def prints_of(words: DataFrame) -> DataFrame:
+    """(print) of words (code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(fingerprint(batch.column(0).to_numpy()).view(np.int64))], ["print"])
+
+    return words.select("code").mapInArrow(run, "print long")
+
+
 def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Codes of whole texts, about BATCH_CODES at a time."""
+    """Codes of whole runs, about BATCH_CODES at a time."""
     held, n = [], 0
     for batch in batches:
         codes = batch.column(0).flatten().to_numpy()
+        while n + len(codes) >= BATCH_CODES:
+            end = max(1, BATCH_CODES - n)
+            end += int(np.argmax(codes[end - 1 :] == 0))  # each text ends with a zero
+            yield np.concatenate([*held, codes[:end]])
+            held, n, codes = [], 0, codes[end:]
         held.append(codes)
         n += len(codes)
-        if n >= BATCH_CODES:
-            yield np.concatenate(held)
-            held, n = [], 0
-    if held:
+    if n:
         yield np.concatenate(held)
 
 
-def pair_counts(encoded: DataFrame) -> DataFrame:
-    """(c1, c2, n) of all neighbours."""
+def frequent_pairs(encoded: DataFrame, min_count: int) -> DataFrame:
+    """(print) that neighbours share min_count times or more; never less often than a pair itself is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes in streams(batches):
-            names, place = np.unique(codes, return_inverse=True)
-            both = (codes[1:] != 0) & (codes[:-1] != 0)
-            pairs, n = np.unique(place[:-1][both] * len(names) + place[1:][both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)]), pa.array(n.astype(np.int64))], ["c1", "c2", "n"])
+            at = np.flatnonzero((codes[1:] != 0) & (codes[:-1] != 0))
+            found, n = np.unique(extended(fingerprint(codes[at]), codes[at + 1]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["print", "n"])
 
-    return encoded.mapInArrow(run, "c1 long, c2 long, n long").groupBy("c1", "c2").agg(F.sum("n").alias("n"))
+    counts = encoded.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= min_count).select("print")
 
 
-def candidates(encoded: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(c1, ... c5) of the distinct phrases of three words and more whose pairs are all frequent; zeros behind."""
+def candidates(encoded: DataFrame, pairs: Bitmap, min_count: int) -> DataFrame:
+    """(c1, ... c5) of phrases of which all pairs are in the bitmap, seen min_count times; zeros behind."""
     shared = encoded.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = shared.value, bits_of(shared.value)
         for codes in streams(batches):
             chain = (codes[1:] != 0) & (codes[:-1] != 0)
-            chain[chain] = has(known, bit_of(codes[:-1][chain], codes[1:][chain], bits))
             at = np.flatnonzero(chain)
-            for size in range(3, MAX_WORDS + 1):
-                at = at[at + size - 2 < len(chain)]
-                at = at[chain[at + size - 2]]
-                seen = np.unique(np.stack([codes[at + i] for i in range(size)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(seen[:, i]) if i < size else np.zeros(len(seen), np.int64)) for i in range(MAX_WORDS)], CODES)
+            chain[at] = shared.value.has(extended(fingerprint(codes[at]), codes[at + 1]))
+            at = np.flatnonzero(chain)
+            names, place = np.unique(codes, return_inverse=True)
+            key = place[at]
+            for size in range(2, MAX_WORDS + 1):
+                inside = at + size - 2 < len(chain)
+                inside[inside] = chain[at[inside] + size - 2]
+                at = at[inside]
+                _, key = np.unique(key[inside], return_inverse=True)
+                key = key * len(names) + place[at + size - 1]
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                columns = [pa.array(codes[at[first] + i] if i < size else np.zeros(len(first), np.int64)) for i in range(MAX_WORDS)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*CODES, "n"])
 
-    return encoded.mapInArrow(run, ", ".join(f"{c} long" for c in CODES)).distinct()
+    found = encoded.mapInArrow(run, ", ".join(f"{c} long" for c in [*CODES, "n"])).groupBy(*CODES).agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") >= min_count).drop("n")
 
 
 def trie_counts(encoded: DataFrame, phrases: pa.Table) -> DataFrame:
-    """(phrase, n) for phrases (phrase, c1, ... c5): how often each occurs."""
+    """(phrase, n) for phrases (phrase, c1, ... c5): how often each occurs.
+
+    A task gives its sums as arrays of SUM_BLOCK phrases, which are added up in two steps, so no group holds many.
+    """
     codes = np.stack([phrases[c].to_numpy() for c in CODES], axis=1)
     names = np.unique(codes[codes != 0])
     trie = Trie(np.where(codes == 0, 0, np.searchsorted(names, codes) + 1))
     shared = encoded.sparkSession.sparkContext.broadcast((trie, names, phrases["phrase"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, phrase = shared.value
+        trie, names, _ = shared.value
         counts = np.zeros(len(trie.check), np.int64)
         for codes in streams(batches):
             label = np.minimum(np.searchsorted(names, codes), len(names) - 1)
@@ -213,10 +236,24 @@ def trie_counts(encoded: DataFrame, phrases: pa.Table) -> DataFrame:
             for state in trie.steps(label, MAX_WORDS):
                 counts += np.bincount(state, minlength=len(counts))
         found = counts[trie.ends]
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(phrase[some]), pa.array(found[some])], ["phrase", "n"])
+        salt = TaskContext.get().partitionId() % SUM_SALTS
+        for block, start in enumerate(range(0, len(found), SUM_BLOCK)):
+            part = found[start : start + SUM_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "counts": pa.array([part], pa.list_(pa.int64()))})
+
+    def summed(part: pa.Table) -> np.ndarray:
+        return part["counts"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).sum(axis=0)
+
+    def some(part: pa.Table) -> pa.Table:
+        return pa.table({"block": part["block"][:1], "counts": pa.array([summed(part)], pa.list_(pa.int64()))})
+
+    def all_(part: pa.Table) -> pa.Table:
+        start, n = part["block"][0].as_py() * SUM_BLOCK, summed(part)
+        return pa.table({"phrase": shared.value[2][start : start + len(n)], "n": n})
 
-    return encoded.mapInArrow(run, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+    sums = encoded.mapInArrow(run, "block int, salt int, counts array<long>").groupBy("block", "salt").applyInArrow(some, "block int, counts array<long>")
+    return sums.groupBy("block").applyInArrow(all_, "phrase long, n long")
 
 
 def phrase_counts(documents: DataFrame, min_count: int = MIN_COUNT, trie_phrases: int = TRIE_PHRASES) -> tuple[DataFrame, DataFrame]:
@@ -225,20 +262,19 @@ def phrase_counts(documents: DataFrame, min_count: int = MIN_COUNT, trie_phrases
     coded, seed = hashed(written(word_counts(texts), "phrase-words"), min_count)
     totals = written(coded.groupBy("lang").agg(F.sum("n").alias("n")), "language-words")
     frequent = written(coded.where(F.col("n") >= min_count).select("code", "lang", F.col("word").cast("string").alias("word"), "n"), "frequent-words")
-    encoded = written(encode(texts, seed, bitmap(frequent.select("code"), frequent.count())), "phrase-codes")
-    pairs = written(pair_counts(encoded).where(F.col("n") >= min_count), "frequent-pairs")
-    longer = written(candidates(encoded, bitmap(pairs.select("c1", "c2"), pairs.count())).withColumn("phrase", F.monotonically_increasing_id()), "phrase-candidates")
-    shards = -(-longer.count() // trie_phrases)
-    by_size = [pairs.select("c1", "c2", *(F.lit(0).cast("long").alias(c) for c in CODES[2:]), "n")]
-    shard = F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards)))
+    encoded = written(encode(texts, seed, Bitmap(prints_of(frequent.select("code")), frequent.count())), "phrase-codes")
+    pairs = written(frequent_pairs(encoded, min_count), "pair-prints")
+    seen = written(candidates(encoded, Bitmap(pairs, pairs.count()), min_count).withColumn("phrase", F.monotonically_increasing_id()), "phrase-candidates")
+    shards = -(-seen.count() // trie_phrases)
+    shard, parts = F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards))), [seen.select(*CODES, F.lit(0).cast("long").alias("n")).limit(0)]
     for i in range(shards):
-        found = written(trie_counts(encoded, longer.where(shard == i).toArrow()).where(F.col("n") >= min_count), "trie-counts")
-        by_size.append(longer.join(found, "phrase").select(*CODES, "n"))
-    together = by_size[0]
-    for part in by_size[1:]:
+        found = written(trie_counts(encoded, seen.where(shard == i).toArrow()).where(F.col("n") >= min_count), "trie-counts")
+        parts.append(seen.join(found, "phrase").select(*CODES, "n"))
+    together = parts[0]
+    for part in parts[1:]:
         together = together.union(part)
-    phrases = together.select(F.monotonically_increasing_id().alias("phrase"), "*")
-    cells = written(phrases, "phrases").select("phrase", "n", F.posexplode(F.filter(F.array(*CODES), lambda c: c != 0)).alias("pos", "code"))
+    phrases = written(together.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    cells = phrases.select("phrase", "n", F.posexplode(F.filter(F.array(*CODES), lambda c: c != 0)).alias("pos", "code"))
     spelled = cells.join(frequent.select("code", "lang", "word"), "code", "left").groupBy("phrase").agg(
         F.max("lang").alias("lang"), F.count(F.lit(1)).alias("size"), F.count("word").alias("known"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("words"), F.max("n").alias("a")
     )  # what a bitmap let through has a word that isn't frequent

@@ -334,3 +334,29 @@ def test_packing_places_all_tokens(spark):
             at += r["length"]
         assert at <= 2048
     assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_scripts_without_blanks_are_learned(spark):
+    rng = random.Random(4)
+    run = lambda first, n: "".join(chr(first + rng.randrange(60)) for _ in range(n))
+    rows = [(i, run(0x0E01 if i % 2 else 0x4E00, 120 if i < 118 else 30_000), "th" if i % 2 else "zh") for i in range(120)]
+    rows += [(200 + i, "the cat and the dog went on", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(docs, language_id.fit(docs.where("doc_id % 3 <> 1"))).collect()
+    right = {i: lang for i, _, lang in rows}
+    assert all(r["lang_pred"] != "und" for r in found)
+    for lang, n in Counter(right.values()).items():
+        assert sum(r["lang_pred"] == lang == right[r["doc_id"]] for r in found) >= 0.95 * n
+
+
+def test_ngrams_of_long_words_are_counted_once(spark):
+    word = "abcdefghij" * 50
+    counts = spark.createDataFrame([("x", word, 3), ("x", "ab", 1)], "lang string, key string, n long")
+    model, marked = language_id.learned(counts), [f"<{word}>", "<ab>"]
+    for table, k in zip(model.grams, language_id.NGRAM_LENGTHS, strict=True):
+        grams = Counter()
+        for w, n in zip(marked, (3, 1), strict=True):
+            grams.update({g: n * c for g, c in Counter(w[i : i + k] for i in range(len(w) - k + 1)).items() if g not in "<>"})
+        total = sum(grams.values()) + 0.5 * len(grams)
+        known = {language_id.key_of(g): np.log((c + 0.5) / total) for g, c in grams.items()}
+        assert dict(zip(table.keys.tolist(), table.logs[:, 0].tolist(), strict=True)) == pytest.approx(known, abs=1e-5)
