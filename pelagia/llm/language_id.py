@@ -9,6 +9,8 @@ and prediction is one mapInArrow without a shuffle.
 A known word adds its log frequency in each language. An unseen one is looked up by its character n-grams
 of 5, then 4, 3, 2 and 1 letters, at the first length of which any n-gram is known.
 
+Words of any length are learned; scripts that write no blanks have runs of letters without end, which are known by their n-grams.
+
 Defined results: a null text or one without letters gives ``und`` with score 0. Text of which nothing is
 known gives the most frequent language with score 1 / number of languages. Without any labelled document
 every text is ``und``. Ties go to the language that is more frequent in training, then by name.
@@ -32,7 +34,8 @@ from pelagia.llm.common import crc_remainder, table, written
 
 MAX_TRAIN_DOCS = 8_000
 MIN_LANG_DOCS = 200
-MAX_WORD_CHARS = 40
+MEMO_CHARS = 40
+PIECE = 64
 NGRAM_LENGTHS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 MEMO_ENTRIES = 100_000
@@ -138,7 +141,7 @@ class Predictor:
         return self.model.langs[best], float(1 / odds.sum())
 
     def _remembered(self, word: str) -> int:
-        if len(word) > MAX_WORD_CHARS or len(self.memo) >= MEMO_ENTRIES:
+        if len(word) > MEMO_CHARS or len(self.memo) >= MEMO_ENTRIES:
             return -1
         row = self.memo[word] = len(self.memo)
         self.logs[row] = self.model.of_word(word)
@@ -163,7 +166,6 @@ def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MA
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(every)) < limit)
     counts = (
         rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key"))
-        .where(F.length("key") <= MAX_WORD_CHARS)
         .groupBy("lang", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -172,10 +174,13 @@ def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MA
 
 def learned(counts: DataFrame) -> Model:
     """A model of word counts (lang, key, n); n-grams are counted here, from the words between brackets."""
-    marked = F.concat(F.lit("<"), "key", F.lit(">"))
-    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length("marked") - k + 1), lambda i: F.substring("marked", i, F.lit(k)))
-    long_enough = [F.when(F.length("marked") >= k, of_length(k)).otherwise(F.array().cast("array<string>")) for k in NGRAM_LENGTHS]
-    grams = counts.select("lang", "n", marked.alias("marked")).select("lang", "n", F.explode(F.concat(*long_enough)).alias("key")).where(~F.col("key").isin("<", ">"))
+    marked = counts.select("lang", "n", F.concat(F.lit("<"), "key", F.lit(">")).alias("marked"))
+    # long runs go in pieces, each with the n-grams that start in its first PIECE letters, so that a run costs what its length does
+    piece = F.transform(F.sequence(F.lit(1), F.length("marked"), F.lit(PIECE)), lambda i: F.substring("marked", i, F.lit(PIECE + max(NGRAM_LENGTHS) - 1)))
+    pieces = marked.select("lang", "n", F.explode(piece).alias("piece"))
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece") - k + 1)), lambda i: F.substring("piece", i, F.lit(k)))
+    long_enough = [F.when(F.length("piece") >= k, of_length(k)).otherwise(F.array().cast("array<string>")) for k in NGRAM_LENGTHS]
+    grams = pieces.select("lang", "n", F.explode(F.concat(*long_enough)).alias("key")).where(~F.col("key").isin("<", ">"))
     grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     return Model(counts.select("lang", F.xxhash64("key").alias("key"), "n").toArrow(), grams.select("lang", F.xxhash64("key").alias("key"), F.length("key").alias("size"), "n").toArrow())
 
