@@ -48,9 +48,9 @@ def term_words(term: str) -> list[str]:
 
 
 def has_term(searched: Column, term: str) -> Column:
-    """Whether a word of search_text starts with the term; of a phrase the last word is a prefix."""
+    """Whether a word of search_text starts with the term; of a phrase the last word is a prefix. A term without letters is found nowhere."""
     words = term_words(term)
-    return searched.contains(" " + " ".join(words)) if words else F.lit(True)
+    return searched.contains(" " + " ".join(words)) if words else F.lit(False)
 
 
 def is_kind(extension: Column, kind: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -95,13 +96,17 @@ def number(text: str | None) -> float | None:
     return value if math.isfinite(value) else None
 
 
+#: runs of letters, digits and underscores, all of which must be found; an underscore makes a phrase of what it joins
+SEARCH_TERM = re.compile(r"\w+")
+
+
 def from_params(params: dict[str, str]) -> FilterSpec:
     """The search that typed parameters ask for; unknown ones are dropped, lists are split at commas."""
     listed = lambda name: tuple(x.strip() for x in params.get(name, "").split(",") if x.strip())
     collection = number(params.get("coll"))
     return FilterSpec(
-        include=tuple(params.get("q", "").split()),
-        exclude=tuple(params.get("x", "").split()),
+        include=tuple(SEARCH_TERM.findall(params.get("q", ""))),
+        exclude=tuple(SEARCH_TERM.findall(params.get("x", ""))),
         roots=listed("roots"),
         model=params.get("model", ""),
         mtype=params.get("mfolder", ""),
@@ -197,6 +202,12 @@ def apply(files: DataFrame, spec: FilterSpec, tags: DataFrame | None = None, ski
     return out
 
 
+def visible(files: DataFrame, spec: FilterSpec) -> DataFrame:
+    """Without the files that no search shows: those of other roots, and those that wait to be deleted."""
+    shown = files.where(dimension(spec, "root"))
+    return shown.where(~F.col("id").isin(*spec.pending)) if spec.pending else shown
+
+
 def having_all(tags: DataFrame, wanted: list[str]) -> DataFrame:
     """Ids that have every wanted tag: one aggregation for any number of tags."""
     rows = tags.select("image_id", F.lower("tag").alias("tag")).where(F.col("tag").isin(*wanted))
@@ -217,7 +228,11 @@ def of_kind(matched: DataFrame, files: DataFrame, kind: str, pairs: bool) -> Dat
     return matched.where(own).join(moving.select("group_id").distinct(), "group_id", "left_anti").select(*matched.columns)
 
 
-def cards_matching(files: DataFrame, matched: DataFrame) -> DataFrame:
-    """All files of every card that has a matching member."""
+def cards_matching(files: DataFrame, matched: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+    """All files of every card that has a matching member, but for those that the search's roots or pending deletions rule out.
+
+    A matching sibling brings a whole card into view, never a file that is hidden everywhere.
+    """
+    shown = visible(files, spec) if spec is not None else files
     keys = matched.select(C.card_key(F.col("group_id"), F.col("id")).alias("card")).distinct()
-    return files.withColumn("card", C.card_key(F.col("group_id"), F.col("id"))).join(keys, "card", "left_semi").select("card", *files.columns)
+    return shown.withColumn("card", C.card_key(F.col("group_id"), F.col("id"))).join(keys, "card", "left_semi").select("card", *files.columns)

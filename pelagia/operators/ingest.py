@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
 from pelagia.functions import generation, graph, vocab
-from pelagia.operators import curate
-from pelagia.sources import containers
+from pelagia.operators import curate, store
+from pelagia.sources import containers, listing
 
 SAME_TIME = 1e-6
 LEAST_RATED = 200
@@ -60,21 +60,98 @@ def may_prune(stored: DataFrame, walked: DataFrame, complete: bool) -> bool:
     return complete and (not walked.isEmpty() or stored.isEmpty())
 
 
-def scan(stored: DataFrame, walked: DataFrame, read: Callable[[DataFrame], DataFrame] = file_facts, force: bool = False, complete: bool = True, folders: Sequence[str] | None = None) -> Scan:
-    """The catalog after a walk of all, or of these folders: only rows in walked folders can vanish."""
-    found = states(stored, walked, force)
-    todo = walked.join(found.where("state in ('new', 'changed')").select("path"), "path", "left_semi")
-    fresh = read(todo)
+def scan(stored: DataFrame, walked: DataFrame, read: Callable[[DataFrame], DataFrame] = file_facts, force: bool = False, complete: bool = True, folders: Sequence[str] | DataFrame | None = None, version: int | None = None) -> Scan:
+    """The catalog after a walk of all, or of these folders: only rows in walked folders can vanish.
+
+    A file that is read again keeps its row: its id, and every column that reading doesn't give. New files get the ids
+    that follow. What was read is stamped with the reader's version; what could not be read stays as it was.
+    """
+    found = store.written(states(stored, walked, force), "scan-states")
+    fresh = store.written(read(walked.join(found.where("state in ('new', 'changed')").select("path"), "path", "left_semi")), "scan-read")
     good = fresh.where("error is null").drop("error")
+    if version is not None:
+        good = good.withColumn("reader_ver", F.lit(version))
     gone = found.where("state = 'gone'").select("path")
     if folders is not None:
-        gone = gone.join(stored.where(F.col("folder").isin(*folders)).select("path"), "path", "left_semi")
-    kept = stored.join(gone, "path", "left_anti") if may_prune(stored, walked, complete) else stored
-    files = curate.upsert(kept, good.select(*(F.col(c) if c in good.columns else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns)), ["path"])
+        inside = folders if isinstance(folders, DataFrame) else stored.sparkSession.createDataFrame([(f,) for f in folders], "folder string")
+        gone = gone.join(stored.join(inside.select("folder"), "folder", "left_semi").select("path"), "path", "left_semi")
+    if not may_prune(stored, walked, complete):
+        gone = gone.where("false")
+    kept = stored.join(gone, "path", "left_anti")
+    new = good.join(stored.select("path"), "path", "left_anti")
+    new = numbered(new, stored.agg(F.max("id")).first()[0] or 0) if "id" in stored.columns else new
+    files = reread(kept, good).unionByName(new.select(*(F.col(c).cast(kept.schema[c].dataType) if c in new.columns else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns)))
     seen = found.where("state <> 'gone'").union(gone.withColumn("state", F.lit("gone")))
     return Scan(files, seen, fresh)
 
 
+def reread(stored: DataFrame, good: DataFrame) -> DataFrame:
+    """stored with what good gives of each of its files (path); other columns, and the id, stay."""
+    given = [c for c in stored.columns if c in good.columns and c not in ("id", "path")]
+    both = stored.alias("old").join(good.select("path", F.lit(True).alias("was_read"), *given).alias("now"), "path", "left")
+    return both.select(*(F.when(F.col("now.was_read"), F.col(f"now.{c}").cast(stored.schema[c].dataType)).otherwise(F.col(f"old.{c}")).alias(c) if c in given else F.col("path" if c == "path" else f"old.{c}") for c in stored.columns))
+
+
+def numbered(rows: DataFrame, last: int) -> DataFrame:
+    """rows with ids from last + 1 on without gaps: each partition, once written, has a range of its own."""
+    placed = store.written(rows.drop("id").withColumn("place", F.monotonically_increasing_id()), "new-rows")
+    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    starts, start = [], last + 1
+    for row in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # one for each partition
+        starts.append((row["part"], start))
+        start += row["n"]
+    ranges = F.broadcast(rows.sparkSession.createDataFrame(starts, "part long, start long"))
+    return placed.withColumn("part", part).join(ranges, "part").withColumn("id", F.col("start") + within).drop("part", "start", "place")
+
+
+def scan_kind(last_full: float | None, now: float, signature: DataFrame | None, force: bool = False) -> tuple[bool, str | None]:
+    """Whether all folders must be walked, and why: folder times can be wrong, so they are trusted for a while only."""
+    if force:
+        return True, "forced"
+    if last_full is None:
+        return True, "never walked in full"
+    if full_scan_due(last_full, now):
+        return True, f"last full walk {(now - last_full) / 3600:.1f}h ago"
+    return (True, "no folder times") if signature is None or signature.isEmpty() else (False, None)
+
+
+@dataclass
+class Run:
+    """A scan, the folder times to keep for the next one, when all was last walked, and why all was walked if it was."""
+
+    scan: Scan
+    signature: DataFrame
+    last_full: float | None
+    why_full: str | None
+
+
+def run_scan(stored: DataFrame, root: str, signature: DataFrame | None, last_full: float | None, now: float, read: Callable[[DataFrame], DataFrame] = file_facts, force: bool = False, version: int | None = None) -> Run:
+    """Walks all of root, or only the folders whose times moved and new ones below them; signature is (folder, mtime) of the last run.
+
+    Every known folder's time is looked up, which lists no files of folders that stayed as they were. Rows vanish with their
+    folder if it is missing while the root is there, and not where half of all folders, and two at least, can't be read.
+    """
+    spark = stored.sparkSession
+    full, why = scan_kind(last_full, now, signature, force)
+    top = spark.createDataFrame([(root.rstrip("/"),)], "folder string")
+    if full:
+        walk = listing.walk_tree(spark, root)
+        complete = walk.unreadable.isEmpty()
+        done = scan(stored, walk.files, read, force, complete, version=version)
+        return Run(done, walk.folders, now if complete else last_full, why)
+    times = store.written(listing.folder_times(signature.select("folder").union(top).distinct()), "folder-times")
+    both = times.join(signature.withColumnRenamed("mtime", "before"), "folder", "left")
+    moved = both.where("mtime is not null").where(F.col("before").isNull() | (F.abs(F.col("mtime") - F.col("before")) > vocab.MTIME_TOLERANCE) | (F.col("folder") == root.rstrip("/"))).select("folder")
+    walk = listing.walk_folders(moved, signature.select("folder"))
+    failing = times.where("mtime is null").count() + walk.unreadable.count()
+    gone = times.where("missing").select("folder")
+    if failing >= max(2, signature.count() / 2) or not gone.where(F.col("folder") == root.rstrip("/")).isEmpty():
+        gone = gone.where("false")
+    done = scan(stored, walk.files, read, False, True, walk.folders.select("folder").union(gone), version)
+    kept = signature.join(walk.folders.select("folder").union(gone), "folder", "left_anti").select("folder", "mtime")
+    return Run(done, kept.union(walk.folders), last_full, None)
+
+
 def without_folders(files: DataFrame, gone: Sequence[str], unreadable: int, known: int) -> DataFrame:
     """files outside of the folders that are gone, and of those below them; nothing vanishes if half of all can't be read."""
     if not gone or unreadable >= max(2, known / 2):
@@ -160,13 +237,6 @@ def merge_catalogs(files: DataFrame, others: dict[str, DataFrame], children: dic
     return merged, out
 
 
-def write_version(table: DataFrame, folder: str, version: int) -> DataFrame:
-    """table written as a version of its own and read back; older versions stay readable."""
-    path = f"{folder.rstrip('/')}/v{version:09d}"
-    table.write.mode("overwrite").parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
-
-
 def root_changes(roots: DataFrame, stored: DataFrame) -> DataFrame:
     """(root_id, changed, gone) numbers of folders beyond the tolerance; roots and stored are (root_id, folder, mtime)."""
     both = stored.withColumnRenamed("mtime", "old").join(roots.withColumnRenamed("mtime", "now"), ["root_id", "folder"], "full_outer")

@@ -142,7 +142,7 @@ def aspect_buckets(spark, sf_dir):
 
 def _cards(files: DataFrame, spec: FilterSpec) -> DataFrame:
     """Whole cards of which a member matches."""
-    return cards.collapse(filters.cards_matching(files, filters.apply(files, spec)))
+    return cards.collapse(filters.cards_matching(files, filters.apply(files, spec), spec))
 
 
 @query(cat(", cards AS (" + sql.CARDS.format(where="model_name = 'en'") + "), page AS (SELECT * FROM cards ORDER BY newest DESC, id LIMIT 120) SELECT p.*, f.folder, f.filename, f.model_name, f.width, f.height FROM page p JOIN files f USING (id)"))
@@ -163,6 +163,19 @@ def collapsed_cards(spark, sf_dir):
     return _cards(media_view(spark, sf_dir), FilterSpec(model="de"))
 
 
+@query(cat(sql.cards("(SELECT * FROM files WHERE root_id IN ('r0', 'r2') AND id NOT IN (12, 33, 35, 80, 200) AND card IN (SELECT card FROM files WHERE model_name = 'en' AND root_id IN ('r0', 'r2') AND id NOT IN (12, 33, 35, 80, 200)))")))
+def visible_cards(spark, sf_dir):
+    """Whole cards of which a member matches, without files of other roots or that wait to be deleted."""
+    return _cards(media_view(spark, sf_dir), FilterSpec(model="en", roots=("r0", "r2"), pending=(12, 33, 35, 80, 200)))
+
+
+@query(cat(f"SELECT id FROM files WHERE contains({sql.SEARCHED}, ' der') AND contains({sql.SEARCHED}, ' gen') AND contains({sql.SEARCHED}, ' shot 1') AND NOT contains({sql.SEARCHED}, ' refi') AND NOT contains({sql.SEARCHED}, ' det')"))
+def typed_search(spark, sf_dir):
+    """Typed terms apart at anything but letters, digits and underscores: all of the first, none of the second."""
+    files = media_view(spark, sf_dir)
+    return filters.apply(files, filters.from_params({"q": "der,gen; shot_1", "x": "refi|det _"})).select("id")
+
+
 @query(cat("SELECT count(DISTINCT card) AS cards, count(*) AS files FROM files"))
 def card_counts(spark, sf_dir):
     return cards.counts(media_view(spark, sf_dir))

@@ -109,6 +109,20 @@ def ingest_scan(spark, sf_dir):
     return done.counters().union(done.files.agg(F.lit("rows").alias("state"), F.count(F.lit(1)).alias("n")))
 
 
+@query(cat(SCAN + """, top AS (SELECT max(id) AS last FROM stored), news AS (SELECT count(*) AS n FROM st WHERE state = 'new' AND NOT bad)
+SELECT f.id, f.root_id, f.group_id, f.shuffle_key, f.mtime + CASE WHEN st.state = 'changed' AND NOT st.bad AND f.id % 13 = 0 THEN 5 ELSE 0 END AS mtime, CASE WHEN st.state = 'changed' AND NOT st.bad THEN 4 ELSE 3 END AS reader_ver FROM files f JOIN st ON st.path = f.folder || '/' || cast(f.id AS varchar) || f.filename WHERE st.state IN ('changed', 'unchanged')
+UNION ALL SELECT last + i, NULL, NULL, NULL, NULL, 4 FROM top, news, unnest(range(1, n + 1)) u(i)"""))
+def scan_keeps_rows(spark, sf_dir):
+    """A walk against a catalog with ids: files that are read again keep theirs, new ones get those that follow."""
+    files = media_view(spark, sf_dir).withColumn("path", F.concat("folder", F.lit("/"), F.col("id").cast("string"), "filename")).withColumn("duration", F.lit(1.0))
+    blank = F.when((F.col("ext") == ".mp4") & (F.col("id") % 2 == 0), F.lit(None)).otherwise(F.col("width"))
+    stored = files.where("id % 9 <> 0").withColumn("width", blank).withColumn("reader_ver", F.lit(3)).select("id", "path", "folder", "root_id", "group_id", "shuffle_key", "filename", "ext", "mtime", "size", "width", "duration", "reader_ver")
+    walked = files.where("id % 8 <> 0").select("path", "folder", "filename", "ext", F.when(F.col("id") % 13 == 0, F.col("mtime") + 5).otherwise(F.col("mtime")).alias("mtime"), "size", "width", "duration", (F.col("id") % 50 == 7).alias("bad"))
+    done = ingest.scan(stored, walked, lambda todo: todo.withColumn("error", F.when(F.col("bad"), "damaged")).drop("bad"), version=4)
+    added = F.col("id") > stored.agg(F.max("id")).first()[0]  # which new file gets which of the new ids is open
+    return done.files.select("id", "root_id", "group_id", "shuffle_key", F.when(~added, F.col("mtime")).alias("mtime"), "reader_ver")
+
+
 @query(cat(", b AS (SELECT root_id, count(*) FILTER (WHERE id % 8 < 3) AS behind FROM files GROUP BY root_id) SELECT root_id, behind, behind / CASE root_id WHEN 'r0' THEN 10.0 WHEN 'r1' THEN 20.0 ELSE 40.0 END AS seconds, (SELECT sum(behind / CASE root_id WHEN 'r0' THEN 10.0 WHEN 'r1' THEN 20.0 ELSE 40.0 END) FROM b) AS all_seconds FROM b"))
 def catchup_estimate(spark, sf_dir):
     files = media_view(spark, sf_dir).withColumn("reader_ver", F.col("id") % 8)

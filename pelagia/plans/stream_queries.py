@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.operators.catalog import read
+from pelagia.operators import store
 from pelagia.streaming import watch
 
 
@@ -19,7 +20,7 @@ def stream_newest(spark, sf_dir):
     """The newest event of each user, kept up to date batch by batch."""
     stream = watch.arriving(spark, sf_dir, "events.parquet", read(spark, sf_dir, "events").schema)
     rows = stream.select("event_id", "user_id", "event_type", "value")
-    newest = watch.upsert_batches(spark, rows, "user_id", "event_id", watch.scratch(spark, "newest"), watch.scratch(spark, "newest-progress"))
+    newest = watch.upsert_batches(spark, rows, "user_id", "event_id", store.shared_dir(spark, "newest"), store.shared_dir(spark, "newest-progress"))
     return newest.select("user_id", "event_id", "event_type", "value")
 
 

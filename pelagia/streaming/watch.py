@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,11 +11,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pelagia-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from pelagia.operators import store
 
 
 def arriving(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
@@ -32,8 +26,8 @@ def sessions(stream: DataFrame, key: str, stamp: str, gap: str, lateness: str) -
 
 def run_to_table(spark: SparkSession, result: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over what has arrived and returns its last complete result."""
-    out = scratch(spark, name)
-    query = result.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    out = store.shared_dir(spark, name)
+    query = result.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", store.shared_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
 
@@ -75,27 +69,35 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def pending_deletes(requests: DataFrame, delay_ms: int = 5000) -> DataFrame:
-    """(id, action) once a deletion was not undone within the delay.
+def pending_deletes(requests: DataFrame, delay_ms: int = 5000, retention_ms: int = 60_000) -> DataFrame:
+    """(id, action) once a deletion was not undone within the delay, or at once if it is told to be committed.
 
-    requests are (id, action delete or undo, seq): of a file's requests the one with the highest seq counts, in
-    whatever order they arrive.
+    requests are (id, action delete, undo or commit, seq): of a file's requests the one with the highest seq counts, in
+    whatever order they arrive; commit ends a pending deletion without waiting. A batch is undone or committed by a request for each of
+    its files. What was decided is remembered for retention_ms, so that a late older request changes nothing, and
+    then freed.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        deleted = pd.DataFrame({"id": [key[0]], "action": ["deleted"]})
         if state.hasTimedOut:
             pending, seq = state.get
-            state.update((0, seq))
             if pending:
-                yield pd.DataFrame({"id": [key[0]], "action": ["deleted"]})
+                state.update((0, seq))
+                state.setTimeoutDuration(retention_ms)
+                yield deleted
+            else:
+                state.remove()
             return
         pending, seq = state.get if state.exists else (0, -1)
-        for batch in batches:
-            if len(batch) and batch["seq"].max() > seq:
-                last = batch.loc[batch["seq"].idxmax()]
-                pending, seq = int(last["action"] == "delete"), int(last["seq"])
+        rows = [(int(s), a) for batch in batches for s, a in zip(batch["seq"], batch["action"], strict=True) if s > seq]
+        for s, action in sorted(rows):
+            seq = s
+            if action == "commit" and pending:
+                yield deleted
+            pending = int(action == "delete")
         state.update((pending, seq))
-        state.setTimeoutDuration(delay_ms)
+        state.setTimeoutDuration(delay_ms if pending else retention_ms)
 
     return requests.groupBy("id").applyInPandasWithState(decide, "id long, action string", "pending int, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 

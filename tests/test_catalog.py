@@ -79,6 +79,18 @@ def test_typed_bounds_that_are_no_numbers_ask_for_nothing():
     assert (spec.include, spec.tags, spec.collection) == (("a", "b"), ("X", "y"), 7)
 
 
+def test_search_terms_end_at_anything_but_letters_digits_and_underscores(files):
+    assert filters.from_params({"q": "cat,dog big_red (x)", "x": "_ a-b"}) == FilterSpec(include=("cat", "dog", "big_red", "x"), exclude=("_", "a", "b"))
+    assert filters.apply(files, FilterSpec(include=("_",))).count() == 0
+    assert filters.apply(files, FilterSpec(exclude=("_",))).count() == files.count()
+
+
+def test_hidden_files_stay_hidden_in_matching_cards(files):
+    spec = FilterSpec(model="flux_c", pending=(6,))
+    shown = filters.cards_matching(files, filters.apply(files, spec), spec)
+    assert {r["id"] for r in shown.where("card = 'g1'").collect()} == {4, 7}
+
+
 def test_matching_member_admits_its_card_and_the_face_is_the_best(files):
     matched = filters.apply(files, FilterSpec(model="pony_b"))
     found = {r["card"]: r for r in cards.collapse(filters.cards_matching(files, matched)).collect()}
@@ -95,8 +107,8 @@ def test_aspect(spark, width, height, shape):
 def test_text_search_rules(spark):
     row = spark.createDataFrame([("Café au lait, foo barista it's",)], "t string")
     hit = lambda term: row.select(C.has_term(C.search_text(F.col("t"), F.lit("next")), term).alias("h")).first()["h"]
-    assert hit("CAFÉ") and hit("cafe") and hit("lai") and hit("foo_bar") and hit("it's") and hit("_")
-    assert not hit("bar_foo") and not hit("ait") and not hit("not") and not hit("s_next")
+    assert hit("CAFÉ") and hit("cafe") and hit("lai") and hit("foo_bar") and hit("it's")
+    assert not hit("bar_foo") and not hit("ait") and not hit("not") and not hit("s_next") and not hit("_")
 
 
 def test_dml_and_merges(spark):

@@ -1,4 +1,6 @@
 import json
+import os
+import shutil
 import struct
 import time
 import zlib
@@ -8,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagia.functions import generation
-from pelagia.operators import extensions, ingest
-from pelagia.sources import containers, walk
+from pelagia.operators import extensions, ingest, store
+from pelagia.sources import containers, listing, walk
 from pelagia.streaming import watch
 
 
@@ -188,7 +190,7 @@ def test_ingest_of_a_folder(spark, tmp_path):
     got = {r["filename"]: r for r in first.files.collect()}
     assert (got["x.png"]["positive"], got["x.png"]["steps"], got["x.png"]["has_meta"], got["x.png"]["width"]) == ("cat", 4, 1, 640)
     assert {r["state"]: r["n"] for r in first.counters().collect()} == {"new": 3}
-    stored = ingest.write_version(first.files, f"file://{tmp_path}/versions", 1)
+    stored = store.write_version(first.files, f"file://{tmp_path}/versions", 1)
     (tmp_path / "a/x.png").unlink()
     again = ingest.scan(stored, walk.walk_media(spark, f"file://{tmp_path}"))
     assert {r["state"]: r["n"] for r in again.counters().collect()} == {"unchanged": 2, "gone": 1} and again.files.count() == 2
@@ -277,3 +279,101 @@ def test_pending_deletes_can_be_undone(spark, tmp_path):
         time.sleep(0.5)
     query.stop()
     assert found == [(1, "deleted")]
+
+
+def test_deletes_are_committed_and_their_state_is_freed(spark, tmp_path):
+    schema = "id long, action string, seq long"
+    into = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{name}")
+    into("a", [(1, "delete", 1), (2, "delete", 2), (3, "delete", 3), (2, "commit", 4), (4, "commit", 5)])
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    found = []
+    query = watch.pending_deletes(stream, 5_000, 1_000).writeStream.foreachBatch(lambda batch, _: found.extend(r["id"] for r in batch.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(processingTime="500 milliseconds").start()
+
+    def until(true):
+        deadline = time.time() + 60
+        while time.time() < deadline and not true():
+            time.sleep(0.2)
+        return true()
+
+    assert until(lambda: found == [2])  # at once
+    into("b", [(3, "undo", 7), (2, "delete", 2)])  # the second is older than what was decided
+    assert until(lambda: found == [2, 1])
+    rows = lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert until(lambda: rows() == 0) and found == [2, 1]
+    query.stop()
+
+
+def media(root, *names):
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * len(name))
+
+
+def known_names(frame, column="path"):
+    return sorted(r[column].rsplit("/lib/", 1)[-1] for r in frame.select(column).collect())
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    root = tmp_path / "lib"
+    media(root, "a/x.png", "a/notes.txt", "b/y.MP4", "b/new/deep/z.mp3", "b/known/skip.png", "_ToRecycle/gone.png")
+    (root / "empty").mkdir()
+    os.utime(root / "b", (1_600_000_000, 1_600_000_000))
+    folder = lambda *names: spark.createDataFrame([(f"file:{root}/{n}".rstrip("/"),) for n in names], "folder string")
+    tree = listing.walk_tree(spark, f"file:{root}")
+    assert known_names(tree.files) == ["a/x.png", "b/known/skip.png", "b/new/deep/z.mp3", "b/y.MP4"]
+    times = {r["folder"].rsplit("/", 1)[-1]: r["mtime"] for r in tree.folders.collect()}
+    assert times["b"] == 1_600_000_000 and set(times) == {"lib", "a", "b", "known", "new", "deep", "empty"}
+    some = listing.walk_folders(folder("b", "missing"), folder("", "a", "b", "b/known", "empty"))
+    assert known_names(some.files) == ["b/new/deep/z.mp3", "b/y.MP4"]
+    assert known_names(some.folders, "folder") == ["b", "b/new", "b/new/deep"] and known_names(some.unreadable, "folder") == ["missing"]
+    row = some.files.where("filename = 'y.MP4'").first()
+    assert (row["ext"], row["size"], row["folder"]) == (".mp4", 7, f"file:{root}/b") and abs(row["mtime"] - (root / "b/y.MP4").stat().st_mtime) < 1e-6
+
+
+def test_a_run_chooses_between_quick_and_full(spark, tmp_path):
+    root, now = tmp_path / "lib", 1_000_000.0
+    media(root, "a/x.png", "b/y.png", "b/z.png", "c/w.png")
+    top = f"file:{root}"
+    read = lambda rows: rows.withColumn("error", F.lit(None).cast("string")).withColumn("positive", F.lit("read"))
+    empty = spark.createDataFrame([], "id long, path string, folder string, filename string, ext string, mtime double, size long, width int, duration double, positive string, note string, reader_ver int")
+    first = ingest.run_scan(empty, top, None, None, now, read, version=1)
+    assert first.why_full == "never walked in full" and first.last_full == now
+    assert sorted(r["id"] for r in first.scan.files.collect()) == [1, 2, 3, 4]
+    table = f"file://{tmp_path}/catalog"
+    assert store.committed(spark, table) is None
+    store.write_version(first.scan.files.withColumn("note", F.lit("mine")), table, 1)
+    store.commit(spark, table, 1)
+    signature = store.written(first.signature, "signature")
+    for n in ("a", "b", "c", "."):
+        os.utime(root / n, (now, now))
+    signature = signature.withColumn("mtime", F.lit(now))
+    (root / "b/z.png").unlink()
+    media(root, "b/sub/v.png", "b/y.png")
+    (root / "b/y.png").write_bytes(b"longer than before")
+    (root / "a/x.png").write_bytes(b"edited in place, which folder times don't tell")
+    os.utime(root / "a", (now, now))
+    shutil.rmtree(root / "c")
+    version, stored = store.committed(spark, table)
+    quick = ingest.run_scan(stored, top, signature, now, now + 60, read, version=2)
+    store.write_version(quick.scan.files, table, version + 1)
+    store.commit(spark, table, version + 1)
+    _, stored = store.committed(spark, table)
+    before = {r["filename"]: r["id"] for r in first.scan.files.collect()}
+    got = {r["filename"]: (r["id"], r["note"], r["size"], r["reader_ver"]) for r in stored.collect()}
+    assert got == {"x.png": (before["x.png"], "mine", 7, 1), "y.png": (before["y.png"], "mine", 18, 2), "v.png": (5, None, 11, 2)}
+    assert quick.why_full is None and quick.last_full == now
+    assert {r["state"]: r["n"] for r in quick.scan.counters().where("state <> 'unchanged'").collect()} == {"new": 1, "changed": 1, "gone": 2}
+    full = ingest.run_scan(stored, top, quick.signature, now, now + 7 * 3600, read, version=3)
+    assert full.why_full == "last full walk 7.0h ago" and {r["filename"]: r["size"] for r in full.scan.files.collect()}["x.png"] == 46
+    shutil.rmtree(root)
+    lost = ingest.run_scan(stored, top, quick.signature, now, now + 60, read)
+    assert lost.scan.files.count() == 3 and ingest.run_scan(stored, top, None, now, now + 60, read).scan.files.count() == 3
+
+
+def test_counters_after_an_incomplete_walk_tell_of_nothing_gone(spark):
+    columns = "id long, path string, folder string, filename string, ext string, mtime double, size long, width int, duration double, group_id string"
+    stored = spark.createDataFrame([(7, "a", "f", "a", ".png", 1.0, 1, 5, None, "g1"), (9, "b", "f", "b", ".png", 1.0, 1, 5, None, "g1")], columns)
+    walked = spark.createDataFrame([("a", "f", "a", ".png", 2.0, 3, 6, None), ("c", "f", "c", ".png", 1.0, 1, 1, None)], columns.replace("id long, ", "", 1).replace(", group_id string", ""))
+    done = ingest.scan(stored, walked, lambda rows: rows.withColumn("error", F.lit(None).cast("string")), complete=False)
+    assert {r["state"]: r["n"] for r in done.counters().collect()} == {"changed": 1, "new": 1}
+    assert sorted((r["id"], r["path"], r["size"], r["width"], r["group_id"]) for r in done.files.collect()) == [(7, "a", 3, 6, "g1"), (9, "b", 1, 5, "g1"), (10, "c", 1, 1, None)]
