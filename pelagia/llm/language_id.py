@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,7 @@ from pelagia.llm.common import crc_remainder, table, written
 MAX_TRAIN_DOCS = 8_000
 MIN_LANG_DOCS = 200
 MEMO_CHARS = 40
+TEXTS_AT_ONCE = 64
 PIECE = 64
 NGRAM_LENGTHS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
@@ -68,13 +69,18 @@ class Table:
         np.add.at(matrix, (row, lang), n)
         self.logs = np.log(matrix / matrix.sum(axis=0)).astype(np.float32) if len(matrix) else matrix.astype(np.float32)
 
-    def rows(self, texts: list[str]) -> np.ndarray:
-        """Rows of those that are known."""
+    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's row, and whether it is known."""
+        asked = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in texts), np.uint64, len(texts)).view(np.int64)
         if not len(self.keys):
-            return np.zeros(0, np.int64)
-        asked = np.fromiter(map(key_of, texts), np.int64, len(texts))
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
         at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        return at[self.keys[at] == asked]
+        return at, self.keys[at] == asked
+
+    def rows(self, texts: list[str]) -> np.ndarray:
+        """Rows of those that are known."""
+        at, known = self.find(texts)
+        return at[known]
 
 
 class Model:
@@ -99,16 +105,26 @@ class Model:
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
-    def of_word(self, word: str) -> np.ndarray:
-        """A known word's log frequencies, else the mean of its n-grams of the first length of which any is known."""
-        if len(found := self.words.rows([word])):
-            return self.words.logs[found[0]]
-        marked = f"<{word}>"
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Known words' log frequencies, else the mean of the n-grams of the first length of which any is known."""
+        at, known = self.words.find(words)
+        logs = np.zeros((len(words), len(self.langs)), np.float32)
+        logs[known] = self.words.logs[at[known]]
+        open_ = np.flatnonzero(~known)
+        marked = [f"<{words[i]}>" for i in open_]
         for level, n in zip(self.grams, NGRAM_LENGTHS, strict=True):
-            found = level.rows([marked[i : i + n] for i in range(len(marked) - n + 1)])
-            if len(found):
-                return level.logs[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            if not marked:
+                break
+            counts = np.array([max(0, len(m) - n + 1) for m in marked])
+            at, hit = level.find([m[j : j + n] for m, k in zip(marked, counts.tolist(), strict=True) for j in range(k)])
+            owner, at = np.repeat(np.arange(len(marked)), counts)[hit], at[hit]
+            hits = np.bincount(owner, minlength=len(marked))
+            done = hits > 0
+            if done.any():
+                starts = np.concatenate(([0], np.cumsum(hits[done])[:-1]))
+                logs[open_[done]] = np.add.reduceat(level.logs[at], starts, axis=0) / hits[done][:, None]
+            open_, marked = open_[~done], [m for m, d in zip(marked, done.tolist(), strict=True) if not d]
+        return logs
 
 
 class Predictor:
@@ -119,34 +135,44 @@ class Predictor:
         self.logs = np.zeros((MEMO_ENTRIES, len(model.langs)), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text.lower()) if text else None
+        return self.many([text])[0]
+
+    def many(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; new words of TEXTS_AT_ONCE texts are looked up together."""
+        texts, out = list(texts), []
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            counted = [words_of(t.lower()) if t else Counter() for t in texts[start : start + TEXTS_AT_ONCE]]
+            if self.model.langs:
+                self._remember(counted)
+            out += map(self._of, counted)
+        return out
+
+    def _remember(self, counted: list[Counter]) -> None:
+        short = lambda: {w for words in counted for w in words if w not in self.memo and len(w) <= MEMO_CHARS}
+        fresh = short()
+        if len(self.memo) + len(fresh) > MEMO_ENTRIES:
+            self.memo.clear()
+            fresh = short()
+        fresh = list(fresh)[:MEMO_ENTRIES]  # the rest is looked up again where it stands
+        if fresh:
+            first = len(self.memo)
+            self.logs[first : first + len(fresh)] = self.model.of_words(fresh)
+            self.memo.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+
+    def _of(self, words: Counter) -> tuple[str, float]:
         if not words or not self.model.langs:
             return UNDETERMINED, 0.0
-        at = list(map(self.memo.get, words))
-        if None in at:
-            if len(self.memo) + at.count(None) > MEMO_ENTRIES:
-                self.memo.clear()
-                at = [None] * len(words)
-            at = [self._remembered(w) if r is None else r for w, r in zip(words, at, strict=True)]
+        at = np.fromiter((self.memo.get(w, -1) for w in words), np.int64, len(words))
         times = np.fromiter(words.values(), float, len(words))
-        if -1 in at:  # words too long, or too many, to be remembered
-            rest = [(w, n) for (w, n), r in zip(words.items(), at, strict=True) if r == -1]
-            here = np.array(at) >= 0
-            scores = times[here] @ self.logs[np.array(at)[here]] + sum(self.model.of_word(w) * n for w, n in rest)
-        else:
-            scores = times @ self.logs[at]
+        scores = times[at >= 0] @ self.logs[at[at >= 0]]
+        if (at < 0).any():
+            rest = [(w, n) for (w, n), r in zip(words.items(), at.tolist(), strict=True) if r < 0]
+            scores = scores + np.array([n for _, n in rest], float) @ self.model.of_words([w for w, _ in rest])
         best = int(np.argmax(scores))
         # the evidence of many words is not independent: its weight grows with the root of their number
         odds = np.exp((scores - scores[best]) / math.sqrt(words.total()))
         return self.model.langs[best], float(1 / odds.sum())
 
-    def _remembered(self, word: str) -> int:
-        if len(word) > MEMO_CHARS or len(self.memo) >= MEMO_ENTRIES:
-            return -1
-        row = self.memo[word] = len(self.memo)
-        self.logs[row] = self.model.of_word(word)
-        return row
-
 
 def fit(documents: DataFrame, training: Column | None = None, max_docs: int = MAX_TRAIN_DOCS, min_lang_docs: int = MIN_LANG_DOCS) -> Model:
     """Learns from the rows with a language and text that training (a condition) admits."""
@@ -193,7 +219,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(shared.value)
         for batch in batches:
-            found = [predict(t) for t in batch.column(1).to_pylist()]
+            found = predict.many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -207,7 +233,7 @@ def keep(documents: DataFrame, model: Model, min_score: float = 0.3) -> DataFram
     def recognised(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = Predictor(shared.value)
         for texts in batches:
-            found = [predict(t) for t in texts]
+            found = predict.many(texts)
             yield pd.Series([lang != UNDETERMINED and score >= min_score for lang, score in found], dtype=bool)
 
     return documents.where(recognised(F.coalesce(F.col("text").cast("string"), F.lit(""))))
