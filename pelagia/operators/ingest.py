@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
-from pelagia.functions import generation, graph, vocab
-from pelagia.operators import curate, store
+from pelagia.functions import generation, vocab
+from pelagia.operators import curate, store, workflow
 from pelagia.sources import containers, listing
 
 SAME_TIME = 1e-6
@@ -41,8 +41,9 @@ def file_facts(files: DataFrame, sidecars: DataFrame | None = None) -> DataFrame
     rows = files.drop("content").join(found, "path")
     rows = rows.join(sidecars.select("path", "sidecar"), "path", "left") if sidecars is not None else rows.withColumn("sidecar", F.lit(None).cast("string"))
     text = lambda *names: F.coalesce(*(F.try_element_at("texts", F.lit(n)) for n in names))
-    facts = graph.facts_of(text("prompt"), text("parameters", "comment", "©cmt"), F.col("sidecar"), F.col("filename"), text("vv_set_stage"))
-    rows = rows.withColumn("facts", facts).withColumn("song", F.when(C.is_kind(F.col("ext"), "audio"), generation.song_facts(F.col("facts.positive"))))
+    rows = store.written(rows, "files-found")
+    asked = rows.select("path", text("prompt").alias("graph"), text("parameters", "comment", "©cmt").alias("block"), "sidecar", "filename", text("vv_set_stage").alias("stage"))
+    rows = rows.join(workflow.file_facts(asked, "path"), "path").withColumn("song", F.when(C.is_kind(F.col("ext"), "audio"), generation.song_facts(F.col("facts.positive"))))
     has_meta = F.coalesce(F.col("facts.positive"), F.col("facts.model"), F.col("facts.model_name")).isNotNull()
     return rows.select(*(c for c in files.columns if c != "content"), F.col("file_width").alias("width"), F.col("file_height").alias("height"), "animated", "duration", "peaks", F.coalesce(text("vv_set_id"), F.lit("")).alias("set_id"), F.coalesce(text("vv_set_stage"), F.lit("")).alias("set_stage"), "facts.*", *(F.col(f"song.{c}").alias(f"song_{c}") for c in ("bpm", "key", "genre", "vocal")), C.name_from_filename(F.col("filename")).alias("song_name"), has_meta.cast("int").alias("has_meta"), "error")
 

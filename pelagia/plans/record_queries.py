@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
-from pelagia.functions import graph, settings_text
-from pelagia.operators import cards, curation, extensions, facets, ingest, records
+from pelagia.functions import settings_text
+from pelagia.operators import cards, curation, extensions, facets, ingest, records, workflow
 from pelagia.operators.catalog import media_view, read
 from pelagia.operators.filters import FilterSpec
 from pelagia.plans import sql
@@ -87,7 +87,8 @@ def workflows(files):
 def read_workflows(spark, sf_dir):
     """What each file's workflow says: its own saver's sampler, decoder and model, and the first stage's settings."""
     files = media_view(spark, sf_dir).where("trim(positive) <> ''")
-    rows = files.select("id", graph.facts_of(workflows(files), filename=F.col("filename")).alias("f"))
+    asked = files.select("id", workflows(files).alias("graph"), "filename", F.lit(None).cast("string").alias("stage"))
+    rows = workflow.facts(asked, "id").select("id", F.struct(*workflow.FACTS).alias("f"))
     loras = F.array_join(F.transform("f.loras", lambda x: F.concat_ws(":", x["name"], x["strength"].cast("string"))), ",")
     return rows.select("id", "f.positive", "f.negative", "f.model_name", "f.vae_name", loras.alias("loras"), "f.steps", "f.cfg", "f.sampler_name", "f.scheduler", F.col("f.seed").cast("string").alias("seed"), "f.method")
 
