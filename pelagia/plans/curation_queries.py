@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
 from pelagia.functions import vocab
-from pelagia.operators import curate, curation, facets, grouping
+from pelagia.operators import cull_runs, curate, curation, facets, grouping, store
 from pelagia.operators.catalog import media_view, read
 from pelagia.operators.filters import FilterSpec
 from pelagia.operators import filters
@@ -237,6 +237,35 @@ def set_cull(spark, sf_dir):
     return curation.cull_plan(files, anchor, "Final")
 
 
+DUPLICATES = """, w AS (SELECT id, count(*) AS weight FROM (SELECT image_id AS id FROM tags WHERE source IN ('user', 'fav') UNION ALL SELECT id FROM files WHERE trim(note) <> '' UNION ALL SELECT id FROM files WHERE reward IS NOT NULL) GROUP BY id),
+s AS (SELECT *, sum(step) OVER (PARTITION BY lower(filename), size ORDER BY mtime, id) AS run FROM (SELECT *, CASE WHEN mtime - lag(mtime) OVER (PARTITION BY lower(filename), size ORDER BY mtime, id) >= 1 THEN 1 ELSE 0 END AS step FROM copies)),
+owned AS (SELECT c.*, f.note FROM copies c JOIN files f USING (id)),
+pairs AS (SELECT set_id AS keeper, id AS doomed FROM (SELECT id, size, first_value(id) OVER (PARTITION BY lower(filename), size, run ORDER BY -coalesce(weight, 0), mtime, id) AS set_id FROM s LEFT JOIN w USING (id)) WHERE id <> set_id AND size <> 101)"""
+CULLED = "".join(x.replace(" files", " owned") for x in (UNITED, NOTES, SCORED))
+
+
+@query(cat(TAGS + COPIES + DUPLICATES + CULLED + """ SELECT part, id, value, score FROM (SELECT 'file' AS part, id, NULL AS value, NULL AS score FROM owned
+UNION ALL SELECT 'tag', image_id, tag || '|' || source, score FROM tags UNION ALL SELECT 'tag', image_id, tag || '|' || source, score FROM extra e WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.image_id = e.image_id AND t.tag = e.tag AND t.source = e.source)
+UNION ALL SELECT 'note', id, coalesce(m.note, o.note), NULL FROM owned o LEFT JOIN merged m USING (id)
+UNION ALL SELECT 'score', id, NULL, coalesce(o.reward, s.reward) FROM owned o LEFT JOIN scored s USING (id) WHERE o.reward IS NOT NULL OR s.reward IS NOT NULL) WHERE id NOT IN (SELECT doomed FROM pairs)"""))
+def cull_in_steps(spark, sf_dir):
+    """All sets of copies culled in four batches, stopped half-way and resumed; those of one size are taken back."""
+    files = media_view(spark, sf_dir)
+    quality = files.where("reward is not null").select(F.col("id").alias("image_id"), F.col("reward").cast("double").alias("reward"))
+    tables = {"files": copies(files), "tags": all_tags(files), "notes": files.select("id", "note"), "quality": quality}
+    sets = curation.duplicate_sets(tables["files"].drop("note"), curation.weights(tables["tags"], tables["notes"], quality))
+    folder, asked = store.shared_dir(spark, "cull-run"), iter((False, False, True))
+    cull_runs.start(spark, folder, sets, 4)
+    cull_runs.run(spark, folder, tables, lambda: next(asked))
+    cull_runs.run(spark, folder, tables)
+    cull_runs.undo(spark, folder, sets.where("keep and size = 101").select(F.col("set_id").alias("set")))
+    out, nothing, none = cull_runs.result(spark, folder, tables), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("score")
+    rows = out["files"].select(F.lit("file").alias("part"), "id", nothing, none)
+    rows = rows.union(out["tags"].select(F.lit("tag"), F.col("image_id"), F.concat_ws("|", "tag", "source"), F.col("score")))
+    rows = rows.union(out["notes"].select(F.lit("note"), F.col("id"), F.col("note"), none))
+    return rows.union(out["quality"].select(F.lit("score"), F.col("image_id"), nothing, F.col("reward")))
+
+
 @query(cat(COPIES + " SELECT a.id AS keep_id, b.id AS copy_id FROM copies a JOIN copies b ON a.filename = b.filename AND a.size = b.size AND abs(a.mtime - b.mtime) < 1 AND a.id <> b.id AND b.folder <> 'f1' WHERE a.folder = 'f1'"))
 def folder_copies(spark, sf_dir):
     return curation.folder_copies(copies(media_view(spark, sf_dir)).withColumn("root_id", F.lit("r")), "r", "f1")
