@@ -102,11 +102,6 @@ def pending_deletes(requests: DataFrame, delay_ms: int = 5000, retention_ms: int
     return requests.groupBy("id").applyInPandasWithState(decide, "id long, action string", "pending int, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def presence(beats: DataFrame, key: str, stamp: str, grace: str = "15 seconds", lateness: str = "3 minutes") -> DataFrame:
-    """(key, start, end, n): spans in which a client's beats came within the grace of each other."""
-    return sessions(beats, key, stamp, grace, lateness).select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
-
-
 class Progress(StreamingQueryListener):
     """What running queries have done so far, by name or id: batches and rows, and how they ended."""
 
