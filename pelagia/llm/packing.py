@@ -261,4 +261,4 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"))
