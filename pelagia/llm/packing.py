@@ -94,18 +94,23 @@ def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: in
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     ranks_path = None if tokenizer_path else public_tokenizers.path(RANKS)
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ENCODERS.get(path) or Encoder(path, ranks_path)
         _ENCODERS[path] = encode
         row = TaskContext.get().partitionId() << 40
-        rows, held = [], 0
+        rows, parts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                parts.clear()
+            out = pa.RecordBatch.from_arrays(columns, names)
             rows.clear()
             held = 0
             return out
@@ -117,7 +122,9 @@ def pieces(documents: DataFrame, tokenizer_path: str | None = None, capacity: in
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = data[4 * a : 4 * b]
-                    rows.append((row, doc_id, i, a, b - a, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
+                    rows.append((row, doc_id, i, a, b - a, zlib.crc32(part)))
+                    if with_ids:
+                        parts.append(part)
                     row, held = row + 1, held + b - a
                     if held >= BATCH_TOKENS:
                         yield flush()
@@ -256,7 +263,8 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
         return pd.DataFrame({"sequence_id": sequences[i] + (key - keys[i]), "offset": offsets[i]})
 
     placed = ranked.withColumn("place", place("length", "rank"))
-    placed = placed.join(parts.select("row", "ids"), "row") if with_ids else placed
+    # places are a hundredth of the ids, which so needn't be sorted
+    placed = placed.hint("shuffle_hash").join(parts.select("row", "ids"), "row") if with_ids else placed
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("place.sequence_id").alias("sequence_id"), F.col("place.offset").alias("offset"), *["ids"] * with_ids)
 
 
