@@ -68,10 +68,15 @@ def gap_clusters(rows: DataFrame, keys: list[str], stamp: Column, gap: float) ->
 
 
 def band_pairs(anchor: DataFrame, others: DataFrame, keys: list[str], stamp: str, gap: float, id_column: str) -> DataFrame:
-    """(anchor, copy) pairs that share the keys and lie within the gap: an equi-join with a range condition."""
-    a = anchor.select(*keys, F.col(id_column).alias("keep_id"), F.col(stamp).alias("keep_stamp"))
-    b = others.select(*keys, F.col(id_column).alias("copy_id"), F.col(stamp).alias("copy_stamp"))
-    return a.join(b, keys).where((F.abs(F.col("keep_stamp") - F.col("copy_stamp")) < gap) & (F.col("keep_id") != F.col("copy_id"))).select("keep_id", "copy_id")
+    """(anchor, copy) pairs that share the keys and lie within the gap; null keys and times are in none.
+
+    Rows meet by key and by cell of two gaps of time, to which each anchor looks one back and one ahead, so a frequent key is
+    dealt over its cells and only rows near in time are compared.
+    """
+    cell = F.floor(F.col(stamp) / (2 * gap))
+    a = anchor.select(*keys, F.col(id_column).alias("keep_id"), F.col(stamp).alias("keep_stamp"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("band_cell"))
+    b = others.select(*keys, F.col(id_column).alias("copy_id"), F.col(stamp).alias("copy_stamp"), cell.alias("band_cell"))
+    return a.join(b, [*keys, "band_cell"]).where((F.abs(F.col("keep_stamp") - F.col("copy_stamp")) < gap) & (F.col("keep_id") != F.col("copy_id"))).select("keep_id", "copy_id")
 
 
 def merge_notes(rows: DataFrame, key: str, order: list[str], note: str, separator: str) -> DataFrame:

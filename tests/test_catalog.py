@@ -180,3 +180,14 @@ def test_gaps_are_those_between_neighbours(spark):
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k string, t double")
     got = {r["id"]: r["cluster"] for r in curate.gap_clusters(table, ["k"], F.col("t"), 1.0).collect()}
     assert [got[i] for i in range(13)] == [0, 0, 0, 1, 1, 0, 0, 1, 0, 1, 0, 0, 0]
+
+
+def test_band_pairs_of_a_frequent_key_are_those_near_in_time(spark):
+    times = [-2.1, -2.0, -1.9, -1.05, -1.0, -0.95, -0.05, 0.0, 0.1, 0.1, 0.95, 1.0, 1.0999999, 1.1, 2.0, 2.9, 3.0, 3.05, None, float("nan")]
+    rows = [(i, "hot" if i != 8 else None, t) for i, t in enumerate(times)]
+    table = spark.createDataFrame(rows, "id long, k string, t double")
+    anchors = table.where("id % 3 = 0 or id in (8, 11)")
+    for gap in (1.0, 0.1, 30.0):
+        found = sorted(map(tuple, curate.band_pairs(anchors, table, ["k"], "t", gap, "id").collect()))
+        near = lambda x, y: x[1] == y[1] == "hot" and x[2] is not None and y[2] is not None and abs(x[2] - y[2]) < gap and x[0] != y[0]  # noqa: B023, E731
+        assert found == [(x[0], y[0]) for x in rows if x[0] % 3 == 0 or x[0] in (8, 11) for y in rows if near(x, y)]
