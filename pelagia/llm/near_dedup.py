@@ -39,7 +39,7 @@ WORDS = 5
 PERCENT = 75
 TREES, LEVELS = 12, 3
 NODE_LIMIT = 64
-BLOCK = 1024
+BLOCK = 4096
 CLUSTER_BLOCK = 512
 MAP_BITS = 1 << 27
 SLOTS = 128
@@ -307,6 +307,13 @@ def _leaves(reps: DataFrame) -> DataFrame:
     return ready
 
 
+def _joined(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The distinct rows (meet, rep, ...) with the columns of others: these are joined once for each rep, however often it meets."""
+    meetings = F.struct(*(c for c in rows.columns if c != "rep"))
+    once = rows.groupBy("rep").agg(F.collect_set(meetings).alias("meetings")).join(others, "rep")
+    return once.select("rep", *(c for c in others.columns if c != "rep"), F.explode("meetings").alias("m")).select("m.*", "rep", *(c for c in others.columns if c != "rep"))
+
+
 def _compare(rows: DataFrame, compare) -> DataFrame:
     """Edges of the groups with equal meet, each compared in one task."""
     return rows.repartition("meet").sortWithinPartitions("meet", "rep").mapInArrow(lambda batches: _edges_of(batches, compare), EDGES)
@@ -315,8 +322,7 @@ def _compare(rows: DataFrame, compare) -> DataFrame:
 def _in_nodes(leaves: DataFrame, reps: DataFrame) -> DataFrame:
     """Likely edges inside leaves; those of more than BLOCK documents are dealt to blocks at random."""
     meet = F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / BLOCK)))
-    meets = leaves.select("rep", meet.alias("meet")).groupBy("rep").agg(F.collect_set("meet").alias("meets"))  # at most one for each path
-    return _compare(meets.join(reps.select("rep", "n_shingles", "sketch"), "rep").select(F.explode("meets").alias("meet"), "rep", "n_shingles", "sketch"), _likely)
+    return _compare(_joined(leaves.select("rep", meet.alias("meet")), reps.select("rep", "n_shingles", "sketch")), _likely)  # at most one row for each path
 
 
 def _across(rows: DataFrame, block: int) -> DataFrame:
@@ -355,7 +361,7 @@ def _maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 def _with_texts(rows: DataFrame, documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where(F.col("rep").isNotNull() & F.col("text").isNotNull())
-    return _maybe_in(texts, rows.select("rep").distinct(), "rep").join(rows, "rep")
+    return _joined(rows, _maybe_in(texts, rows.select("rep").distinct(), "rep"))
 
 
 def _confirmed_parents(edges: DataFrame, documents: DataFrame) -> DataFrame:
@@ -367,7 +373,7 @@ def _confirmed_parents(edges: DataFrame, documents: DataFrame) -> DataFrame:
     children = written(best.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "near-children")  # so that a hot parent can be split
     dealt = best.join(children, "a").select("a", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CLUSTER_BLOCK))).alias("meet"), "b")
     ends = dealt.select("meet", F.lit(1).alias("kind"), F.col("b").alias("rep")).union(dealt.select("meet", F.lit(0), F.col("a")).distinct())
-    rows = _with_texts(written(ends, "near-parents"), documents).select("meet", "kind", "rep", "text")
+    rows = _with_texts(written(ends, "near-parents"), documents)
     return rows.repartition("meet").sortWithinPartitions("meet", "kind", "rep").mapInArrow(_confirmed, EDGES)
 
 
@@ -380,20 +386,23 @@ def links(reps: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, component) of all ids that have links, from candidates to confirmed classes.
 
     Likely edges inside leaves give candidates; the likeliest edge of each document is confirmed on full sets,
-    which settles groups of copies at the cost of their size. Only then do blocks of large leaves meet, and
-    then documents of one candidate class, each time without those that are known to hang together.
+    which settles groups of copies at the cost of their size. Only then do blocks of large leaves meet, without
+    documents of one candidate class, as these meet next: documents of one class, each time without those that are known
+    to hang together.
     """
     leaves = _leaves(reps)
     likely = written(_in_nodes(leaves, reps), "near-likely")
     parents = written(_confirmed_parents(likely, documents), "near-parent-links")
     found = components(parents.select("a", "b"), "near-found")
+    classes = components(likely.select("a", "b"), "near-candidates")  # parents are among these edges
     large = leaves.where(F.col("n") > BLOCK).select(F.col("node").alias("key"), "rep").distinct()
-    meeting = _across(written(_known(large, found), "near-large"), BLOCK).join(reps.select("rep", "n_shingles", "sketch"), "rep").select("meet", "rep", "n_shingles", "sketch", "sub", "side")
+    meeting = _joined(_across(written(_known(large, classes), "near-large"), BLOCK), reps.select("rep", "n_shingles", "sketch"))
     more = written(_compare(meeting, _likely), "near-more")
-    classes = components(likely.select("a", "b").union(more.select("a", "b")).union(parents.select("a", "b")), "near-candidates")
+    if not more.isEmpty():
+        classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")), "near-candidates")
     unsettled = written(_known(classes.select(F.col("component").alias("key"), F.col("id").alias("rep")), found), "near-classes")
     rest = written(_across(unsettled, CLUSTER_BLOCK), "near-unsettled")
-    last = written(_compare(_with_texts(rest, documents).select("meet", "rep", "text", "sub", "side"), _linked), "near-last")
+    last = written(_compare(_with_texts(rest, documents), _linked), "near-last")
     if last.isEmpty():
         return found
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last.select("a", "b")), "near-links")

@@ -89,6 +89,26 @@ def test_large_nodes_branch_and_meet_in_blocks(spark, monkeypatch):
     assert got == {0}
 
 
+def test_documents_of_one_class_do_not_meet_in_large_leaves(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE_LIMIT", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    across, met = near_dedup._across, {}
+
+    def counted(rows, block):
+        out = across(rows, block)
+        met.setdefault(block, (rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", counted)
+    base = [f"w{i}" for i in range(120)]
+    loose = lambda i: [f"x{i}_{k}" if (k + i) % 24 == 0 else w for k, w in enumerate(base)]  # noqa: E731  alike, but with few links
+    rows = [(i, " ".join(loose(i))) for i in range(60)] + [(100 + i, " ".join([*loose(i), f"y{i}"])) for i in range(60)]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == linked_classes(rows)
+    leaves, meetings = met[16]
+    assert leaves > 500 and meetings <= leaves / 4, met
+
+
 def brute_vectors(rows):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, pairs = Counter(), []
