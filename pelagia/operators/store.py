@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Written in buckets by a key, so that what meets or is grouped by it (see local_joins) is not moved again.
+
+    Rows stay in their tasks: df is to be dealt by the key already (repartition(buckets, key)), else files are many.
+    """
+    spark, table = df.sparkSession, f"pelagia_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", shared_dir(spark, name)).option("compression", "zstd").saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    return out
+
+
+@contextmanager
+def local_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that run meanwhile move nothing where one of their keys deals both sides alike."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_version(table: DataFrame, folder: str, version: int) -> DataFrame:
     """table written as a version of its own and read back; older versions stay readable."""
     path = f"{folder.rstrip('/')}/v{version:09d}"

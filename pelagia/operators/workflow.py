@@ -5,6 +5,9 @@ All walks of all graphs (to the sampler, the model, the prompt, a number behind
 joins the nodes that were reached with the links that leave them and keeps the least way to each. Way lengths
 are costs first, then the ranks of the links in their order, so the nearest or the first in depth is the least.
 Rounds end when no way gets shorter; a cycle never shortens one. Damaged or cyclic graphs give less, never an error.
+
+Graphs are dealt over buckets once, and everything that is written between steps stays in its graph's bucket: a round
+reads and writes buckets, and moves nothing. Walks carry names of nodes; texts are read only where one is asked for.
 """
 
 from __future__ import annotations
@@ -42,12 +45,21 @@ NUMBERS, NAMES = ("steps", "cfg", "seed", "noise_seed"), ("sampler_name", "sched
 AUDIO_FILES, VIDEO_FILES = (".mp3", ".flac", ".wav", ".opus", ".m4a", ".ogg", ".aac"), (".mp4", ".mov", ".m4v", ".webm", ".mkv", ".avi", ".gif")
 PAYLOAD, RELAY, OTHER, OFF_BRANCH = 0, 2, 8, 40
 ROUNDS, COST, GUIDER_HOPS = 64, 400, 3
+BUCKET_CHARS = 32 << 20
 
 WAY = "array<struct<rank:int,key:string,node:string>>"
 STATE = ["g", "walk", "start", "key", "node", "value"]
 NUMERIC = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def kept(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    return store.bucketed(rows, name, "g", buckets)
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "g")
+
+
 def first(found: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
@@ -143,30 +155,37 @@ def edge(walk: str, rank: Column, value: Column, cost: Column | None = None) ->
     return F.struct(F.lit(walk).alias("walk"), rank.cast("int").alias("rank"), (F.lit(0) if cost is None else cost).cast("int").alias("cost"), value.cast("string").alias("found"))
 
 
-def reach(starts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame, buckets: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """(g, walk, start, key, node, value, order): the first value that each start comes to, by least cost and way.
 
-    edges (g, walk, node, to, key, rank, cost, found): a link with a found value ends the way.
+    edges (g, walk, node, to, key, rank, cost, found): a link with a found value ends the way. A round's rows are all that
+    was reached; each new one gives itself and what its links lead to, so old and new ways meet in one aggregation.
     """
-    moves = edges.select("g", "walk", "node", "to", F.col("key").alias("by"), "rank", F.col("cost").alias("more"), "found")
-    fresh = store.written(starts.groupBy(*STATE).agg(F.min("order").alias("order")), "graph-starts")
-    seen = fresh
+    link = F.struct("to", F.col("key").alias("by"), F.col("rank").cast("int").alias("rank"), F.col("cost").cast("int").alias("more"), "found")
+    moves = kept(edges.groupBy("g", "walk", "node").agg(F.collect_list(link).alias("links")), "graph-moves", buckets)
+    state = kept(dealt(starts, buckets).groupBy(*STATE).agg(F.min("order").alias("order")).withColumn("fresh", F.lit(True)), "graph-starts", buckets)
+    going = F.col("fresh") & F.col("value").isNull()
     for _ in range(rounds):
-        if fresh.isEmpty():
+        if state.where(going).isEmpty():
             break
-        way = F.concat("order.way", F.array(F.struct(F.col("rank").cast("int").alias("rank"), F.col("by").alias("key"), F.col("to").alias("node"))))
-        steps = fresh.where("value is null").join(moves, ["g", "walk", "node"])
-        steps = steps.select("g", "walk", "start", "key", F.col("to").alias("node"), F.col("found").alias("value"), F.struct((F.col("order.cost") + F.col("more")).cast("int").alias("cost"), way.alias("way")).alias("order"))
-        steps = steps.where((F.col("order.cost") <= COST) & ((F.col("walk") != "guider") | (F.size("order.way") <= GUIDER_HOPS)))
-        both = seen.withColumn("is_new", F.lit(False)).unionByName(steps.withColumn("is_new", F.lit(True))).groupBy(*STATE)
-        least = both.agg(F.min(F.when(~F.col("is_new"), F.col("order"))).alias("old"), F.min(F.when(F.col("is_new"), F.col("order"))).alias("order"))
-        fresh = store.written(least.where("order is not null and (old is null or order < old)").select(*STATE, "order"), "graph-round")
-        seen = seen.unionByName(fresh)
-    ends = seen.where("value is not null").groupBy("g", "walk", "start", "key").agg(F.min_by(F.struct("node", "value", "order"), "order").alias("end"))
-    return store.written(ends.select("g", "walk", "start", "key", "end.*"), "graph-ends")
-
-
-def structure(nodes: DataFrame, links: DataFrame, savers: DataFrame) -> DataFrame:
+        own = F.struct("node", "value", "order", F.lit(False).alias("is_new"))
+
+        def step(x: Column) -> Column:
+            way = F.concat("order.way", F.array(F.struct(x["rank"].alias("rank"), x["by"].alias("key"), x["to"].alias("node"))))
+            order = F.struct((F.col("order.cost") + x["more"]).cast("int").alias("cost"), way.alias("way"))
+            return F.struct(x["to"].alias("node"), x["found"].alias("value"), order.alias("order"), F.lit(True).alias("is_new"))
+
+        steps = F.filter(F.transform("links", step), lambda x: (x["order"]["cost"] <= COST) & ((F.col("walk") != "guider") | (F.size(x["order"]["way"]) <= GUIDER_HOPS)))
+        led = F.when(going & F.col("links").isNotNull(), F.concat(F.array(own), steps)).otherwise(F.array(own))
+        rows = state.join(moves, ["g", "walk", "node"], "left").select("g", "walk", "start", "key", F.explode(led).alias("s")).select("g", "walk", "start", "key", "s.*")
+        old, new = (F.min(F.when(F.col("is_new") == is_new, F.col("order"))) for is_new in (False, True))
+        least = rows.groupBy(*STATE).agg(old.alias("old"), new.alias("new")).withColumn("fresh", F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old"))))
+        state = kept(least.select(*STATE, F.when(F.col("fresh"), F.col("new")).otherwise(F.col("old")).alias("order"), "fresh"), "graph-round", buckets)
+    ends = state.where("value is not null").groupBy("g", "walk", "start", "key").agg(F.min_by(F.struct("node", "value", "order"), "order").alias("end"))
+    return kept(ends.select("g", "walk", "start", "key", "end.*"), "graph-ends", buckets)
+
+
+def structure(nodes: DataFrame, links: DataFrame, savers: DataFrame, buckets: int = 1) -> DataFrame:
     """All walks that need no text: sampler, feeding sampler, guider, model, decoder's model, numbers and names."""
     node, no = F.col("node"), F.lit(None).cast("string")
     samplers = nodes.where("samples")
@@ -183,11 +202,27 @@ def structure(nodes: DataFrame, links: DataFrame, savers: DataFrame) -> DataFram
         edge("guider", place(key, GUIDER_KEYS), F.when(F.col("to_guide"), F.col("to"))), edge("number", F.col("i"), F.col("number")), edge("name", F.col("i"), F.col("name")),
     )
     edges = links.select("g", "node", "to", "key", F.explode(F.filter(moves, lambda m: m["rank"].isNotNull())).alias("m")).select("g", "node", "to", "key", "m.*")
-    return reach(reduce(DataFrame.unionByName, starts), edges)
+    return reach(reduce(DataFrame.unionByName, starts), edges, buckets)
+
+
+def led_to(asked: DataFrame, refs: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
+    """(g, node, asked): the asked nodes (g, node) and all that they refer to by refs (g, node, refs array)."""
+    node, asks = F.col("node"), F.col("asked")
+    state = kept(dealt(asked, buckets).select("g", "node").distinct().withColumn("asked", F.lit(True)).withColumn("fresh", F.lit(True)), "texts-asked", buckets)
+    for _ in range(rounds):
+        if state.where("fresh").isEmpty():
+            break
+        own = F.array(F.struct(node.alias("node"), asks.alias("asked"), F.lit(False).alias("is_new")))
+        theirs = F.transform("refs", lambda r: F.struct(r.alias("node"), F.lit(False).alias("asked"), F.lit(True).alias("is_new")))
+        led = F.when(F.col("fresh") & F.col("refs").isNotNull(), F.concat(own, theirs)).otherwise(own)
+        rows = state.join(refs, ["g", "node"], "left").select("g", F.explode(led).alias("s")).select("g", "s.*")
+        state = kept(rows.groupBy("g", "node").agg(F.max("asked").alias("asked"), F.min("is_new").alias("fresh")), "texts-asked", buckets)
+    return state.select("g", "node", "asked")
 
 
-def texts_of(nodes: DataFrame, walks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(g, node, text): the text that a link to a node gives. Switches, joins and replacements are carried out.
+def texts_of(nodes: DataFrame, walks: DataFrame, buckets: int = 1, asked: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(g, node, text): the text that a link to a node gives; of asked nodes (g, node), if these are given, else of all.
+    Switches, joins and replacements are carried out.
 
     From the leaves up: each round settles the nodes whose sources are settled. What hangs on a cycle reads it as blank.
     """
@@ -211,31 +246,40 @@ def texts_of(nodes: DataFrame, walks: DataFrame, rounds: int = ROUNDS) -> DataFr
     find = F.coalesce(*(F.when(has(vals, k), F.coalesce(val(vals, k)["str"], F.lit(""))) for k in ("find", "find1")), F.lit(""))
     put = F.coalesce(*(F.when(has(vals, k), F.coalesce(val(vals, k)["str"], F.lit(""))) for k in ("replace", "replace1")), F.lit(""))
     rule = F.struct(how.alias("how"), between.alias("between"), (F.coalesce(val(vals, "clean_whitespace")["str"], F.lit("")) == "true").alias("clean"), find.alias("find"), put.alias("put"))
-    rows = n.select("g", "node", rule.alias("rule"), F.posexplode_outer(parts).alias("j", "p"))
-    def settled(parts: DataFrame) -> DataFrame:
-        whole = parts.groupBy("g", "node").agg(F.first("rule").alias("rule"), F.array_sort(F.collect_list(F.struct("j", "ref", "text"))).alias("items")).withColumn("texts", F.transform("items", lambda x: x["text"]))
-        telling = F.try_element_at(F.filter("texts", lambda t: t.isNull() | (t != "")), F.lit(1))
-        all_known = ~F.exists("texts", lambda t: t.isNull())
-        rule_ = F.col("rule")
-        kept = F.transform(F.filter("texts", lambda t: F.trim(t) != ""), lambda t: F.when(rule_["clean"], F.trim(t)).otherwise(t))
-        source = first(F.col("texts"))
-        value = F.when(rule_["how"] == "join", F.when(all_known, F.call_function("array_join", kept, rule_["between"]))).when(rule_["how"] == "replace", F.when(rule_["find"] == "", source).otherwise(F.replace(source, rule_["find"], rule_["put"])))
-        blank = F.when(F.size(F.filter("texts", lambda t: t.isNull() | (t != ""))) == 0, "")
-        return whole.select("g", "node", "rule", "items", value.when(rule_["how"] == "first", F.coalesce(telling, blank)).alias("text"))
-
-    state = store.written(settled(rows.select("g", "node", "rule", "j", F.col("p.to").alias("ref"), F.when(F.col("p.to").isNull(), F.coalesce("p.str", F.lit(""))).alias("text"))), "text-round")
-    left = lambda rows: rows.where("text is null").select("g", "node", "rule", F.explode("items").alias("p")).select("g", "node", "rule", "p.*")
-    fresh = done = state.where("text is not null").select("g", "node", "text")
+    item = lambda p, j: F.struct(j.alias("j"), p["to"].alias("ref"), F.when(p["to"].isNull(), F.coalesce(p["str"], F.lit(""))).alias("text"))
+    none = F.struct(F.lit(0).alias("j"), F.lit(None).cast("string").alias("ref"), F.lit("").alias("text"))
+    rows = n.select("g", "node", rule.alias("rule"), F.when(F.size(parts) > 0, F.transform(parts, item)).otherwise(F.array(none)).alias("items"))
+    if asked is None:
+        rows = rows.withColumn("asked", F.lit(True))
+    else:
+        refs = kept(rows.select("g", "node", F.filter(F.transform("items", lambda x: x["ref"]), lambda r: r.isNotNull()).alias("refs")).where(F.size("refs") > 0), "text-refs", buckets)
+        rows = rows.join(led_to(asked, refs, buckets, rounds), ["g", "node"])
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """rows (g, node, asked, rule, items) with the text of those whose items tell it."""
+        rule_, texts = F.col("rule"), F.transform("items", lambda x: x["text"])
+        telling = F.try_element_at(F.filter(texts, lambda t: t.isNull() | (t != "")), F.lit(1))
+        all_known = ~F.exists(texts, lambda t: t.isNull())
+        told = F.transform(F.filter(texts, lambda t: F.trim(t) != ""), lambda t: F.when(rule_["clean"], F.trim(t)).otherwise(t))
+        source = first(texts)
+        value = F.when(rule_["how"] == "join", F.when(all_known, F.call_function("array_join", told, rule_["between"]))).when(rule_["how"] == "replace", F.when(rule_["find"] == "", source).otherwise(F.replace(source, rule_["find"], rule_["put"])))
+        blank = F.when(F.size(F.filter(texts, lambda t: t.isNull() | (t != ""))) == 0, "")
+        out = rows.withColumn("text", F.coalesce("text", value.when(rule_["how"] == "first", F.coalesce(telling, blank))))
+        return out.withColumn("items", F.when(F.col("text").isNull(), F.col("items")))
+
+    state = kept(settled(rows.withColumn("text", F.lit(None).cast("string"))).withColumn("fresh", F.col("text").isNotNull()), "text-round", buckets)
     for _ in range(rounds):
-        if fresh.isEmpty():
+        if state.where("fresh").isEmpty() or state.where("text is null").isEmpty():
             break
-        theirs = done.select("g", F.col("node").alias("ref"), F.col("text").alias("read"))
-        read = left(state).join(theirs, ["g", "ref"], "left").select("g", "node", "rule", "j", "ref", F.coalesce("text", "read").alias("text"))
-        state = store.written(settled(read), "text-round")
-        fresh = state.where("text is not null").select("g", "node", "text")
-        done = done.unionByName(fresh)
-    rest = settled(left(state).withColumn("text", F.coalesce("text", F.lit("")))).select("g", "node", "text")
-    return store.written(done.unionByName(rest), "texts")
+        theirs = state.where("fresh").select("g", F.col("node").alias("ref"), F.col("text").alias("read"))
+        left = state.where("asked or text is null").select("g", "node", "asked", "rule", F.col("text").alias("own"), F.explode_outer("items").alias("p")).select("g", "node", "asked", "rule", "own", "p.*")
+        read = left.join(theirs, ["g", "ref"], "left").groupBy("g", "node").agg(
+            F.max("asked").alias("asked"), F.first("rule").alias("rule"), F.first("own").alias("text"), F.array_sort(F.collect_list(F.struct("j", "ref", F.coalesce("text", "read").alias("text")))).alias("items")
+        )
+        before = F.col("text").isNotNull()
+        state = kept(settled(read.withColumn("before", before)).withColumn("fresh", ~F.col("before") & F.col("text").isNotNull()).drop("before"), "text-round", buckets)
+    rest = state.where("asked").withColumn("items", F.transform("items", lambda x: F.struct(x["j"].alias("j"), x["ref"].alias("ref"), F.coalesce(x["text"], F.lit("")).alias("text"))))
+    return settled(rest).select("g", "node", "text")
 
 
 def savers_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -285,7 +329,7 @@ def knobs_of(nodes: DataFrame, links: DataFrame, walks: DataFrame, prompts: Data
     return out.select("g", whole("steps").try_cast("int").alias("steps"), F.col("cfg").try_cast("double").alias("cfg"), "sampler_name", "scheduler", whole("seed").alias("seed"))
 
 
-def prompts_of(nodes: DataFrame, links: DataFrame, walks: DataFrame, said: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prompts_of(nodes: DataFrame, links: DataFrame, walks: DataFrame, said: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Where the conditioning of each sampler leads, key positive or negative; and (g, node, encoded) of encoders."""
     t = lambda k: F.try_element_at("said", F.lit(k))
     pair = F.when(F.coalesce(t("text_l"), F.lit("")).isin("") | (t("text_l") == t("text_g")), t("text_g")).otherwise(F.concat_ws("\n", t("text_g"), t("text_l")))
@@ -293,7 +337,7 @@ def prompts_of(nodes: DataFrame, links: DataFrame, walks: DataFrame, said: DataF
     encodes = any_of(F.col("low"), "textencode", "cliptext") | has(F.col("vals"), "text_g", "wildcard_text")
     shown = F.when(F.col("kind") == "ConditioningZeroOut", "").when(encodes & (encoded != ""), encoded)
     encoders = nodes.join(said, ["g", "node"], "left").select("g", "node", "at", "kind", encoded.alias("encoded"), shown.alias("shown"))
-    there = encoders.select("g", F.col("node").alias("to"), "shown")
+    there = encoders.select("g", F.col("node").alias("to"), F.when(F.col("shown").isNotNull(), "@").alias("shown"))  # the walk carries no texts
     turn = F.coalesce(place(F.col("key"), PROMPT_KEYS), F.lit(99))
     edges = links.where(~F.col("key").isin(*NO_PROMPT_KEYS)).join(there, ["g", "to"]).select("g", F.lit("prompt").alias("walk"), "node", "to", "key", turn.alias("rank"), F.lit(0).alias("cost"), F.col("shown").alias("found"))
     asked = walks.where("walk = 'guider'").select("g", F.col("start").alias("sampler"), F.col("value").alias("node")).join(nodes.select("g", "node", "vals"), ["g", "node"])
@@ -301,24 +345,31 @@ def prompts_of(nodes: DataFrame, links: DataFrame, walks: DataFrame, said: DataF
     two = has(vals, "positive", "negative")
     sides = F.array(F.struct(F.lit("positive").alias("side"), F.when(two, val(vals, "positive")).otherwise(val(vals, "conditioning")).alias("v")), F.struct(F.lit("negative").alias("side"), F.when(two, val(vals, "negative")).alias("v")))
     ask = asked.select("g", "sampler", F.explode(sides).alias("s")).select("g", "sampler", "s.side", F.col("s.v.str").alias("str"), F.col("s.v.to").alias("to")).where("str is not null or to is not null").join(there, ["g", "to"], "left")
-    return reach(ask.select(*start("prompt", F.col("sampler"), F.coalesce("to", F.lit("")), F.coalesce("str", "shown"), F.col("side"))), edges), encoders
+    ends = reach(ask.select(*start("prompt", F.col("sampler"), F.coalesce("to", F.lit("")), F.coalesce(F.concat(F.lit("="), "str"), "shown"), F.col("side"))), edges, buckets)
+    read = ends.join(encoders.select("g", "node", "shown"), ["g", "node"], "left").withColumn("value", F.when(F.col("value") == "@", F.col("shown")).otherwise(F.substring("value", 2, 1 << 30)))
+    return read.drop("shown"), encoders
+
+
+def graph_facts(graphs: DataFrame, buckets: int) -> DataFrame:
+    """graphs (g, graph; dealt over the buckets): a row for each graph with nodes, with what holds for all of its files and what its savers and samplers have."""
+    with store.local_joins(graphs.sparkSession):
+        return _graph_facts(graphs, buckets)
 
 
-def graph_facts(graphs: DataFrame) -> DataFrame:
-    """graphs (g, graph): a row for each graph with nodes, with what holds for all of its files and what its savers and samplers have."""
-    nodes = store.written(nodes_of(graphs), "graph-nodes")
-    links = store.written(links_of(nodes), "graph-links")
-    savers = store.written(savers_of(nodes, links), "graph-savers")
-    walks = structure(nodes, links, savers)
-    texts = texts_of(nodes, walks)
+def _graph_facts(graphs: DataFrame, buckets: int) -> DataFrame:
+    nodes = kept(nodes_of(graphs), "graph-nodes", buckets)
+    links = kept(links_of(nodes), "graph-links", buckets)
+    savers = kept(savers_of(nodes, links), "graph-savers", buckets)
+    walks = structure(nodes, links, savers, buckets)
     wanted = ("text", "text_g", "text_l", "wildcard_text", "caption", "style", "lyrics")
     named = nodes.select("g", "node", F.explode("vals").alias("v")).where(F.col("v.key").isin(*wanted) | F.col("v.low").isin(*FILE_KEYS)).select("g", "node", "v.key", "v.low", "v.str", F.col("v.to").alias("to"))
+    texts = texts_of(nodes, walks, buckets, named.where("to is not null").select("g", F.col("to").alias("node")))
     named = named.join(texts.withColumnRenamed("node", "to"), ["g", "to"], "left").select("g", "node", "key", "low", F.coalesce("str", "text", F.lit("")).alias("text"))
-    said = store.written(named.groupBy("g", "node").agg(F.map_from_entries(F.collect_list(F.when(F.col("key").isin(*wanted), F.struct("key", "text")))).alias("said"), F.collect_list(F.when(F.col("low").isin(*FILE_KEYS) & (F.trim("text") != ""), F.col("text"))).alias("names")), "graph-said")
-    prompts, encoders = prompts_of(nodes, links, walks, said)
+    said = kept(named.groupBy("g", "node").agg(F.map_from_entries(F.collect_list(F.when(F.col("key").isin(*wanted), F.struct("key", "text")))).alias("said"), F.collect_list(F.when(F.col("low").isin(*FILE_KEYS) & (F.trim("text") != ""), F.col("text"))).alias("names")), "graph-said", buckets)
+    prompts, encoders = prompts_of(nodes, links, walks, said, buckets)
 
-    kept = nodes.where(F.col("low").contains("lora") & (F.trim(val(F.col("vals"), "text")["str"]) != "")).groupBy("g").agg(F.collect_set(F.trim(val(F.col("vals"), "text")["str"])).alias("kept"))
-    own = prompts.join(kept, "g", "left").withColumn("value", F.when(F.col("value").contains("127.0.0.1:8188/loras") | F.coalesce(F.exists("kept", lambda t: F.contains(F.trim("value"), t)), F.lit(False)), "").otherwise(F.col("value")))
+    marked = nodes.where(F.col("low").contains("lora") & (F.trim(val(F.col("vals"), "text")["str"]) != "")).groupBy("g").agg(F.collect_set(F.trim(val(F.col("vals"), "text")["str"])).alias("kept"))
+    own = prompts.join(marked, "g", "left").withColumn("value", F.when(F.col("value").contains("127.0.0.1:8188/loras") | F.coalesce(F.exists("kept", lambda t: F.contains(F.trim("value"), t)), F.lit(False)), "").otherwise(F.col("value")))
     sides = own.groupBy("g", F.col("start").alias("node")).agg(F.max(F.when(F.col("key") == "positive", F.col("value"))).alias("positive"), F.max(F.when(F.col("key") == "negative", F.col("value"))).alias("negative"))
     model = walks.where("walk = 'model'").select("g", F.col("start").alias("node"), F.col("value").alias("model"))
     samplers = nodes.where("samples").select("g", "at", "node").join(sides, ["g", "node"], "left").join(model, ["g", "node"], "left")
@@ -342,7 +393,7 @@ def graph_facts(graphs: DataFrame) -> DataFrame:
     t = lambda k: F.trim(F.try_element_at("said", F.lit(k)))
     songs = said.join(nodes.select("g", "node", "at"), ["g", "node"]).groupBy("g").agg(F.coalesce(longest(t("caption"), F.col("at")), longest(t("style"), F.col("at"))).alias("caption"), longest(t("lyrics"), F.col("at")).alias("lyrics"))
     parts = [samplers, ends, decoders, clips, songs, loras_of(nodes), knobs_of(nodes, links, walks, prompts)]
-    return store.written(reduce(lambda a, b: a.join(b, "g", "left"), parts, loaders), "graph-facts")
+    return kept(reduce(lambda a, b: a.join(b, "g", "left"), parts, loaders), "graph-facts", buckets)
 
 
 def saver_of(savers: Column, filename: Column, stage: Column) -> Column:
@@ -366,11 +417,13 @@ def facts(files: DataFrame, key: str) -> DataFrame:
 
     Equal graphs are walked once. Columns: those of settings texts, with model, lyrics and method.
     """
-    asked = files.where("graph is not null").select(F.col(key), F.sha2("graph", 256).alias("g"), "graph", F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("stage", F.lit("")).alias("stage"))
+    asked = files.where("graph is not null").select(F.col(key), F.unhex(F.sha2("graph", 256)).alias("g"), "graph", F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("stage", F.lit("")).alias("stage"))
     asked = store.written(asked, "graph-files")
     if asked.isEmpty():
         return asked.select(key, *(F.lit(None).cast(t).alias(n) for n, t in TYPES.items()))
-    known = graph_facts(asked.groupBy("g").agg(F.first("graph").alias("graph")))
+    chars = asked.agg(F.sum(F.length("graph"))).first()[0]
+    buckets = max(asked.sparkSession.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
+    known = graph_facts(dealt(asked.select("g", "graph"), buckets).groupBy("g").agg(F.first("graph").alias("graph")), buckets)
     rows = asked.drop("graph").join(known, "g")
     sound = reduce(lambda a, b: a | b, (F.lower("filename").endswith(x) for x in AUDIO_FILES))
     rows = rows.withColumn("savers", F.coalesce("savers", F.expr("filter(savers, x -> false)"))).withColumn("saver", saver_of(F.col("savers"), F.col("filename"), F.col("stage")))

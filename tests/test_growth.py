@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
-from pelagia.operators import mine
+from pelagia.operators import mine, store, workflow
 from pelagia.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,3 +39,23 @@ def test_words_are_runs_with_a_letter(spark):
     row = spark.createDataFrame([("12345, 12a b'c ab abc 007 abc\nx9 the 99 cat's", None)], "t string, n string").select(C.words_and_pairs(F.col("t")).alias("t"), C.words_and_pairs(F.col("n")).alias("n"), C.words_and_pairs(F.col("t"), (), 1).alias("all")).first()
     assert row["t"] == ["12a", "b'c", "abc", "12a b'c", "b'c abc", "abc abc", "cat's"] and row["n"] is None or row["n"] == []
     assert row["all"][:5] == ["12a", "b'c", "ab", "abc", "12a b'c"] and "x9 the" in row["all"] and "99" not in row["all"]
+
+
+def test_rounds_of_walks_move_nothing(spark, monkeypatch):
+    graph = '{"1": {"class_type": "KSampler", "inputs": {"positive": ["2", 0], "model": ["4", 0]}}, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": ["3", 0]}}, "3": {"class_type": "Reroute", "inputs": {"v": ["5", 0]}}, "4": {"class_type": "Reroute", "inputs": {"model": ["6", 0]}}, "5": {"class_type": "Text", "inputs": {"text": "a cat"}}, "6": {"class_type": "UNETLoader", "inputs": {"unet_name": "m.sft"}}}'
+    moved, write = {}, store.bucketed
+
+    def bucketed(df, name, key, buckets):
+        moved.setdefault(name, []).append("Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, key, buckets)
+
+    monkeypatch.setattr(store, "bucketed", bucketed)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = workflow.facts(spark.createDataFrame([(1, graph, "a.png", "")], "id int, graph string, filename string, stage string"), "id").first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert (found["positive"], found["model"]) == ("a cat", "m.sft")
+    assert len(moved["graph-round"]) > 2 and len(moved["text-round"]) > 1
+    assert not any(any(moved[name]) for name in ("graph-links", "graph-moves", "graph-round", "graph-ends", "text-refs", "text-round", "graph-said"))
