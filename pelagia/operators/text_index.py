@@ -1,8 +1,8 @@
 """Text search from an index of word positions, kept in segments so that a change of few files writes few rows.
 
 A posting is (token, id, at, segment): a folded word, its file and its place among the file's words. Fields are a
-place apart, so no phrase runs from one into the next. Segments are sorted by token and then by file, so a word or a
-prefix reads few row groups and a frequent word lies in many files.
+place apart, so no phrase runs from one into the next. Texts are dealt by file before they are split, and what a task
+writes is sorted by token and then by file, so postings are never moved and a word or a prefix reads few pages of each part.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pelagia.functions import columns as C
 from pelagia.operators import filters, store
 
 POSTINGS, RETIRED = "token string, id long, at int, segment int", "id long, segment int"
+MOST_SENT = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -30,13 +31,13 @@ class Index:
 def postings(files: DataFrame, segment: int = 0) -> DataFrame:
     """The postings of files; rows without a word, and null texts, give none."""
     text = files if "search_text" in files.columns else filters.with_search_text(files)
-    words = F.split(F.replace("search_text", F.lit("\n"), F.lit(" \n ")), " +")
+    words = F.split(F.replace("search_text", F.lit("\n"), F.lit(" \n ")), " ")
     placed = text.select(F.col("id").cast("long").alias("id"), F.posexplode(words).alias("at", "token")).where(~F.col("token").isin("", "\n"))
     return placed.select("token", "id", "at", F.lit(segment).alias("segment"))
 
 
 def _write(table: DataFrame, path: str, *order: str) -> None:
-    sorted_ = table.repartitionByRange(*order).sortWithinPartitions(*order) if order else table
+    sorted_ = table.sortWithinPartitions(*order) if order else table
     sorted_.write.mode("overwrite").parquet(path)
 
 
@@ -59,7 +60,8 @@ def add(spark: SparkSession, folder: str, files: DataFrame, gone: DataFrame | No
     """
     version, segments = _segments(spark, folder)
     number, root = version + 1, folder.rstrip("/")
-    _write(postings(files, number), f"{root}/postings-{number:09d}", "token", "id")
+    searched = files.select("id", *(c for c in (*filters.SEARCHED, "search_text") if c in files.columns)).repartition("id")
+    _write(postings(searched, number), f"{root}/postings-{number:09d}", "token", "id")
     changed = files.select(F.col("id").cast("long").alias("id"))
     changed = changed if gone is None else changed.union(gone.select(F.col("id").cast("long")))
     changed = changed if segments else changed.limit(0)  # the first segment has none before it
@@ -75,17 +77,18 @@ def read(spark: SparkSession, folder: str) -> Index:
     return Index(load("postings", POSTINGS), load("retired", RETIRED))
 
 
-def live(rows: DataFrame, retired: DataFrame) -> DataFrame:
-    """rows (id, segment, ...) that no later segment has replaced."""
+def live(rows: DataFrame, retired: DataFrame, sent: bool = False) -> DataFrame:
+    """rows (id, segment, ...) that no later segment has replaced; if the replaced ids are sent, rows are not moved."""
     since = retired.groupBy("id").agg(F.max("segment").alias("since"))
+    since = F.broadcast(since) if sent else since
     return rows.join(since, "id", "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since"))).select(*rows.columns)
 
 
-def compact(spark: SparkSession, folder: str) -> int:
-    """All segments as one, without what was replaced."""
+def compact(spark: SparkSession, folder: str, most: int = MOST_SENT) -> int:
+    """All segments as one, without what was replaced. Up to most replaced files are sent to the postings; more meet them in a join."""
     version, index, root = _segments(spark, folder)[0], read(spark, folder), folder.rstrip("/")
     number = version + 1
-    _write(live(index.postings, index.retired).withColumn("segment", F.lit(number)).select("token", "id", "at", "segment"), f"{root}/postings-{number:09d}", "token", "id")
+    _write(live(index.postings, index.retired, index.retired.count() <= most).withColumn("segment", F.lit(number)).select("token", "id", "at", "segment"), f"{root}/postings-{number:09d}", "token", "id")
     _write(spark.createDataFrame([], RETIRED), f"{root}/retired-{number:09d}")
     _commit(spark, folder, number, [number])
     return number

@@ -1,9 +1,10 @@
 """What is moved between tasks grows no faster than the input and lands in no one task."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
-from pelagia.operators import mine, store, workflow
+from pelagia.operators import mine, store, text_index, workflow
 from pelagia.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,3 +60,28 @@ def test_rounds_of_walks_move_nothing(spark, monkeypatch):
     assert (found["positive"], found["model"]) == ("a cat", "m.sft")
     assert len(moved["graph-round"]) > 2 and len(moved["text-round"]) > 1
     assert not any(any(moved[name]) for name in ("graph-links", "graph-moves", "graph-round", "graph-ends", "text-refs", "text-round", "graph-said"))
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_postings_are_sorted_where_they_are_made(spark, monkeypatch, tmp_path, most):
+    files = spark.createDataFrame([(i, f"b{i % 7} été a{i} {'long ' * (i % 3)}end", "m") for i in range(60)], "id long, positive string, model_name string").repartition(3)
+    monkeypatch.setattr(type(files), "repartitionByRange", lambda *_: pytest.fail("a pass that tells ranges, and postings moved by them"))
+    at = f"file://{tmp_path}/index"
+    text_index.add(spark, at, files)
+    text_index.add(spark, at, files.where("id < 20").withColumn("positive", F.lit("new end")), files.where("id = 30").select("id"))
+    moved = []
+    monkeypatch.setattr(text_index, "_write", lambda table, *rest, write=text_index._write: (moved.append("SortMergeJoin" in table._jdf.queryExecution().executedPlan().toString()), write(table, *rest)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text_index.compact(spark, at, most)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved[0] == (most == 0)
+    for name in ("postings-000000000", "postings-000000002"):
+        for part in (tmp_path / "index" / name).glob("*.parquet"):
+            rows = [(r["token"], r["id"]) for r in spark.read.parquet(f"file://{part}").collect()]
+            assert rows == sorted(rows)
+    found = text_index.search(text_index.read(spark, at), ("end",), ("ete_a",)).collect()
+    assert sorted(r["id"] for r in found) == list(range(20))
+    assert text_index.search(text_index.read(spark, at), ("end",)).count() == 59
