@@ -60,7 +60,8 @@ def add(spark: SparkSession, folder: str, files: DataFrame, gone: DataFrame | No
     """
     version, segments = _segments(spark, folder)
     number, root = version + 1, folder.rstrip("/")
-    searched = files.select("id", *(c for c in (*filters.SEARCHED, "search_text") if c in files.columns)).repartition("id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # not fewer: texts are small where they move, and large once they are split and sorted
+    searched = files.select("id", *(c for c in (*filters.SEARCHED, "search_text") if c in files.columns)).repartition(parts, "id")
     _write(postings(searched, number), f"{root}/postings-{number:09d}", "token", "id")
     changed = files.select(F.col("id").cast("long").alias("id"))
     changed = changed if gone is None else changed.union(gone.select(F.col("id").cast("long")))
