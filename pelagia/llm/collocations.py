@@ -6,9 +6,10 @@ frequent words, with everything else as breaks. Which words are frequent is told
 2 ** BITMAP_BITS bits (16 MB): what it lets through too many is counted and then dropped.
 
 A phrase is a candidate if all its pairs can be frequent, by sums over fingerprints of 64 bits that are never less than the pairs'
-own, and if batches have seen it often enough together, which keeps tries small. Candidates go, in shards of at most
-about TRIE_PHRASES, into double-array tries. Each is broadcast in turn, and a task moves the states of all positions of its texts
-one level at a time and adds up accepting states; Spark sums the tasks. More candidates mean more tries, not larger ones.
+own, and if tasks have seen it often enough together, which keeps tries small. While tasks are fewer than the least count, each keeps
+back what it has seen a few times only, so most rare phrases are never moved. Candidates go, in shards of at most about
+TRIE_PHRASES, into double-array tries. Each is broadcast in turn, and a task moves the states of all positions of its texts one
+level at a time and adds up accepting states; Spark sums the tasks. More candidates mean more tries, not larger ones.
 Scores, cuts and the phrases that longer ones stand for are joins and aggregations in decimals of 38 digits.
 
 Defined results: null and empty texts have no words; a null language counts as `und`. Rows that repeat count each time. Null and
@@ -37,6 +38,7 @@ TOP = 2000
 BITMAP_BITS, BITS_EACH = 27, 256
 TRIE_PHRASES = 1 << 19
 SUM_BLOCK, SUM_SALTS = 1024, 256
+HELD_PHRASES = 1 << 21
 MEMO_WORDS = 200_000
 BATCH_CODES, BATCH_TEXTS = 3_000_000, 1_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -44,6 +46,7 @@ FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS + b"\t", b"abcde
 MASK = (1 << 64) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CODES = [f"c{i}" for i in range(1, MAX_WORDS + 1)]
+Sums = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def tokens(text: str) -> list[bytes]:
@@ -162,13 +165,13 @@ def prints_of(words: DataFrame) -> DataFrame:
     return words.select("code").mapInArrow(run, "print long")
 
 
-def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Codes of whole runs, about BATCH_CODES at a time."""
+def streams(batches: Iterator[pa.RecordBatch], most: int = BATCH_CODES) -> Iterator[np.ndarray]:
+    """Codes of whole runs, about `most` at a time."""
     held, n = [], 0
     for batch in batches:
         codes = batch.column(0).flatten().to_numpy()
-        while n + len(codes) >= BATCH_CODES:
-            end = max(1, BATCH_CODES - n)
+        while n + len(codes) >= most:
+            end = max(1, most - n)
             end += int(np.argmax(codes[end - 1 :] == 0))  # each text ends with a zero
             yield np.concatenate([*held, codes[:end]])
             held, n, codes = [], 0, codes[end:]
@@ -191,30 +194,64 @@ def frequent_pairs(encoded: DataFrame, min_count: int) -> DataFrame:
     return counts.where(F.col("n") >= min_count).select("print")
 
 
-def candidates(encoded: DataFrame, pairs: Bitmap, min_count: int) -> DataFrame:
-    """(c1, ... c5) of phrases of which all pairs are in the bitmap, seen min_count times; zeros behind."""
+def summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct phrases of one length (rows of codes), and the sum of n for each."""
+    prints = fingerprint(np.ascontiguousarray(rows[:, 0]))
+    for i in range(1, rows.shape[1]):
+        prints = extended(prints, np.ascontiguousarray(rows[:, i]))
+    order = np.argsort(prints)
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    if np.count_nonzero(first[1:]) > np.count_nonzero(np.diff(prints[order])):  # phrases that share a fingerprint
+        order = np.lexsort(rows.T)
+        first[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    return rows[order[first]], np.add.reduceat(n[order], np.flatnonzero(first)) if len(n) else n
+
+
+def candidates(encoded: DataFrame, pairs: Bitmap, min_count: int, held: int = HELD_PHRASES, batch_codes: int = BATCH_CODES) -> DataFrame:
+    """(c1, ... c5) of phrases of which all pairs are in the bitmap, and that may be found min_count times; zeros behind.
+
+    A task adds up what it reads and takes `unsaid` off each sum. All tasks together take less than min_count off a phrase, so
+    each frequent one is told by some task, and its sum reaches min_count with what may have been taken off. A task that holds
+    more than `held` phrases takes a part of it at once, and tells what it holds if that doesn't halve them.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(pairs)
+    tasks = 2 * encoded.sparkSession.sparkContext.defaultParallelism
+    unsaid = (min_count - 1) // tasks
+
+    def lessened(sums: Sums, by: int) -> Sums:
+        return {size: (rows[n > by], n[n > by] - by) for size, (rows, n) in sums.items()}
+
+    def told(sums: Sums) -> Iterator[pa.RecordBatch]:
+        for size, (rows, n) in sums.items():
+            columns = [pa.array(np.ascontiguousarray(rows[:, i]) if i < size else np.zeros(len(n), np.int64)) for i in range(MAX_WORDS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*CODES, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes in streams(batches):
+        sums, left = {}, unsaid
+        for codes in streams(batches, batch_codes):
+            if sum(len(n) for _, n in sums.values()) > held:
+                if left:
+                    sums, left = lessened(sums, 1), left - 1
+                if sum(len(n) for _, n in sums.values()) > held // 2:
+                    yield from told(sums)
+                    sums = {}
             chain = (codes[1:] != 0) & (codes[:-1] != 0)
             at = np.flatnonzero(chain)
             chain[at] = shared.value.has(extended(fingerprint(codes[at]), codes[at + 1]))
             at = np.flatnonzero(chain)
-            names, place = np.unique(codes, return_inverse=True)
-            key = place[at]
             for size in range(2, MAX_WORDS + 1):
                 inside = at + size - 2 < len(chain)
                 inside[inside] = chain[at[inside] + size - 2]
                 at = at[inside]
-                _, key = np.unique(key[inside], return_inverse=True)
-                key = key * len(names) + place[at + size - 1]
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                columns = [pa.array(codes[at[first] + i] if i < size else np.zeros(len(first), np.int64)) for i in range(MAX_WORDS)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*CODES, "n"])
-
-    found = encoded.mapInArrow(run, ", ".join(f"{c} long" for c in [*CODES, "n"])).groupBy(*CODES).agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= min_count).drop("n")
+                rows, n = np.stack([codes[at + i] for i in range(size)], axis=1), np.ones(len(at), np.int64)
+                if size in sums:
+                    rows, n = np.concatenate((sums[size][0], rows)), np.concatenate((sums[size][1], n))
+                sums[size] = summed(rows, n)
+        yield from told(lessened(sums, left))
+
+    found = encoded.coalesce(tasks).mapInArrow(run, ", ".join(f"{c} long" for c in [*CODES, "n"])).groupBy(*CODES).agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") + tasks * unsaid >= min_count).drop("n")
 
 
 def trie_counts(encoded: DataFrame, phrases: pa.Table) -> DataFrame:

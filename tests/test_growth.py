@@ -1,9 +1,14 @@
 """What is moved between tasks grows no faster than the input and lands in no one task."""
 
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pelagia.functions import columns as C
+from pelagia.llm import collocations
 from pelagia.operators import mine, store, text_index, workflow
 from pelagia.plans import registry
 
@@ -85,3 +90,32 @@ def test_postings_are_sorted_where_they_are_made(spark, monkeypatch, tmp_path, m
     found = text_index.search(text_index.read(spark, at), ("end",), ("ete_a",)).collect()
     assert sorted(r["id"] for r in found) == list(range(20))
     assert text_index.search(text_index.read(spark, at), ("end",)).count() == 59
+
+
+@pytest.mark.parametrize("held, batch_codes", [(1 << 21, 1 << 21), (900, 500)])
+def test_rare_phrases_are_not_moved(spark, monkeypatch, held, batch_codes):
+    rng, texts = random.Random(4), []
+    for _ in range(300):
+        codes = rng.choices(range(1, 31), k=120)
+        for _ in range(3):
+            at = rng.randrange(100)
+            codes[at : at + 5] = [5, 9, 2, 9, 7]
+        texts.append([*codes, 0])
+    true = Counter(tuple(t[i : i + k]) for t in texts for k in range(2, 6) for i in range(len(t) - k))
+    encoded = spark.createDataFrame([(t,) for t in texts], "codes array<long>").repartition(20)
+    two = np.array([p for p, n in true.items() if len(p) == 2 and n >= 20])
+    prints = collocations.extended(collocations.fingerprint(two[:, 0].copy()), two[:, 1].copy()).view(np.int64).tolist()
+    pairs = collocations.Bitmap(spark.createDataFrame([(p,) for p in prints], "print long"), len(prints))
+    moved, group = [], type(encoded).groupBy
+    monkeypatch.setattr(type(encoded), "groupBy", lambda df, *by: (moved.append(df), group(df, *by))[1])
+    small = {} if held > 1000 else {"held": held, "batch_codes": batch_codes}
+    found = {tuple(c for c in row if c) for row in collocations.candidates(encoded, pairs, 20, **small).collect()}
+    assert {p for p, n in true.items() if n >= 20} <= found
+    assert not small and moved[0].count() < len(true) / 10 or small and len(found) < len(true) / 10
+
+
+def test_phrases_that_share_a_fingerprint_are_summed_apart(monkeypatch):
+    monkeypatch.setattr(collocations, "extended", lambda prints, codes: prints * np.uint64(0))
+    rows, n = collocations.summed(np.array([[1, 2], [3, 4], [1, 2], [3, 2], [3, 4], [1, 2]]), np.array([1, 10, 1, 5, 10, 1]))
+    assert sorted(zip(map(tuple, rows.tolist()), n.tolist())) == [((1, 2), 3), ((3, 2), 5), ((3, 4), 20)]
+    assert len(collocations.summed(np.zeros((0, 2), np.int64), np.zeros(0, np.int64))[1]) == 0
