@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pelagia.functions import columns as C
 from pelagia.operators import cards, curate, curation, facets, filters
 from pelagia.operators.filters import FilterSpec
+from pelagia.plans import registry
 
 COLUMNS = "id long, root_id string, folder string, model_name string, model_type string, filename string, ext string, group_id string, set_stage string, mtime long, width int, height int, positive string, reward int, size long"
 
@@ -55,6 +56,14 @@ def test_songs_front_their_covers_and_hide_from_pair_views(spark):
     assert cards.collapse(cards.with_cards(files, False, True), sets_only=True).count() == 0
 
 
+def test_generic_song_names_are_told_by_all_files(spark, tmp_path):
+    docs = [(62, "one two three\nfour", "aa"), (61, "x", "aa"), (124, "five six seven", "bb"), (127, "x", "bb")]  # 61 alone makes aa generic
+    spark.createDataFrame([(i, t, lang, "src", len(t)) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = registry.QUERIES["song_cards"](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["headline"] for r in found} == {62: "one two three", 124: "bb"}
+
+
 def test_face_prefers_later_names_favourites_and_scores(spark):
     rows = [(1, "a.png", None), (2, "b.png", 1), (3, "b.png", 5), (4, "b.png", None)]
     files = spark.createDataFrame([(i, "g", n, ".png", "raw", 1, 1, r) for i, n, r in rows], "id long, card string, filename string, ext string, set_stage string, mtime long, size long, reward int")
