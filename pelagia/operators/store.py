@@ -46,14 +46,19 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
 
 @contextmanager
 def local_joins(spark: SparkSession) -> Iterator[None]:
-    """Joins that run meanwhile move nothing where one of their keys deals both sides alike."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Joins that run meanwhile move nothing where one of their keys deals both sides alike.
+
+    None is sent whole through the driver, however small its files are: compressed rows take many times that in memory.
+    """
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def write_version(table: DataFrame, folder: str, version: int) -> DataFrame:

@@ -12,6 +12,7 @@ reads and writes buckets, and moves nothing. Walks carry names of nodes; texts a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,11 @@ def first(found: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value stands once in the plan however often body reads it: else plans grow by powers."""
+    return first(F.transform(F.array(value), body))
+
+
 def val(vals: Column, key: str) -> Column:
     return first(F.filter(vals, lambda x: x["key"] == key))
 
@@ -392,20 +398,23 @@ def _graph_facts(graphs: DataFrame, buckets: int) -> DataFrame:
     clips = encoders.where(F.col("kind").contains("CLIPTextEncode")).groupBy("g").agg(longest(F.col("encoded"), F.col("at")).alias("clip"))
     t = lambda k: F.trim(F.try_element_at("said", F.lit(k)))
     songs = said.join(nodes.select("g", "node", "at"), ["g", "node"]).groupBy("g").agg(F.coalesce(longest(t("caption"), F.col("at")), longest(t("style"), F.col("at"))).alias("caption"), longest(t("lyrics"), F.col("at")).alias("lyrics"))
-    parts = [samplers, ends, decoders, clips, songs, loras_of(nodes), knobs_of(nodes, links, walks, prompts)]
-    return kept(reduce(lambda a, b: a.join(b, "g", "left"), parts, loaders), "graph-facts", buckets)
+    # steps of their own, without the long texts: one plan of all of them takes much of the driver's memory
+    small = [kept(dealt(part, buckets), name, buckets) for name, part in (("graph-loras", loras_of(nodes)), ("graph-knobs", knobs_of(nodes, links, walks, prompts)))]
+    ways = kept(loaders.join(ends, "g", "left").join(decoders, "g", "left"), "graph-ways", buckets)
+    return kept(reduce(lambda a, b: a.join(b, "g", "left"), [samplers, clips, songs, *small], ways), "graph-facts", buckets)
 
 
 def saver_of(savers: Column, filename: Column, stage: Column) -> Column:
     """Which node wrote the file. Each kind of evidence only narrows: the name's start, the stage, what it takes, that it names files."""
     stem, ext = F.lower(bare(filename)), F.regexp_extract(F.lower(filename), r"\.[^.]*$", 0)
-    start_of = lambda s: F.array_max(F.concat(F.array(F.lit(0)), F.transform(s["names"], lambda n: F.when((F.length(F.element_at(F.split(n, r"[\\/]"), -1)) >= 3) & stem.startswith(F.lower(F.element_at(F.split(n, r"[\\/]"), -1))), F.length(F.element_at(F.split(n, r"[\\/]"), -1))).otherwise(0))))
-    best = F.array_max(F.transform(savers, start_of))
+    tails = lambda s: F.transform(s["names"], lambda n: F.element_at(F.split(n, r"[\\/]"), -1))
+    start_of = lambda s: F.array_max(F.concat(F.array(F.lit(0)), F.transform(tails(s), lambda t: F.when((F.length(t) >= 3) & stem.startswith(F.lower(t)), F.length(t)).otherwise(0))))
     kind = F.when(ext == "", None).when(ext.isin(*AUDIO_FILES), "audio").when(ext.isin(*VIDEO_FILES), "video").otherwise("image")
     tests = (lambda s: (F.trim(stage) != "") & F.array_contains(s["literals"], F.lower(F.trim(stage))), lambda s: s["payload"] == kind, lambda s: (F.size(s["names"]) > 0) | (F.size(s["literals"]) > 0))
-    narrow = lambda left, holds: F.when(F.size(F.filter(left, holds)) > 0, F.filter(left, holds)).otherwise(left)
-    left = reduce(narrow, tests, savers)
-    return F.when(F.size(savers) == 1, first(savers)).when(best > 0, first(F.filter(savers, lambda s: start_of(s) == best))).when(F.size(left) == 1, first(left))
+    narrow = lambda left, holds: let(left, lambda x: let(F.filter(x, holds), lambda some: F.when(F.size(some) > 0, some).otherwise(x)))
+    alone = lambda x: F.when(F.size(x) == 1, first(x))
+    named = let(F.array_max(F.transform(savers, start_of)), lambda best: F.when(best > 0, first(F.filter(savers, lambda s: start_of(s) == best))))
+    return F.coalesce(alone(savers), named, let(reduce(narrow, tests, savers), alone))
 
 
 TYPES = dict(column.split(" ") for column in f"{settings_text.SCHEMA}, model string, lyrics string, method string".split(", "))
@@ -424,7 +433,7 @@ def facts(files: DataFrame, key: str) -> DataFrame:
     chars = asked.agg(F.sum(F.length("graph"))).first()[0]
     buckets = max(asked.sparkSession.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
     known = graph_facts(dealt(asked.select("g", "graph"), buckets).groupBy("g").agg(F.first("graph").alias("graph")), buckets)
-    rows = asked.drop("graph").join(known, "g")
+    rows = asked.drop("graph").join(known.hint("merge"), "g")  # facts hold texts: no broadcast
     sound = reduce(lambda a, b: a | b, (F.lower("filename").endswith(x) for x in AUDIO_FILES))
     rows = rows.withColumn("savers", F.coalesce("savers", F.expr("filter(savers, x -> false)"))).withColumn("saver", saver_of(F.col("savers"), F.col("filename"), F.col("stage")))
     able = F.filter("savers", lambda s: s["sampler"].isNotNull())

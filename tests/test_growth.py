@@ -67,6 +67,33 @@ def test_rounds_of_walks_move_nothing(spark, monkeypatch):
     assert not any(any(moved[name]) for name in ("graph-links", "graph-moves", "graph-round", "graph-ends", "text-refs", "text-round", "graph-said"))
 
 
+def test_walks_send_no_table_through_the_driver(spark, monkeypatch):
+    graph = '{"1": {"class_type": "KSampler", "inputs": {"positive": ["2", 0], "seed": 5}}, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": "a cat"}}, "3": {"class_type": "SaveImage", "inputs": {"images": ["1", 0], "filename_prefix": "a"}}}'
+    plans, write = {}, store.bucketed
+
+    def bucketed(df, name, key, buckets):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, key, buckets)
+
+    monkeypatch.setattr(store, "bucketed", bucketed)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(name, None) for name in names]
+    found = workflow.facts(spark.createDataFrame([(1, graph, "a.png", "")], "id int, graph string, filename string, stage string"), "id")
+    plans["files"] = found._jdf.queryExecution().executedPlan().toString()
+    assert [spark.conf.get(name, None) for name in names] == before
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
+    assert max(plan.count("Join") for plan in plans.values()) < 24
+    assert (found.first()["positive"], found.first()["seed"]) == ("a cat", 5)
+
+
+def test_the_saver_of_a_file_stands_once_in_the_plan(spark):
+    savers = "array<struct<node:string,payload:string,literals:array<string>,names:array<string>>>"
+    rows = spark.createDataFrame([([("1", "image", [], ["shot_"]), ("2", "image", ["raw"], []), ("3", "video", [], [])], f, stage) for f, stage in (("shot_1.png", ""), ("x.png", "raw"), ("x.mp4", ""), ("x.png", ""))], f"savers {savers}, filename string, stage string")
+    found = rows.select(workflow.saver_of(F.col("savers"), F.col("filename"), F.col("stage"))["node"].alias("node"))
+    assert [r["node"] for r in found.collect()] == ["1", "2", "3", None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("video") < 10
+
+
 @pytest.mark.parametrize("most", [100, 0])
 def test_postings_are_sorted_where_they_are_made(spark, monkeypatch, tmp_path, most):
     files = spark.createDataFrame([(i, f"b{i % 7} été a{i} {'long ' * (i % 3)}end", "m") for i in range(60)], "id long, positive string, model_name string").repartition(3)
