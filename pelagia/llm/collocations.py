@@ -9,7 +9,8 @@ A phrase is a candidate if all its pairs can be frequent, by sums over fingerpri
 own, and if tasks have seen it often enough together, which keeps tries small. While tasks are fewer than the least count, each keeps
 back what it has seen a few times only, so most rare phrases are never moved. Candidates go, in shards of at most about
 TRIE_PHRASES, into double-array tries. Each is broadcast in turn, and a task moves the states of all positions of its texts one
-level at a time and adds up accepting states; Spark sums the tasks. More candidates mean more tries, not larger ones.
+level at a time and adds up accepting states; Spark sums the tasks. More candidates mean more tries, not larger ones. Shards are
+by the first two words, so a place in a text is walked in one trie only, however many there are.
 Scores, cuts and the phrases that longer ones stand for are joins and aggregations in decimals of 38 digits.
 
 Defined results: null and empty texts have no words; a null language counts as `und`. Rows that repeat count each time. Null and
@@ -254,13 +255,34 @@ def candidates(encoded: DataFrame, pairs: Bitmap, min_count: int, held: int = HE
     return found.where(F.col("n") + tasks * unsaid >= min_count).drop("n")
 
 
-def trie_counts(encoded: DataFrame, phrases: pa.Table) -> DataFrame:
-    """(phrase, n) for phrases (phrase, c1, ... c5): how often each occurs.
+def shard_of(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of phrases, by their first two words."""
+    return extended(fingerprint(first), second) % np.uint64(shards)
 
-    A task gives its sums as arrays of SUM_BLOCK phrases, which are added up in two steps, so no group holds many.
+
+def in_shards(phrases: DataFrame, shards: int) -> DataFrame:
+    """phrases (c1, ... c5, phrase) with their shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = shard_of(*(batch.column(c).to_numpy() for c in CODES[:2]), shards)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*CODES, "phrase"]), pa.array(shard.astype(np.int64))], [*CODES, "phrase", "shard"])
+
+    return phrases.select(*CODES, "phrase").mapInArrow(run, ", ".join(f"{c} long" for c in [*CODES, "phrase", "shard"]))
+
+
+def trie_counts(encoded: DataFrame, phrases: pa.Table, shard: int = 0, shards: int = 1) -> DataFrame:
+    """(phrase, n) for phrases (phrase, c1, ... c5), all of one shard: how often each occurs.
+
+    Of several shards, each looks only at places where phrases of its own may begin. A task gives its sums as arrays of SUM_BLOCK phrases, which are added up in two steps, so no group holds many.
     """
     codes = np.stack([phrases[c].to_numpy() for c in CODES], axis=1)
     names = np.unique(codes[codes != 0])
+
+    def labels_of(names: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        label = np.minimum(np.searchsorted(names, codes), len(names) - 1)
+        return np.where(names[label] == codes, label + 1, 0)
+
     trie = Trie(np.where(codes == 0, 0, np.searchsorted(names, codes) + 1))
     shared = encoded.sparkSession.sparkContext.broadcast((trie, names, phrases["phrase"].to_numpy()))
 
@@ -268,10 +290,13 @@ def trie_counts(encoded: DataFrame, phrases: pa.Table) -> DataFrame:
         trie, names, _ = shared.value
         counts = np.zeros(len(trie.check), np.int64)
         for codes in streams(batches):
-            label = np.minimum(np.searchsorted(names, codes), len(names) - 1)
-            label = np.where(names[label] == codes, label + 1, 0)
-            for state in trie.steps(label, MAX_WORDS):
-                counts += np.bincount(state, minlength=len(counts))
+            if shards == 1:
+                states = trie.steps(labels_of(names, codes), MAX_WORDS)
+            else:
+                at = np.flatnonzero((codes[1:] != 0) & (codes[:-1] != 0))
+                at = at[shard_of(codes[at], codes[at + 1], shards) == shard]
+                states = trie.steps(lambda place, codes=codes: labels_of(names, codes[place]), MAX_WORDS, at, len(codes))
+            counts += np.bincount(np.concatenate(list(states)), minlength=len(counts))
         found = counts[trie.ends]
         salt = TaskContext.get().partitionId() % SUM_SALTS
         for block, start in enumerate(range(0, len(found), SUM_BLOCK)):
@@ -303,9 +328,13 @@ def phrase_counts(documents: DataFrame, min_count: int = MIN_COUNT, trie_phrases
     pairs = written(frequent_pairs(encoded, min_count), "pair-prints")
     seen = written(candidates(encoded, Bitmap(pairs, pairs.count()), min_count).withColumn("phrase", F.monotonically_increasing_id()), "phrase-candidates")
     shards = -(-seen.count() // trie_phrases)
-    shard, parts = F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards))), [seen.select(*CODES, F.lit(0).cast("long").alias("n")).limit(0)]
+    parts = [seen.select(*CODES, F.lit(0).cast("long").alias("n")).limit(0)]
+    sharded = written(in_shards(seen, shards), "phrase-shards") if shards > 1 else seen.withColumn("shard", F.lit(0))
     for i in range(shards):
-        found = written(trie_counts(encoded, seen.where(shard == i).toArrow()).where(F.col("n") >= min_count), "trie-counts")
+        mine = sharded.where(F.col("shard") == i).drop("shard").toArrow()
+        if not mine.num_rows:
+            continue
+        found = written(trie_counts(encoded, mine, i, shards).where(F.col("n") >= min_count), "trie-counts")
         parts.append(seen.join(found, "phrase").select(*CODES, "n"))
     together = parts[0]
     for part in parts[1:]:

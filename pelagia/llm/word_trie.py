@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Nodes with fewer children are placed together in rounds, the others one by one.
@@ -80,13 +82,18 @@ class Trie:
         if n > len(self.used):
             self.used = np.concatenate((self.used, np.zeros(n, bool)))
 
-    def steps(self, labels: np.ndarray, depth: int):
-        """For 1, 2, ... depth labels read, the states of all positions from which they lead somewhere."""
-        at, state = np.arange(len(labels)), np.zeros(len(labels), np.int64)
+    def steps(self, labels: np.ndarray | Callable[[np.ndarray], np.ndarray], depth: int, at: np.ndarray | None = None, end: int | None = None):
+        """For 1, 2, ... depth labels read, the states of all positions from which they lead somewhere.
+
+        labels may be a function that gives those at some of the places before end; at are the positions, all by default.
+        """
+        read, end = (labels, end) if callable(labels) else (labels.__getitem__, len(labels))
+        at = np.arange(end) if at is None else at
+        state = np.zeros(len(at), np.int64)
         for d in range(depth):
-            inside = at + d < len(labels)
+            inside = at + d < end
             at, state = at[inside], state[inside]
-            label = labels[at + d]
+            label = read(at + d)
             to = self.base[state] + label
             good = (label > 0) & (self.check[to] == state)
             at, state = at[good], to[good]

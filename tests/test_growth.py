@@ -146,3 +146,18 @@ def test_phrases_that_share_a_fingerprint_are_summed_apart(monkeypatch):
     rows, n = collocations.summed(np.array([[1, 2], [3, 4], [1, 2], [3, 2], [3, 4], [1, 2]]), np.array([1, 10, 1, 5, 10, 1]))
     assert sorted(zip(map(tuple, rows.tolist()), n.tolist())) == [((1, 2), 3), ((3, 2), 5), ((3, 4), 20)]
     assert len(collocations.summed(np.zeros((0, 2), np.int64), np.zeros(0, np.int64))[1]) == 0
+
+
+def test_a_place_is_walked_in_one_trie_only(spark):
+    rng = random.Random(7)
+    texts = [rng.choices([0, *range(1, 13)], k=90) + [0] for _ in range(200)]
+    true = Counter(tuple(t[i : i + k]) for t in texts for k in range(2, 6) for i in range(len(t) - k) if 0 not in t[i : i + k])
+    rows = [(*p, *[0] * (5 - len(p)), i) for i, (p, n) in enumerate(sorted(true.items())) if n >= 3]
+    phrases = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in [*collocations.CODES, "phrase"]))
+    encoded = spark.createDataFrame([(t,) for t in texts], "codes array<long>").coalesce(2)
+    dealt = collocations.in_shards(phrases, 4).collect()
+    assert len({r["shard"] for r in dealt}) == 4 and len({(r["c1"], r["c2"], r["shard"]) for r in dealt}) == len({(r["c1"], r["c2"]) for r in dealt})
+    for shard in range(4):
+        mine = collocations.in_shards(phrases, 4).where(F.col("shard") == shard).drop("shard").toArrow()
+        found = {r["phrase"]: r["n"] for r in collocations.trie_counts(encoded, mine, shard, 4).collect()}
+        assert {i: found[i] for i in mine["phrase"].to_pylist()} == {r[5]: true[tuple(c for c in r[:5] if c)] for r in rows if r[5] in set(mine["phrase"].to_pylist())}
