@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -201,12 +202,14 @@ def summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, rows.shape[1]):
         prints = extended(prints, np.ascontiguousarray(rows[:, i]))
     order = np.argsort(prints)
+    alike = rows[order]
     first = np.ones(len(rows), bool)
-    first[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    first[1:] = (alike[1:] != alike[:-1]).any(axis=1)
     if np.count_nonzero(first[1:]) > np.count_nonzero(np.diff(prints[order])):  # phrases that share a fingerprint
         order = np.lexsort(rows.T)
-        first[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
-    return rows[order[first]], np.add.reduceat(n[order], np.flatnonzero(first)) if len(n) else n
+        alike = rows[order]
+        first[1:] = (alike[1:] != alike[:-1]).any(axis=1)
+    return alike[first], np.add.reduceat(n[order], np.flatnonzero(first)) if len(n) else n
 
 
 def candidates(encoded: DataFrame, pairs: Bitmap, min_count: int, held: int = HELD_PHRASES, batch_codes: int = BATCH_CODES) -> DataFrame:
@@ -296,7 +299,7 @@ def trie_counts(encoded: DataFrame, phrases: pa.Table, shard: int = 0, shards: i
                 at = np.flatnonzero((codes[1:] != 0) & (codes[:-1] != 0))
                 at = at[shard_of(codes[at], codes[at + 1], shards) == shard]
                 states = trie.steps(lambda place, codes=codes: labels_of(names, codes[place]), MAX_WORDS, at, len(codes))
-            counts += np.bincount(np.concatenate(list(states)), minlength=len(counts))
+            counts += np.bincount(np.concatenate(list(islice(states, 1, None))), minlength=len(counts))  # no phrase has one word
         found = counts[trie.ends]
         salt = TaskContext.get().partitionId() % SUM_SALTS
         for block, start in enumerate(range(0, len(found), SUM_BLOCK)):
